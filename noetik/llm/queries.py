@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from . import lm_automaton
+from ..session import checkpoint_folder, ship
+from . import lm_automaton, packing, quality_gbt, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,35 @@ def op1_lm_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_automaton.train_and_score(_table(spark, sf_dir, "documents"), _fold(10) != 0)
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gbt.learn(docs, _table(spark, sf_dir, "labels").where(_fold(5) != 0), "quality")
+    scored = quality_gbt.score(docs, model)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    wavelet.write(_table(spark, sf_dir, "documents"), path, vocabulary())
+    return wavelet.read(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict:
     return {
         "op1_lm_automaton": op1_lm_automaton,
+        "op2_quality_gbt": op2_quality_gbt,
+        "op3_wavelet": op3_wavelet,
+        "op8_packing": op8_packing,
     }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, ship
-from . import lm_automaton, packing, quality_gbt, wavelet
+from . import lm_automaton, packing, quality_gbt, tensor_minhash, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +47,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+
+
 def queries() -> dict:
     return {
         "op1_lm_automaton": op1_lm_automaton,
         "op2_quality_gbt": op2_quality_gbt,
         "op3_wavelet": op3_wavelet,
         "op8_packing": op8_packing,
+        "op9_tensor_minhash": op9_tensor_minhash,
     }
 
 

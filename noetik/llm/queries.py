@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, ship
-from . import lm_automaton, packing, quality_gbt, tensor_minhash, wavelet
+from . import license_index, lm_automaton, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,18 @@ def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, path)
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(_table(spark, sf_dir, "documents"))
+
+
+def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digest(winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op7_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -56,10 +68,13 @@ def queries() -> dict:
         "op1_lm_automaton": op1_lm_automaton,
         "op2_quality_gbt": op2_quality_gbt,
         "op3_wavelet": op3_wavelet,
+        "op5_spotsigs": op5_spotsigs,
+        "op6_winnow": op6_winnow,
+        "op7_license_index": op7_license_index,
         "op8_packing": op8_packing,
         "op9_tensor_minhash": op9_tensor_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_winnow": winnow.ORACLE}

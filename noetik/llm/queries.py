@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, ship
-from . import license_index, lm_automaton, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
+from . import html_consensus, license_index, lm_automaton, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, path)
 
 
+def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict:
         "op1_lm_automaton": op1_lm_automaton,
         "op2_quality_gbt": op2_quality_gbt,
         "op3_wavelet": op3_wavelet,
+        "op4_html_consensus": op4_html_consensus,
         "op5_spotsigs": op5_spotsigs,
         "op6_winnow": op6_winnow,
         "op7_license_index": op7_license_index,

@@ -66,3 +66,29 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
 def column_bytes(table: pa.Table, name: str) -> list[bytes]:
     """A string column's UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in table.column(name).cast(pa.binary()).to_pylist()]
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n_order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+SENT_SQL = "bucket int, block int, n_order int, keys binary, counts binary"
+ANSWER_SQL = "block int, bucket int, n_order int, totals binary"
+
+
+def gathered(table: pa.Table):
+    """For each order of a bucket: rows, each row's place of its keys, and the totals of the distinct keys."""
+    rows = table.select(["block", "n_order", "keys", "counts"]).to_pylist()
+    for k in sorted({r["n_order"] for r in rows}):
+        own = [r for r in rows if r["n_order"] == k]
+        keys = [unpack_keys(r["keys"]) for r in own]
+        counts = np.concatenate([unpack_counts(r["counts"], len(x)) for r, x in zip(own, keys, strict=True)])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        yield k, own, np.split(inverse, np.cumsum([len(x) for x in keys])[:-1]), distinct, np.bincount(inverse, counts, len(distinct)).astype(np.int64)
+
+
+def answer(key: tuple, table: pa.Table) -> pa.Table:
+    """For each block, the totals of its keys, in their order."""
+    out = {"block": [], "bucket": [], "n_order": [], "totals": []}
+    for k, own, places, _, total in gathered(table):
+        for r, p in zip(own, places, strict=True):
+            out["block"].append(r["block"]), out["bucket"].append(key[0].as_py()), out["n_order"].append(k)
+            out["totals"].append(pack_counts(total[p]))
+    return pa.table(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n_order", pa.int32()), ("totals", pa.binary())]))

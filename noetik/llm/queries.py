@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, ship
-from . import html_consensus, license_index, lm_automaton, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
+from . import html_consensus, license_index, lm_automaton, lyndon_dedup, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensor_minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op10_lyndon_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_dedup.dedup(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_lm_automaton": op1_lm_automaton,
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op7_license_index": op7_license_index,
         "op8_packing": op8_packing,
         "op9_tensor_minhash": op9_tensor_minhash,
+        "op10_lyndon_dedup": op10_lyndon_dedup,
     }
 
 

@@ -1,0 +1,81 @@
+"""A corpus pipeline: quality, near duplicates, repeated passages, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's
+docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noetik.llm import lyndon_dedup, packing, quality_gbt, queries, tensor_minhash, winnow
+from noetik.session import checkpoint_folder, ship
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of quality 1 is at least LEAST_QUALITY."""
+    ship(spark)
+    docs = docs.select(*COLUMNS)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_gbt.learn(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "quality")
+    return quality_gbt.score(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: that of the smallest id."""
+    ship(spark)
+    found = tensor_minhash.near_duplicates(docs, shingle=5)
+    return docs.select(*COLUMNS).join(found.where("not kept").select("doc_id"), "doc_id", "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeat; characters that a cut has split go too."""
+    ship(spark)
+    cut = lyndon_dedup.dedup(docs, carry=("lang", "source"))
+
+    def texts(batches):
+        for b in batches:
+            text = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), b.column(2), b.column(3), pa.array(list(map(len, text)), pa.int64())], COLUMNS)
+
+    return cut.select("doc_id", "kept", "lang", "source").mapInArrow(texts, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words benchmark passages cover less than a twentieth."""
+    found = winnow.digest(winnow.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return docs.select(*COLUMNS).join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, with their token ids."""
+    ship(spark)
+    return packing.pack_documents(docs, queries.vocabulary(), with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: SQL cannot express the classifier.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -249,11 +249,12 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; with digest their SHA-256) of every row."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; with digest their SHA-256) and the columns to
+    carry of every row."""
     spark = docs.sparkSession
     jvm.register(spark, "noetik_suffix_groups", suffix_groups.CLASS, suffix_groups.SOURCE, "binary")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     n = B.block_count(own)
     blocks = own.withColumn("block", B.block_of("doc_id", n)).repartition(n, "block")
 
@@ -267,10 +268,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
         out = _cut(left, right)
         if digest:
             out = out.set_column(4, "kept", pa.array([hashlib.sha256(x).hexdigest() for x in out.column("kept").to_pylist()], pa.string()))
+        for c in carry:
+            out = out.append_column(c, left.column(c))
         return out
 
+    kinds = dict(own.dtypes)
     answers = blocks.groupBy("block").applyInArrow(keys, B.SENT_SQL).groupBy("bucket").applyInArrow(B.answer, B.ANSWER_SQL)
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, STRETCH)
     to_sort = sent.groupBy("bucket").applyInArrow(_to_sort, TO_SORT)
     found = to_sort.select("meta", "spans", F.expr(f"noetik_suffix_groups(text, {LENGTH})").alias("suffixes")).mapInArrow(_found, "block int, windows binary")
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}" + "".join(f", {c} {kinds[c]}" for c in carry))

@@ -7,6 +7,9 @@ each block has made its keys distinct; a key that is frequent everywhere therefo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,13 @@ LEAST_BLOCKS = 16
 KEY_BYTES = 6  # of each key, below the bits that its bucket fixes
 
 
+def trim() -> None:
+    """Return freed memory to the system: workers live on and wait beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 

@@ -6,12 +6,12 @@ file is put into a jar that Spark serves to the executors like any other. No bui
 
 from __future__ import annotations
 
-import json
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _ready: dict[str, object] = {}
 
@@ -34,5 +34,5 @@ def register(spark: SparkSession, name: str, class_name: str, source: str, retur
         urls[0] = jvm.java.io.File(str(jar)).toURI().toURL()
         parent = jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader()
         _ready[key] = jvm.java.net.URLClassLoader(urls, parent).loadClass(class_name)
-    kind = spark._jsparkSession.parseDataType(json.dumps(returns))
+    kind = spark._jsparkSession.parseDataType(spark.range(0).select(F.lit(None).cast(returns)).schema[0].dataType.json())
     spark._jsparkSession.udf().register(name, _ready[key].getDeclaredConstructors()[0].newInstance(None), kind)

@@ -29,8 +29,8 @@ from . import blocks as B
 from . import jvm, suffix_groups
 
 LENGTH, K = 100, 32
-CHUNK = 1 << 20
-SPREAD = 8  # buckets of stretches for each block
+CHUNK = 1 << 18
+SPREAD = 16  # buckets of stretches for each block
 STRETCH = "bucket int, block int, meta binary, data binary, copies binary"
 ROW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("n", "<i8"), ("block", "<i8")])
 SPAN = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("n", "<i8")])
@@ -142,87 +142,45 @@ def _stretches(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
         meta["key"], meta["block"] = block.key[new], number
         data = b"".join([block.text[s : s + c + LENGTH - 1] for s, c in zip(block.start[new].tolist(), block.count[new].tolist(), strict=True)])
         out.append({"bucket": b, "block": number, "meta": meta.tobytes(), "data": data, "copies": copies.tobytes()})
+    del block
+    B.trim()
     return pa.Table.from_pylist(out, schema=schema)
 
 
-TO_SORT = "bucket int, meta binary, text binary, spans binary"
+TO_SORT = "block int, windows binary, meta binary, text binary"
 
 
 def _to_sort(key: tuple, table: pa.Table) -> pa.Table:
-    """The distinct stretches of a bucket, the earliest of each; spans: those repeated already, block and SPAN."""
+    """One row with the distinct stretches of a bucket, the earliest of each, where one K-gram has several; a row for
+    each block with the windows that are repeated already."""
     rows = table.select(["block", "meta", "data", "copies"]).to_pylist()
     meta = np.concatenate([np.frombuffer(r["meta"], ROW) for r in rows])
-    data = np.frombuffer(b"".join(r["data"] for r in rows), np.uint8)
-    spans = [(r["block"], r["copies"]) for r in rows if r["copies"]]
     size = meta["n"] + LENGTH - 1
     begin = np.cumsum(size) - size
-    raw = data.tobytes()
-    by = np.lexsort((meta["pos"], meta["doc"], meta["key"]))
-    known: dict[bytes, int] = {}
-    keep, kinds = [], {}
-    repeated = []
-    for k in by.tolist():
+    raw = b"".join(r["data"] for r in rows)
+    spans: dict[int, list[bytes]] = {}
+    for r in rows:
+        spans.setdefault(r["block"], []).append(r["copies"])
+    known: set[bytes] = set()
+    keep, kinds, repeated = [], {}, []
+    for k in np.lexsort((meta["pos"], meta["doc"], meta["key"])).tolist():
         s = raw[begin[k] : begin[k] + size[k]]
         if s in known:
             repeated.append(k)
         else:
-            known[s] = k
+            known.add(s)
             keep.append(k)
             kinds[meta["key"][k]] = kinds.get(meta["key"][k], 0) + 1
     again = meta[repeated]
     for b in np.unique(again["block"]):
         own = again[again["block"] == b]
-        spans.append((int(b), np.rec.fromarrays([own["doc"], own["pos"], own["n"]], dtype=SPAN).tobytes()))
+        spans[int(b)].append(np.rec.fromarrays([own["doc"], own["pos"], own["n"]], dtype=SPAN).tobytes())
     keep = [k for k in keep if kinds[meta["key"][k]] > 1]
-    packed = b"".join(np.int64([b, len(x) // SPAN.itemsize]).tobytes() + x for b, x in spans)
-    return pa.table(
-        {"bucket": [key[0].as_py()], "meta": pa.array([meta[keep].tobytes()], pa.binary()), "text": pa.array([b"".join(raw[begin[k] : begin[k] + size[k]] for k in keep)], pa.binary()), "spans": pa.array([packed], pa.binary())},
-        schema=pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("text", pa.binary()), ("spans", pa.binary())]),
-    )
-
-
-def repeated_windows(meta: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-    """SPANs with their blocks (as ROW) of windows that occur earlier, from a marked suffix array of the stretches."""
-    size = meta["n"] + LENGTH - 1
-    begin = np.cumsum(size) - size
-    place = (suffixes & 0x7FFFFFFF).astype(np.int64)
-    run = np.cumsum(suffixes >= 0) - 1
-    stretch = np.searchsorted(begin, place, side="right") - 1
-    offset = place - begin[stretch]
-    is_window = offset < meta["n"][stretch]
-    run, stretch, offset = run[is_window], stretch[is_window], offset[is_window]
-    if not len(run):
-        return np.zeros(0, ROW)
-    _, rank = np.unique(meta["doc"], return_inverse=True)
-    when = (rank[stretch].astype(np.uint64) << np.uint64(40)) | (meta["pos"][stretch] + offset).astype(np.uint64)
-    new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    earliest = np.repeat(np.minimum.reduceat(when, new), np.diff(np.append(new, len(run))))
-    late = when != earliest
-    stretch, offset = stretch[late], offset[late]
-    by = np.lexsort((offset, stretch))
-    stretch, offset = stretch[by], offset[by]
-    new = np.flatnonzero(np.concatenate([[True], (stretch[1:] != stretch[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(stretch) else np.zeros(0, int)
-    out = np.zeros(len(new), ROW)
-    out["doc"], out["block"], out["pos"] = meta["doc"][stretch[new]], meta["block"][stretch[new]], meta["pos"][stretch[new]] + offset[new]
-    out["n"] = np.diff(np.append(new, len(stretch)))
-    return out
-
-
-def _found(batches):
-    schema = pa.schema([("block", pa.int32()), ("windows", pa.binary())])
-    for b in batches:
-        for meta, spans, suffixes in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            out = []
-            late = repeated_windows(np.frombuffer(meta, ROW), np.frombuffer(suffixes, "<i4"))
-            for k in np.unique(late["block"]):
-                own = late[late["block"] == k]
-                out.append({"block": int(k), "windows": np.rec.fromarrays([own["doc"], own["pos"], own["n"]], dtype=SPAN).tobytes()})
-            at = 0
-            while at < len(spans):
-                k, n = np.frombuffer(spans, "<i8", 2, at).tolist()
-                out.append({"block": k, "windows": spans[at + 16 : at + 16 + n * SPAN.itemsize]})
-                at += 16 + n * SPAN.itemsize
-            yield from pa.Table.from_pylist(out, schema=schema).to_batches()
+    out = [{"block": b, "windows": b"".join(x)} for b, x in spans.items() if any(x)]
+    if keep:
+        out.append({"meta": meta[keep].tobytes(), "text": b"".join([raw[begin[k] : begin[k] + size[k]] for k in keep])})
+    B.trim()
+    return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int32()), ("windows", pa.binary()), ("meta", pa.binary()), ("text", pa.binary())]))
 
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -246,6 +204,7 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
         text = texts[k] if not removed else np.frombuffer(texts[k], np.uint8)[~g].tobytes()
         out[k] = (n, removed, int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), text)
     n, removed, runs, kept = zip(*out, strict=True) if out else ((), (), (), ())
+    B.trim()
     return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
@@ -253,7 +212,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; with digest their SHA-256) and the columns to
     carry of every row."""
     spark = docs.sparkSession
-    jvm.register(spark, "noetik_suffix_groups", suffix_groups.CLASS, suffix_groups.SOURCE, "binary")
+    jvm.register(spark, "noetik_repeated_windows", suffix_groups.CLASS, suffix_groups.SOURCE, "array<struct<block:int,windows:binary>>")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
     n = B.block_count(own)
     blocks = own.withColumn("block", B.block_of("doc_id", n)).repartition(n, "block")
@@ -276,5 +235,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     answers = blocks.groupBy("block").applyInArrow(keys, B.SENT_SQL).groupBy("bucket").applyInArrow(B.answer, B.ANSWER_SQL)
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, STRETCH)
     to_sort = sent.groupBy("bucket").applyInArrow(_to_sort, TO_SORT)
-    found = to_sort.select("meta", "spans", F.expr(f"noetik_suffix_groups(text, {LENGTH})").alias("suffixes")).mapInArrow(_found, "block int, windows binary")
+    sorted_out = F.expr(f"CASE WHEN text IS NULL THEN array(named_struct('block', block, 'windows', windows)) ELSE noetik_repeated_windows(text, meta, {LENGTH}) END")
+    found = to_sort.select(F.inline(sorted_out))
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}" + "".join(f", {c} {kinds[c]}" for c in carry))

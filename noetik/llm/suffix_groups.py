@@ -8,15 +8,15 @@ more children in the processed group are larger, so they move behind the rest as
 Phase 2 emits: suffixes of one group differ only in what follows their Lyndon prefix, the next smaller suffix, so
 walking the array from its start, each suffix places those whose next smaller suffix it is at the front of their groups.
 
-construct() is the plain Python form; SOURCE does the same for executors and marks with the sign bit each place whose
-suffix shares at least a given number of bytes with the one before it.
+construct() is the plain Python form. SOURCE does the same for executors, and then finds the windows that occur earlier:
+neighbours in the array that share so many bytes hold equal windows, of which the earliest stays.
 """
 
 from __future__ import annotations
 
 CLASS = "NoetikSuffixGroups"
 SOURCE = """
-public class NoetikSuffixGroups implements org.apache.spark.sql.api.java.UDF2, java.io.Serializable {
+public class NoetikSuffixGroups implements org.apache.spark.sql.api.java.UDF3, java.io.Serializable {
     public NoetikSuffixGroups() {}
 
     static int[] construct(byte[] text) {
@@ -112,13 +112,12 @@ public class NoetikSuffixGroups implements org.apache.spark.sql.api.java.UDF2, j
         return out;
     }
 
-    public Object call(Object input, Object least) throws Exception {
-        byte[] text = (byte[]) input;
-        int need = ((Integer) least).intValue(), n = text.length;
-        int[] sa = construct(text);
-        int[] rank = new int[n];
+    /** The suffix array; the sign bit marks a suffix that shares at least need bytes with the one before it. */
+    static int[] marked(byte[] text, int need) {
+        int n = text.length;
+        int[] sa = construct(text), rank = new int[n];
         for (int k = 0; k < n; k++) rank[sa[k]] = k;
-        byte[] out = new byte[4 * n];
+        int[] out = new int[n];
         int h = 0;
         for (int i = 0; i < n; i++) {
             int k = rank[i], v = i;
@@ -128,10 +127,77 @@ public class NoetikSuffixGroups implements org.apache.spark.sql.api.java.UDF2, j
                 if (h >= need) v |= 0x80000000;
                 if (h > 0) h--;
             } else h = 0;
-            out[4 * k] = (byte) v;
-            out[4 * k + 1] = (byte) (v >> 8);
-            out[4 * k + 2] = (byte) (v >> 16);
-            out[4 * k + 3] = (byte) (v >> 24);
+            out[k] = v;
+        }
+        return out;
+    }
+
+    /** Of stretches (n windows each, at pos in doc, of a block): by block, the windows of need bytes that are earlier elsewhere. */
+    public Object call(Object input, Object rows, Object least) throws Exception {
+        byte[] text = (byte[]) input;
+        int need = ((Integer) least).intValue();
+        java.nio.ByteBuffer meta = java.nio.ByteBuffer.wrap((byte[]) rows).order(java.nio.ByteOrder.LITTLE_ENDIAN);
+        int m = meta.limit() / 40;
+        long[] doc = new long[m], pos = new long[m], block = new long[m];
+        int[] windows = new int[m], begin = new int[m], of = new int[text.length];
+        int at = 0;
+        for (int s = 0; s < m; s++) {
+            doc[s] = meta.getLong(40 * s + 8);
+            pos[s] = meta.getLong(40 * s + 16);
+            windows[s] = (int) meta.getLong(40 * s + 24);
+            block[s] = meta.getLong(40 * s + 32);
+            begin[s] = at;
+            for (int k = 0; k < windows[s] + need - 1; k++) of[at++] = s;
+        }
+        int[] sa = marked(text, need);
+        boolean[] late = new boolean[text.length];
+        int n = text.length;
+        for (int k = 0; k < n; ) {
+            int e = k + 1;
+            while (e < n && sa[e] < 0) e++;
+            if (e - k > 1) {
+                int best = -1;
+                for (int x = k; x < e; x++) {
+                    int i = sa[x] & 0x7fffffff, s = of[i], o = i - begin[s];
+                    if (o >= windows[s]) continue;
+                    if (best >= 0) {
+                        int bs = of[best];
+                        long bp = pos[bs] + best - begin[bs], p = pos[s] + o;
+                        boolean earlier = doc[s] < doc[bs] || doc[s] == doc[bs] && p < bp;
+                        late[earlier ? best : i] = true;
+                        if (!earlier) continue;
+                    }
+                    best = i;
+                }
+            }
+            k = e;
+        }
+        java.util.TreeMap found = new java.util.TreeMap();
+        for (int s = 0; s < m; s++) {
+            for (int o = 0; o < windows[s]; ) {
+                int e = o;
+                while (e < windows[s] && late[begin[s] + e]) e++;
+                if (e > o) {
+                    Integer key = Integer.valueOf((int) block[s]);
+                    java.io.ByteArrayOutputStream to = (java.io.ByteArrayOutputStream) found.get(key);
+                    if (to == null) {
+                        to = new java.io.ByteArrayOutputStream();
+                        found.put(key, to);
+                    }
+                    java.nio.ByteBuffer row = java.nio.ByteBuffer.allocate(24).order(java.nio.ByteOrder.LITTLE_ENDIAN);
+                    row.putLong(doc[s]);
+                    row.putLong(pos[s] + o);
+                    row.putLong((long) (e - o));
+                    to.write(row.array(), 0, 24);
+                }
+                o = Math.max(e, o + 1);
+            }
+        }
+        java.util.ArrayList out = new java.util.ArrayList();
+        java.util.Iterator each = found.entrySet().iterator();
+        while (each.hasNext()) {
+            java.util.Map.Entry e = (java.util.Map.Entry) each.next();
+            out.add(org.apache.spark.sql.RowFactory.create(new Object[] {e.getKey(), ((java.io.ByteArrayOutputStream) e.getValue()).toByteArray()}));
         }
         return out;
     }

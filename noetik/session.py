@@ -26,11 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH = "8m"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application."""
+    """Give the executors' Python workers this package, once for each application, and bound what goes to them at a
+    time: texts are long, so the limit is in bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -49,6 +49,12 @@ def kept(g: Column, least: Column, also: Column | None = None) -> Column:
     return F.filter(F.transform(g, lambda f, i: F.struct(i.alias("p"), f.alias("f"))), wanted)
 
 
+def whole_at(h: Column, n: int, table: Column) -> Column:
+    """Places and hashes of runs of n words that are in the table."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(h, i + 1, n)).alias("f")))
+    return F.filter(runs, lambda s: W.maybe(table, s["f"]))
+
+
 def around(h: Column, p: Column) -> Column:
     return F.transform(F.sequence(F.lit(-REACH), F.lit(K + REACH - 1)), lambda j: F.get(h, p + j))
 
@@ -79,9 +85,7 @@ def spans(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
     found = kept(F.col("g"), F.col("m"), table)
     texts = texts.withColumn("hits", F.transform(found, lambda s: F.struct(s["p"].alias("p"), s["f"].alias("f"), around(F.col("h"), s["p"]).alias("ours"))))
     for n in lengths:
-        bits = W.literal(W.bits_of(short.where(F.col("n") == n), "f"))
-        starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - n, F.lit(0))), lambda i, n=n: F.struct(i.alias("p"), F.xxhash64(F.slice(F.col("h"), i + 1, n)).alias("f")))
-        texts = texts.withColumn(f"short{n}", F.filter(starts, lambda s, bits=bits: W.maybe(bits, s["f"])))
+        texts = texts.withColumn(f"short{n}", whole_at(F.col("h"), n, W.literal(W.bits_of(short.where(F.col("n") == n), "f"))))
     n_words = F.size("h").cast("long").alias("n_words")
     base = ["row", "doc_id", n_words]
     rows = texts.select(*base, F.explode_outer("hits").alias("x")).select("row", "doc_id", "n_words", "x.p", "x.f", "x.ours")

@@ -43,7 +43,9 @@ def kept(g: Column, least: Column, also: Column | None = None) -> Column:
 
     def wanted(s: Column) -> Column:
         first = F.greatest(s["p"] - (w - 1), F.lit(0))
-        is_least = F.array_contains(F.slice(least, first + 1, s["p"] - first + 1), s["f"])
+        # least is named twice, so that the optimizer keeps it as a column and never puts its expression into this one,
+        # where it would run again for every place
+        is_least = F.array_contains(F.slice(least, first + 1, F.least(s["p"] - first + 1, F.size(least))), s["f"])
         return is_least if also is None else W.maybe(also, s["f"]) & is_least
 
     return F.filter(F.transform(g, lambda f, i: F.struct(i.alias("p"), f.alias("f"))), wanted)

@@ -71,7 +71,9 @@ def test_automaton_is_the_smoothed_model():
     train = np.array([1.0, 1.0, 1.0, 0.0])
     counts = [grams.distinct(k, train)[1] for k in range(3)]
     model = {"N": int(counts[0].sum() - 3), "V": 4, "discounts": np.array([0, 0.4, 0.6, 0.7]), "unknown": 0.3, "mu": {1: 0.5, 2: 1.5}}
-    got = lm_automaton.Automaton(grams, counts, model).score(grams)
+    automaton = lm_automaton.Automaton(grams, counts, model)
+    got = automaton.score(grams)
+    assert all(np.allclose(got, automaton.score(grams, n)) for n in (1, 2, 3))
     seen = collections.Counter()
     sequences = [["<s>", *t.split(), "</s>"] for t in texts]
     for s in sequences[:3]:

@@ -6,8 +6,9 @@ key being ROWS minima, give M * M table keys by pairing each U with each V, so 4
 at 0.8 and 0.999998 at 0.9.
 
 Only documents that meet another one in some U and in some V form table keys. Equal sets are one node. Each table bucket
-is a star about its smallest and its largest id; confirmed stars give components; what is left are pairs in a bucket
-whose components differ, and all of those are confirmed too. So no pair of candidates is lost and no group is expanded.
+is a star about its smallest and its largest id, and confirmed stars give components. What is left are pairs in a bucket
+whose components differ: further turns take other centres, by hash, in a part of the buckets each, and the last takes
+all pairs that are still in different components. So no pair of candidates is lost and no group of links is expanded.
 Components grow by label propagation with pointer jumping; labels, links and sets stay in executors.
 
 Null text, or text without words: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence is
@@ -26,6 +27,7 @@ from ..session import cut
 from .blocks import mix
 
 M, ROWS = 8, 2
+TURNS = 4
 LENGTH = np.uint64(0x2545F4914F6CDD1D)
 _seeds = mix(np.arange(1, 4 * M * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 XOR, ODD = _seeds[: 2 * M * ROWS, None], _seeds[2 * M * ROWS :, None] | np.uint64(1)
@@ -140,6 +142,18 @@ def table_keys(keys: Column) -> Column:
     return F.array(*[F.xxhash64(keys[i], keys[M + j], F.lit(M * i + j)) for i in range(M) for j in range(M)])
 
 
+def crossing(signed: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
+    """All pairs a < b of nodes that share a key of U and one of V, are in different components and of similar size. In
+    the group of a U key only nodes outside its largest component look for partners."""
+    rows = signed.select("doc_id", "n_shingles", "keys").join(labelled, "doc_id")
+    rows = cut(rows.select("doc_id", "n_shingles", "c", F.slice("keys", M + 1, M).alias("v"), F.posexplode(F.slice("keys", 1, M)).alias("i", "u")))
+    largest = rows.groupBy("i", "u", "c").count().groupBy("i", "u").agg(F.max(F.struct("count", "c")).alias("top"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    x = rows.join(largest, ["i", "u"]).where("c != top.c").select("i", "u", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("c").alias("cx"), F.col("v").alias("vx"))
+    near = F.exists(F.zip_with("v", "vx", lambda p, q: p == q), lambda e: e)
+    met = x.join(rows, ["i", "u"]).where(f"c != cx and 100 * least(n_shingles, nx) >= {percent} * greatest(n_shingles, nx)").where(near)
+    return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -160,14 +174,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = cut(confirmed(pairs, sets, percent))
     labels = components(links)
     # pairs of one bucket that are in different components still
-    labelled = in_stars.join(labels, in_stars.doc_id == labels.id, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_rows = cut(labelled.join(mixed, "key", "left_semi"))
-    x, y = (open_rows.select("key", F.col("doc_id").alias(i), F.col("n_shingles").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in "ab")
-    rest = x.join(y, "key").where(f"a < b and ca != cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(confirmed(rest, sets, percent))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    tried, rows = pairs, in_stars.select("key", "doc_id", "n_shingles")
+    for turn in range(TURNS):
+        labelled = rows.join(labels, rows.doc_id == labels.id, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
+        mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+        rows = cut(labelled.join(mixed, "key", "left_semi"))
+        if rows.isEmpty():
+            break
+        if turn + 1 < TURNS:
+            centre = rows.where(F.pmod("key", F.lit(M)) == turn).groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key"), "doc_id", "n_shingles", "c")).alias("z"))
+            met = rows.join(centre, "key").where(f"c != z.c and 100 * least(n_shingles, z.n_shingles) >= {percent} * greatest(n_shingles, z.n_shingles)")
+            more = met.select(F.least("doc_id", "z.doc_id").alias("a"), F.greatest("doc_id", "z.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        else:
+            more = crossing(single, rows.select("doc_id", "c").distinct(), percent).join(tried, ["a", "b"], "left_anti")
+        more = cut(more)
+        tried = tried.unionByName(more)
+        links = cut(links.unionByName(confirmed(more, sets, percent)))
+        labels = components(links)
+        rows = rows.drop("c")
     by_node = nodes.join(labels, nodes.node == labels.id, "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     # the text of a repeated id may differ: its row then belongs to the component of its own set
     out = signed.join(by_node, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from noetik.plans import catalog
@@ -19,7 +20,7 @@ def db():
 
 
 def rows(df):
-    cell = lambda v: "null" if v is None or v != v else repr(round(float(v), 8)) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+    cell = lambda v: "null" if pd.isna(v) else repr(round(float(v), 8)) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
     return sorted(df.columns), sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 

@@ -7,8 +7,8 @@ at 0.8 and 0.999998 at 0.9.
 
 Only documents that meet another one in some U and in some V form table keys. Equal sets are one node. Each table bucket
 is a star about its smallest and its largest id, and confirmed stars give components. What is left are pairs in a bucket
-whose components differ: further turns take other centres, by hash, in a part of the buckets each, and the last takes
-all pairs that are still in different components. So no pair of candidates is lost and no group of links is expanded.
+whose components differ: further turns take other centres, by hash, in a part of the buckets each, and the last compares
+all nodes of a U key that are still in different components, block by block. So no pair of candidates is lost and no group of links is expanded.
 Components grow by label propagation with pointer jumping; labels, links and sets stay in executors.
 
 Null text, or text without words: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence is
@@ -27,7 +27,8 @@ from ..session import cut
 from .blocks import mix
 
 M, ROWS = 8, 2
-TURNS = 4
+TURNS = 3
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19
 LENGTH = np.uint64(0x2545F4914F6CDD1D)
 _seeds = mix(np.arange(1, 4 * M * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 XOR, ODD = _seeds[: 2 * M * ROWS, None], _seeds[2 * M * ROWS :, None] | np.uint64(1)
@@ -142,16 +143,78 @@ def table_keys(keys: Column) -> Column:
     return F.array(*[F.xxhash64(keys[i], keys[M + j], F.lit(M * i + j)) for i in range(M) for j in range(M)])
 
 
-def crossing(signed: DataFrame, labelled: DataFrame, percent: int) -> DataFrame:
-    """All pairs a < b of nodes that share a key of U and one of V, are in different components and of similar size. In
-    the group of a U key only nodes outside its largest component look for partners."""
+def links_between(sets: list[np.ndarray], label: list, block: np.ndarray, outside: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join different labels, as a forest: places of sets of one block, or of one and the other block, of
+    which one at least is outside the largest component."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, shingle, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(shingle, kind="stable")
+    posting, start = owner[order], np.append(0, np.cumsum(many))
+    # frequent shingles as columns of a matrix, rare ones by their postings
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    frequent = np.flatnonzero(many > 16)
+    for at in range(0, len(frequent), 2048):
+        part = frequent[at : at + 2048]
+        column = np.full(len(many), -1)
+        column[part] = np.arange(len(part))
+        here = column[shingle] >= 0
+        has = np.zeros((len(sets), len(part)), np.float32)
+        has[owner[here], column[shingle[here]]] = 1
+        common += has @ has.T
+    for n in range(2, 17):
+        found = np.flatnonzero(many == n)
+        if len(found):
+            who = posting[start[found][:, None] + np.arange(n)]
+            for j in range(n):
+                np.add.at(common, (who[:, j : j + 1], who), 1)
+    alike = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None] - common.astype(np.int64))
+    alike &= (outside[:, None] | outside[None]) & ((block[:, None] != block[None]) | (block.max() == block.min()))
+    root = {c: c for c in label}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x, y in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(alike, 1))), strict=True):
+        cx, cy = top(label[x]), top(label[y])
+        if cx != cy:
+            root[cx] = cy
+            out.append((x, y))
+    return out
+
+
+def crossing(signed: DataFrame, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between all nodes that share a key of U and are in different components.
+
+    The group of a U key is dealt into blocks by hash, those outside its largest component apart from the rest, and
+    each pair of blocks with a block outside is one task's matrix of intersections. So no pair of nodes is a row, a
+    hot group is spread over tasks, and a node's set is sent once for each block of its group.
+    """
     rows = signed.select("doc_id", "n_shingles", "keys").join(labelled, "doc_id")
-    rows = cut(rows.select("doc_id", "n_shingles", "c", F.slice("keys", M + 1, M).alias("v"), F.posexplode(F.slice("keys", 1, M)).alias("i", "u")))
-    largest = rows.groupBy("i", "u", "c").count().groupBy("i", "u").agg(F.max(F.struct("count", "c")).alias("top"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    x = rows.join(largest, ["i", "u"]).where("c != top.c").select("i", "u", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("c").alias("cx"), F.col("v").alias("vx"))
-    near = F.exists(F.zip_with("v", "vx", lambda p, q: p == q), lambda e: e)
-    met = x.join(rows, ["i", "u"]).where(f"c != cx and 100 * least(n_shingles, nx) >= {percent} * greatest(n_shingles, nx)").where(near)
-    return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    rows = cut(rows.select("doc_id", "c", "n_shingles", F.posexplode(F.slice("keys", 1, M)).alias("i", "u")))
+    parts = rows.groupBy("i", "u", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    whole = parts.groupBy("i", "u").agg(F.max(F.struct("n", "c", "m")).alias("most"), F.sum("n").alias("sn"), F.sum("m").alias("sm"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    many = lambda n, m: F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(m / BLOCK_SHINGLES)).cast("int")
+    whole = whole.select("i", "u", F.col("most.c").alias("largest"), many(F.col("sn") - F.col("most.n"), F.col("sm") - F.col("most.m")).alias("apart"), many(F.col("most.n"), F.col("most.m")).alias("rest"))
+    dealt = rows.join(whole, ["i", "u"]).withColumn("outside", F.col("c") != F.col("largest"))
+    hashed = F.xxhash64("doc_id", "u")
+    dealt = dealt.withColumn("block", F.when(F.col("outside"), F.pmod(hashed, "apart")).otherwise(F.col("apart") + F.pmod(hashed, "rest")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("apart") + F.col("rest")).otherwise(F.col("apart")) - 1)
+    sent = dealt.join(sets, "doc_id").select("doc_id", "c", "i", "u", "outside", "block", "s", F.explode(others).alias("other"))
+    sent = sent.select("doc_id", "c", "i", "u", "outside", "block", "s", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    kind = dict(signed.dtypes)["doc_id"]
+
+    def linked(table):
+        ids, own = table.column("doc_id").to_pylist(), table.column("s").to_pylist()
+        found = links_between([np.frombuffer(s, np.uint64) for s in own], table.column("c").to_pylist(), table.column("block").to_numpy(), table.column("outside").to_numpy(), percent)
+        pairs = [sorted((ids[x], ids[y])) for x, y in found]
+        at = table.schema.field("doc_id").type
+        return pa.table({"a": pa.array([p[0] for p in pairs], at), "b": pa.array([p[1] for p in pairs], at)})
+
+    return sent.groupBy("i", "u", "p", "q").applyInArrow(linked, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,12 +247,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         if turn + 1 < TURNS:
             centre = rows.where(F.pmod("key", F.lit(M)) == turn).groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key"), "doc_id", "n_shingles", "c")).alias("z"))
             met = rows.join(centre, "key").where(f"c != z.c and 100 * least(n_shingles, z.n_shingles) >= {percent} * greatest(n_shingles, z.n_shingles)")
-            more = met.select(F.least("doc_id", "z.doc_id").alias("a"), F.greatest("doc_id", "z.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            more = cut(met.select(F.least("doc_id", "z.doc_id").alias("a"), F.greatest("doc_id", "z.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+            tried = tried.unionByName(more)
+            found = confirmed(more, sets, percent)
         else:
-            more = crossing(single, rows.select("doc_id", "c").distinct(), percent).join(tried, ["a", "b"], "left_anti")
-        more = cut(more)
-        tried = tried.unionByName(more)
-        links = cut(links.unionByName(confirmed(more, sets, percent)))
+            found = crossing(single, rows.select("doc_id", "c").distinct(), sets, percent)
+        links = cut(links.unionByName(found))
         labels = components(links)
         rows = rows.drop("c")
     by_node = nodes.join(labels, nodes.node == labels.id, "left").select("set_hash", F.coalesce("component", "node").alias("component"))

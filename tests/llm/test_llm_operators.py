@@ -251,6 +251,46 @@ def test_near_duplicates(docs, empty):
     assert tensor_minhash.near_duplicates(empty).collect() == []
 
 
+def test_links_between_blocks():
+    chance = np.random.default_rng(1)
+    sets = [np.unique(chance.integers(0, 40, chance.integers(5, 40)).astype(np.uint64)) for _ in range(120)]
+    sets += [np.arange(100, dtype=np.uint64), np.arange(2, 100, dtype=np.uint64)] * 9
+    n = len(sets)
+    for block, outside in [(np.zeros(n, int), np.ones(n, bool)), (np.arange(n) % 2, np.arange(n) % 2 == 0)]:
+        want = {(x, y) for x in range(n) for y in range(x) if (block[x] != block[y] or not block.any()) and 100 * (c := len(np.intersect1d(sets[x], sets[y]))) >= 60 * (len(sets[x]) + len(sets[y]) - c)}
+        got = tensor_minhash.links_between(sets, list(range(n)), block, outside, 60)
+        assert {(y, x) for x, y in got} <= want and len(got) < n
+        group = {}
+        for links in (got, want):
+            top = list(range(n))
+            for _ in range(n):
+                for x, y in links:
+                    top[x] = top[y] = min(top[x], top[y])
+            group[id(links)] = top
+        assert group[id(got)] == group[id(want)]
+
+
+def test_crossing_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tensor_minhash, "BLOCK_SETS", 3)
+    chance = np.random.default_rng(2)
+    sets = {k: np.sort(np.append(np.arange(90), 1000 + chance.choice(30, 12, replace=False))).astype(np.uint64) for k in range(40)}
+    label = {k: 0 if k < 15 else k for k in sets}
+    signed = spark.createDataFrame([(k, len(s), [7] * tensor_minhash.M + [k] * tensor_minhash.M) for k, s in sets.items()], "doc_id long, n_shingles long, keys array<long>")
+    stored = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "doc_id long, s binary")
+    found = {(r.a, r.b) for r in tensor_minhash.crossing(signed, spark.createDataFrame(list(label.items()), "doc_id long, c long"), stored, 87).collect()}
+    alike = {(x, y) for x in sets for y in sets if x < y and label[x] != label[y] and 100 * (c := len(np.intersect1d(sets[x], sets[y]))) >= 87 * (204 - c)}
+    assert found and found <= alike
+
+    def classes(links):
+        top = dict(label)
+        for _ in sets:
+            for x, y in links:
+                top = {k: min(top[x], top[y]) if t in (top[x], top[y]) else t for k, t in top.items()}
+        return top
+
+    assert classes(found) == classes(alike)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a long, b long")
     assert {r.id: r.component for r in tensor_minhash.components(links).collect()} == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100}

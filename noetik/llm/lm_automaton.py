@@ -15,6 +15,7 @@ Null or empty text: only the end token. Repeated ids: each row is scored by itse
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from functools import cache
 
@@ -28,8 +29,6 @@ from . import blocks as B
 
 BOS, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 STEP = np.uint64(0xA0761D6478BD642F)
-#: Of orders over 1, the share of n-grams whose statistics estimate mu is 1 / SAMPLE, by their hash.
-SAMPLE = 64
 BINS = 64
 
 
@@ -178,8 +177,8 @@ def unigram(counts: np.ndarray, model: dict) -> np.ndarray:
     return np.where(counts > 0, (counts - d[np.minimum(counts, 3)]) / n, model["unknown"])
 
 
-def _send(table: pa.Table, order: int, n_buckets: int, all_of: int) -> pa.Table:
-    """Distinct keys and training counts of one block, by bucket. Orders up to all_of are whole, others sampled."""
+def _send(table: pa.Table, order: int, n_buckets: int) -> pa.Table:
+    """Distinct keys and training counts of one block, by bucket."""
     texts = B.column_bytes(table, "text")
     train = np.array(table.column("train").to_pylist(), float)
     grams = Grams(texts, order)
@@ -187,9 +186,6 @@ def _send(table: pa.Table, order: int, n_buckets: int, all_of: int) -> pa.Table:
     out: dict[str, list] = {"bucket": [], "block": [], "n_order": [], "keys": [], "counts": []}
     for k in range(order):
         keys, counts = grams.distinct(k, train)
-        if k >= all_of:
-            keep = (keys & np.uint64(SAMPLE - 1)) == 0
-            keys, counts = keys[keep], counts[keep]
         bounds = B.bucket_bounds(keys, n_buckets)
         for b in range(n_buckets):
             i, j = bounds[b], bounds[b + 1]
@@ -199,9 +195,10 @@ def _send(table: pa.Table, order: int, n_buckets: int, all_of: int) -> pa.Table:
     return pa.table(out, schema=B.SENT)
 
 
-def _statistics(key: tuple, table: pa.Table) -> pa.Table:
+def _statistics(key: tuple, table: pa.Table, n_buckets: int) -> pa.Table:
+    """Counts of counts of one bucket's keys, of every order."""
     bos = B.unpack_keys(B.pack_keys(np.array([BOS], np.uint64)))[0]
-    own = key[0].as_py() == int(BOS) * _buckets(table) >> 64
+    own = key[0].as_py() == int(BOS) * n_buckets >> 64
     out = {"n_order": [], "name": [], "value": []}
     for k, _, _, distinct, total in B.gathered(table):
         history = total[total > 0]
@@ -214,13 +211,9 @@ def _statistics(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("n_order", pa.int32()), ("name", pa.string()), ("value", pa.int64())]))
 
 
-def _buckets(table: pa.Table) -> int:
-    return table.column("buckets")[0].as_py()
-
-
 def model_of(stats: dict[tuple[int, str], int], order: int) -> dict:
     """Global parameters from counts of counts."""
-    get = lambda k, name: stats.get((k, name), 0) * (SAMPLE if k else 1)
+    get = lambda k, name: stats.get((k, name), 0)
     n, v = get(0, "N"), get(0, "V")
     n1, n2, n3, n4 = (get(0, f"n{c}") for c in range(1, 5))
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
@@ -238,36 +231,30 @@ def model_of(stats: dict[tuple[int, str], int], order: int) -> dict:
     return model
 
 
+def fitted(sent: DataFrame, n_buckets: int, order: int) -> DataFrame:
+    """One row with the model's parameters, from the counts of all keys that blocks sent."""
+    stats = sent.groupBy("bucket").applyInArrow(lambda key, table: _statistics(key, table, n_buckets), "n_order int, name string, value long")
+    one = stats.groupBy("n_order", "name").agg(F.sum("value").alias("value")).agg(F.collect_list(F.struct("n_order", "name", "value")).alias("stats"))
+
+    def solve(batches):
+        for b in batches:
+            models = [model_of({(r["n_order"], r["name"]): r["value"] for r in rows}, order) for rows in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(pickle.dumps, models), pa.binary())], ["model"])
+
+    return one.mapInArrow(solve, "model binary")
+
+
 def train_and_score(docs: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all rows of docs with the model of those rows where train holds."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     n = B.block_count(own)
-
-    def scan(batches):
-        """Batches of a scan, gathered to blocks of bounded size."""
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= B.BLOCK_BYTES:
-                yield from _send(pa.Table.from_batches(held), order, n, 1).to_batches()
-                held, size = [], 0
-        if held:
-            yield from _send(pa.Table.from_batches(held), order, n, 1).to_batches()
-
-    sampled = own.mapInArrow(scan, B.SENT_SQL).withColumn("buckets", F.lit(n))
-    stats = sampled.groupBy("bucket").applyInArrow(_statistics, "n_order int, name string, value long")
-    model = model_of({(r[0], r[1]): r[2] for r in stats.groupBy("n_order", "name").sum("value").collect()}, order)
-
     blocks = own.withColumn("block", B.block_of("doc_id", n)).repartition(n, "block")
-
-    def send(table: pa.Table) -> pa.Table:
-        return _send(table, order, n, order)
-
-    answers = blocks.groupBy("block").applyInArrow(send, B.SENT_SQL).groupBy("bucket").applyInArrow(B.answer, B.ANSWER_SQL)
+    sent = blocks.groupBy("block").applyInArrow(lambda table: _send(table, order, n), B.SENT_SQL)
+    answers = sent.groupBy("bucket").applyInArrow(B.answer, B.ANSWER_SQL)
+    blocks = blocks.crossJoin(F.broadcast(fitted(sent, n, order)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = B.column_bytes(left, "text")
+        texts, model = B.column_bytes(left, "text"), pickle.loads(left.column("model")[0].as_py())
         grams = Grams(texts, order)
         rows = sorted(right.to_pylist(), key=lambda r: (r["n_order"], r["bucket"]))
         counts = []

@@ -91,6 +91,36 @@ def test_automaton_is_the_smoothed_model():
         assert math.isclose(g, sum(math.log10(p(s[i], tuple(s[max(0, i - 2) : i]))) for i in range(1, len(s))), abs_tol=1e-9)
 
 
+def test_backoff_weight_is_of_all_ngrams(spark):
+    chance = random.Random(5)
+    for n in (1, 40):
+        texts = [" ".join(chance.choices(["a", "b", "c", *(f"v{k}" for k in range(60))], k=25)) for _ in range(n)]
+        seen = collections.Counter()
+        for t in texts:
+            w = ["<s>", *t.split(), "</s>"]
+            for k in (1, 2, 3):
+                seen.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        unigrams = [c for g, c in seen.items() if len(g) == 1 and g != ("<s>",)]
+        stats = {(0, "N"): sum(unigrams), (0, "V"): len(unigrams)} | {(0, f"n{c}"): unigrams.count(c) for c in range(1, 5)}
+        model = lm_automaton.model_of(stats, 3)
+        for k in (1, 2):
+            bins = collections.defaultdict(list)
+            for g, c in seen.items():
+                if len(g) == k:
+                    bins[int(math.log2(c))].append(c)
+            once = sum(c == 1 for g, c in seen.items() if len(g) == k + 1)
+            low, high = 1e-2, 1e9
+            for _ in range(100):
+                mid = math.sqrt(low * high)
+                low, high = (mid, high) if sum(sum(b) * mid / (sum(b) / len(b) + mid) for b in bins.values()) < once else (low, mid)
+            model["mu"][k] = low
+        grams = lm_automaton.Grams([t.encode() for t in texts], 3)
+        counts = [grams.distinct(k, np.ones(n))[1] for k in range(3)]
+        want = lm_automaton.Automaton(grams, counts, model).score(grams)
+        got = by_id(lm_automaton.train_and_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True), 3))
+        assert np.allclose([got[i].score for i in range(n)], want, rtol=1e-9), n
+
+
 def test_trees_learn_and_walk(spark, docs, empty):
     x = np.random.default_rng(0).random((3000, quality_gbt.DIM))
     y = ((x[:, 3] > 0.6) & (x[:, 7] < 0.5) | (x[:, 1] > 0.9)).astype(float)

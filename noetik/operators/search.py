@@ -30,6 +30,18 @@ def phrase(docs: DataFrame, text: str, words: str) -> DataFrame:
     return docs.where(F.lower(F.col(text)).contains(words.lower()))
 
 
+def containing(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, item_id of every body of docs that holds a phrase p. Candidates come by the phrase's longest inner word: the
+    first and the last may be cut, those between are whole words of the body too. Phrases without one meet all bodies."""
+    words = tokens(F.col("p"))
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    keyed = phrases.withColumn("t", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    by_word = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("body")))).alias("t")).join(keyed.where("t IS NOT NULL"), "t")
+    hit = docs.join(by_word.select("doc_id", "item_id", "p"), "doc_id").where(F.col("body").contains(F.col("p")))
+    short = docs.join(keyed.where("t IS NULL AND p IS NOT NULL"), F.col("body").contains(F.col("p")))
+    return hit.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

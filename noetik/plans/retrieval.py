@@ -360,14 +360,7 @@ def _(s, d):
 
 @query("phrase", "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(substr(benchmark.text, 1, 60)))")
 def _(s, d):
-    q = T.table(s, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("p"))
-    first = q.withColumn("t", F.element_at(F.sort_array(F.transform(X.tokens(F.substring("p", 1, 60)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), False), 1)["w"])
-    docs = T.table(s, d, "documents").select("doc_id", F.lower("text").alias("body"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("body")))).alias("t"))
-    hit = words.join(first, "t").select("doc_id", "item_id", "p")  # candidates by the longest word of the phrase
-    cut = q.where(F.size(X.tokens(F.col("p"))) < 3).select("item_id")  # no whole word can be relied on at the phrase's ends
-    tail = docs.select("doc_id").limit(0).join(cut, F.lit(False))
-    return docs.join(hit, "doc_id").where(F.col("body").contains(F.col("p"))).select("doc_id", "item_id").unionByName(tail).distinct()
+    return S.containing(T.table(s, d, "documents").select("doc_id", F.lower("text").alias("body")), T.table(s, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("p")))
 
 
 @query("name_lookup", "SELECT p_partkey AS entity_id, p_name AS canonical_name FROM part WHERE lower(p_brand) LIKE 'brand#1%'")

@@ -2,7 +2,7 @@
 
 Each page's containers are scored by the prose that they hold; the best container's path, generalised to tags and
 classes without digits, is a vote. Spark adds up the votes of each host, and every page is extracted again with its
-host's winning path, or with its own best container where no container has that path. So one odd page, whose advert is
+host's winning path, all containers of it in page order, or with its own best container where none has that path. So one odd page, whose advert is
 longer than its article, follows its host.
 
 Votes are pre-aggregated before they are shuffled, and a host's pages are salted over SALTS keys when they meet the
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 64
+#: A block beside a container with fewer letters and digits than these is a mark, not prose.
+LETTERS = 2
 #: Elements without content that a reader sees as text of the article.
 DROPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "select", "textarea", "title", "head", "math", "audio", "video"}
 ASIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
@@ -148,7 +150,7 @@ def parse(text: str) -> Page:
 
 
 def best_container(page: Page) -> int:
-    """From the root down to where the prose parts, or to the article."""
+    """From the root down to where the prose parts, or to the article. A child is entered only if no prose stays behind."""
     at = 0
     while True:
         inner = [k for k in page.nodes[at].children if page.nodes[k].tag in CONTAINER and not page.nodes[k].aside]
@@ -159,15 +161,30 @@ def best_container(page: Page) -> int:
                 return at
             continue
         down = [k for k in inner if page.nodes[k].prose > 0.6 * page.nodes[at].prose and page.nodes[k].tag not in ("ul", "ol", "dl", "blockquote", "figure")]
-        if not down:
+        if not down or left_behind(page, at, down[0]):
             return at
         at = down[0]
 
 
-def text_of(page: Page, container: int) -> str:
-    inside = [False] * len(page.nodes)
+def left_behind(page: Page, at: int, child: int) -> bool:
+    """Whether a container holds prose outside one of its children: a block of LETTERS letters or digits outside links."""
+    if page.nodes[child].prose == page.nodes[at].prose:
+        return False
+    within, link = [0] * len(page.nodes), [False] * len(page.nodes)  # 1: in the container, 2: in the child
     for k, n in enumerate(page.nodes):
-        inside[k] = k == container or (n.parent >= 0 and inside[n.parent])
+        within[k] = 2 if k == child else 1 if k == at else within[n.parent] if n.parent >= 0 else 0
+        link[k] = n.tag == "a" or (n.parent >= 0 and link[n.parent])
+    blocks: dict[int, int] = {}
+    for k, b, t in page.pieces:
+        if within[k] == 1 and not link[k]:
+            blocks[b] = blocks.get(b, 0) + sum(map(str.isalnum, t))
+    return any(n >= LETTERS for n in blocks.values())
+
+
+def text_of(page: Page, containers: list[int]) -> str:
+    inside, chosen = [False] * len(page.nodes), set(containers)
+    for k, n in enumerate(page.nodes):
+        inside[k] = k in chosen or (n.parent >= 0 and inside[n.parent])
     blocks: dict[int, list[str]] = {}
     for k, b, t in page.pieces:
         if inside[k]:
@@ -183,7 +200,7 @@ def vote(html: str) -> str:
 def extract(html: str, path: str | None) -> str:
     page = parse(html)
     same = [k for k, n in enumerate(page.nodes) if n.prose and path and path.endswith(n.name) and page.path(k) == path]
-    return text_of(page, max(same, key=lambda k: page.nodes[k].prose) if same else best_container(page))
+    return text_of(page, same or [best_container(page)])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -210,6 +210,22 @@ def test_hosts_agree(spark):
     assert got[9].text == "short" and got[10].text == "" and got[11].n_chars == 0 and len(got) == 8
 
 
+def test_pages_of_several_sections(spark):
+    long, short = "Many good words stand here. " * 7, "Some more words. " * 5
+    pages = {
+        "main": (f"<body><nav>a menu</nav><main><section><p>{long}</p></section><section><p>{short}</p></section></main><footer>the end</footer></body>", [long, short]),
+        "table": (f"<body><div class=content><p>{short}</p><table><tr><td>{long}</td></tr></table><p>Last words.</p></div></body>", [short, long, "Last words."]),
+        "articles": (f"<body><article><p>{short}</p></article><article><p>{long}</p></article><div class=ad>buy this now</div></body>", [short, long]),
+        "unspaced": (f"<body><div class=a><p>{long}</p></div><div class=b><p>日本語の文章。</p></div></body>", [long, "日本語の文章。"]),
+        "nested": (f"<body><div><div><div class=a><p>{long}</p></div></div><div class=b><p>{short}</p></div></div></body>", [long, short]),
+    }
+    rows = [(3 * k + n, f"http://{h}.org/{n}", page) for k, (h, (page, _)) in enumerate(pages.items()) for n in range(3)]
+    got = by_id(html_consensus.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    for k, (_, parts) in enumerate(pages.values()):
+        for n in range(3):
+            assert got[3 * k + n].text == "\n".join(p.strip() for p in parts)
+
+
 def test_spotsigs(docs, empty):
     got = by_id(spotsigs.edited(docs))
     order = sorted(range(len(TEXTS)), reverse=True)

@@ -4,7 +4,7 @@ The pre-tokenizer of a byte-level BPE vocabulary never joins what stands before
 a text's ids are those of its pieces: the first as it is, each later one with the space before it. A piece is split off
 only where both neighbours of the space are not white space. A piece of letters is one pre-token, which the tokenizers
 library's BPE model merges; other pieces are cut by the pre-tokenizer's pattern first. The cache is emptied when it
-holds KEPT pieces, so memory is bounded.
+holds KEPT pieces, so memory is bounded. A text that holds an added token is left to the library as a whole.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.table = byte_characters()
         self.space = self.table[0x20]
@@ -67,6 +68,8 @@ class PieceEncoder:
     def one(self, text: str) -> bytes:
         if len(self.first) + len(self.later) > KEPT:
             self.first.clear(), self.later.clear()
+        if any(a in text for a in self.added):
+            return b"".join([self.ids[k] for k in self.tokenizer.encode(text, add_special_tokens=False).ids])
         pieces = text.split(" ")
         head = pieces.pop(0)
         out = list(map(self.later.get, pieces))

@@ -146,6 +146,21 @@ def ids_of(texts, end):
     return [np.array([*e.ids, end], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_added_tokens(spark, tmp_path):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "  <|endoftext|> x <|endoftext|><|endoftext|>\n", "<|endoftext", "<|endoftext|", "plain words"]
+    want = ids_of(texts, 2)
+    assert want[0].tolist() == [64, 50256, 65, 2]
+    docs = spark.createDataFrame([(3 * k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    wavelet.write(docs, str(tmp_path / "t"), VOCABULARY)
+    got, start = by_id(wavelet.read(spark, str(tmp_path / "t"))), 0
+    for k, x in enumerate(want):
+        assert (got[3 * k].start, got[3 * k].n_tokens, got[3 * k].ids_crc32) == (start, len(x), zlib.crc32(x.tobytes()))
+        start += len(x)
+    for r in packing.pack_documents(docs, VOCABULARY, with_ids=True).collect():
+        ids = ids_of(texts, 1)[r.doc_id // 3]
+        assert (r.doc_tokens, bytes(r.ids)) == (len(ids), ids[r.start : r.start + r.length].tobytes())
+
+
 def test_wavelet_files(spark, docs, empty, tmp_path):
     ids = np.array([5, 0, 5, 9, 1, 5, 9], np.uint32)
     m = wavelet.WaveletMatrix(wavelet.encode(ids, np.array([1, 2]), np.array([0, 4])))

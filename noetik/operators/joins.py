@@ -25,13 +25,17 @@ def latest_before(asked: DataFrame, facts: DataFrame, key: str, at: str, carried
     return out.select(*asked.columns, *[F.col(f"found.{c}").alias(c) for c in carried])
 
 
-def merge_closure(merges: DataFrame, depth: int = 32) -> DataFrame:
-    """id, canonical: the end of each chain (id, merged_into), by pointer doubling; null on a cycle."""
+def merge_closure(merges: DataFrame) -> DataFrame:
+    """id, canonical: the end of each chain (id, merged_into), by pointer doubling; null on a cycle. Each turn ends some
+    chain as long as one is open, so once their number stays, what is open runs into cycles."""
+    inner = merges.select(F.col("id").alias("canonical"), F.lit(True).alias("inner")).distinct()
     now = merges.select("id", F.col("merged_into").alias("canonical"))
-    for _ in range(depth.bit_length()):
+    opened, before = now.join(inner, "canonical").count(), None
+    while opened and opened != before:
         nxt = now.select(F.col("id").alias("canonical"), F.col("canonical").alias("next"))
         now = cut(now.join(nxt, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical")))
-    ends = now.join(merges.select(F.col("id").alias("canonical"), F.lit(True).alias("inner")), "canonical", "left")
+        opened, before = now.join(inner, "canonical").count(), opened
+    ends = now.join(inner, "canonical", "left")
     return ends.select("id", F.when(F.col("inner").isNull(), F.col("canonical")).alias("canonical"))
 
 

@@ -175,6 +175,12 @@ def _(s, d):
     return J.merge_closure(merges)
 
 
+@query("merge_closure_all", "WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 2 AS up FROM part WHERE p_partkey >= 2), c AS (SELECT id, up FROM m UNION ALL SELECT c.id, m.up FROM c JOIN m ON m.id = c.up) SELECT id, min(up) AS canonical FROM c GROUP BY id")
+def _(s, d):
+    merges = T.entities(s, d).where("entity_id >= 2").select(F.col("entity_id").alias("id"), F.expr("entity_id div 2").alias("merged_into"))  # 1 is the root
+    return J.merge_closure(merges)
+
+
 @query("lifecycle", "SELECT event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p = 'signup' AND event_type = 'signup'")
 def _(s, d):
     e = T.saves(s, d)

@@ -232,6 +232,11 @@ def _(s, d):
     return J.hops(e, s.range(1, 2).select("id"), 2)
 
 
+@query("relation_hops_all", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem), h AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hop UNION SELECT e.b, h.hop + 1 FROM h JOIN e ON e.a = h.id WHERE h.hop < 2) SELECT id, min(hop) AS hop FROM h GROUP BY id")
+def _(s, d):
+    return J.hops(T.claims(s, d).select(F.col("attributed_to").alias("a"), F.col("entity_id").alias("b")).distinct(), s.range(1, 2).select("id"), 2)
+
+
 @query("run_diff", f"WITH o AS (SELECT source_id, max(quantity) AS v FROM ({CLAIM}) WHERE run_status = 'F' GROUP BY 1), n AS (SELECT source_id, max(quantity) AS v FROM ({CLAIM}) WHERE run_status = 'O' GROUP BY 1) SELECT source_id, CASE WHEN o.v IS NULL THEN 'added' WHEN n.v IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n USING (source_id) WHERE o.v IS DISTINCT FROM n.v")
 def _(s, d):
     c = T.claims(s, d)

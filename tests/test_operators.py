@@ -29,6 +29,13 @@ def test_merge_chains_and_cycles(spark):
     assert {r.id: r.canonical for r in joins.merge_closure(m).collect()} == {"b": "c", "a": "c", "x": None, "y": None}
 
 
+def test_long_chains_and_odd_cycles(spark):
+    chain = [(k, k + 1) for k in range(1, 150)]
+    cycles = [(1001, 1002), (1002, 1003), (1003, 1001), (1004, 1001), (1005, 1005)]
+    got = {r.id: r.canonical for r in joins.merge_closure(spark.createDataFrame(chain + cycles, "id long, merged_into long")).collect()}
+    assert got == {k: 150 for k, _ in chain} | {k: None for k, _ in cycles}
+
+
 def test_a_hash_that_comes_back_is_a_change(spark):
     df = spark.createDataFrame([("s", 1, "A"), ("s", 2, "A"), ("s", 3, "B"), ("s", 4, "A")], "k string, t int, h string")
     assert [r.t for r in windows.changes(df, "k", ["t"], "h").orderBy("t").collect()] == [1, 3, 4]

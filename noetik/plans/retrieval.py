@@ -346,6 +346,16 @@ def _(s, d):
     return S.postings(T.table(s, d, "benchmark"), "item_id", F.col("text"))
 
 
+@query("term_stats_documents", f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
+def _(s, d):
+    return S.postings(T.table(s, d, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("fts_rebuild_documents", f"WITH t AS (SELECT doc_id AS doc, unnest({TOKENS}) AS term FROM documents) SELECT term, doc, count(*) AS tf FROM t GROUP BY term, doc")
+def _(s, d):
+    return S.postings(T.table(s, d, "documents"), "doc_id", F.col("text"))
+
+
 QUERY = ["the", "of", "anent"]
 BM25 = f"""WITH w AS (SELECT doc_id AS doc, {TOKENS} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
 tf AS (SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(w) AS dl, unnest(w) AS term FROM w) WHERE term IN ('the', 'of', 'anent') GROUP BY ALL),

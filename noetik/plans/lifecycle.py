@@ -25,14 +25,18 @@ SELECT * FROM (SELECT doc_id AS did, r.*, row_number() OVER (PARTITION BY doc_id
 FROM documents LEFT JOIN labels l USING (doc_id), {RULE_SQL} WHERE (kind LIKE 'source%' AND target = CAST(doc_id AS VARCHAR)) OR (kind = 'creator' AND target = source) OR (kind = 'collection' AND target = lang) OR (kind = 'semantic' AND l.toxic = 1)
 OR (kind = 'keyword' AND list_contains(string_split_regex(lower(substr(text, 1, 400)), '[^\p{{L}}\p{{N}}]+'), target))) WHERE n = 1) ON did = doc_id"""
 
+#: Keyword rules on the whole text instead of its first 400 characters.
+DECIDED_WHOLE = DECIDED.replace("substr(text, 1, 400)", "text")
+
 
 def _rules(s, kinds=None):
     rules = s.createDataFrame(RULES, "rule_id int, kind string, target string, action string, priority int, created_at_ms int")
     return rules.where(F.col("kind").isin(kinds)) if kinds else rules
 
 
-def _decided(s, d, kinds=None):
-    sources = T.sources(s, d).select("source_id", "creator_id", "collection_id", F.substring("body", 1, 400).alias("title"))
+def _decided(s, d, kinds=None, whole=False):
+    matched = F.col("body") if whole else F.substring("body", 1, 400)
+    sources = T.sources(s, d).select("source_id", "creator_id", "collection_id", matched.alias("title"))
     labels = T.table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("source_id"), F.lit("toxic").alias("label"))
     return L.decide(sources, _rules(s, kinds), labels)
 
@@ -42,6 +46,27 @@ def _(s, d):
     return _decided(s, d)
 
 
+@query("policy_winner_whole", DECIDED_WHOLE)
+def _(s, d):
+    return _decided(s, d, whole=True)
+
+
+@query("policy_pass_a_whole", f"SELECT action, count(*) AS n FROM ({DECIDED_WHOLE}) WHERE reason <> 'semantic' GROUP BY action")
+def _(s, d):
+    return _decided(s, d, whole=True).where("reason <> 'semantic'").groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("policy_pass_b_whole", f"SELECT source_id FROM ({DECIDED_WHOLE}) WHERE reason = 'semantic'")
+def _(s, d):
+    return _decided(s, d, whole=True).where("reason = 'semantic'").select("source_id")
+
+
+@query("override_whole", f"SELECT source_id, CASE WHEN source_id % 100 = 3 THEN 'process' ELSE action END AS action, CASE WHEN source_id % 100 = 3 THEN 'manual_override' ELSE reason END AS reason FROM ({DECIDED_WHOLE})")
+def _(s, d):
+    once = T.sources(s, d).where("source_id % 100 = 3").select("source_id", F.lit("process").alias("action"))
+    return L.with_overrides(_decided(s, d, whole=True), once).select("source_id", "action", "reason")
+
+
 @query("policy_match", "SELECT doc_id AS source_id, 1 AS rule_id FROM documents WHERE source = 'src0' UNION ALL SELECT doc_id, 2 FROM documents WHERE lang = 'de'")
 def _(s, d):
     sources = T.sources(s, d).select("source_id", "creator_id", "collection_id", F.lit("").alias("title"))

@@ -6,18 +6,22 @@ probability, and every state has one failure arc to h' with weight log10(mu / (c
 every word: absolute discounting, whose freed mass belongs to the unknown word, so each distribution sums to 1.
 mu is estimated for each order so that the expected mass of new continuations equals the share of n-grams seen once.
 
-Scale: the whole model never meets in one place. Blocks of documents send their distinct n-gram keys to buckets, which
-add up training counts over the whole corpus and send back only the counts, in the order of the keys. Each block builds
-the part of the automaton that its own texts can reach and traverses its documents from left to right in lock step.
+Scale: the whole model never meets in one place. Blocks of documents, stored once as they are read, send their distinct
+n-gram keys to buckets, which add up training counts over the whole corpus and send back only the counts, in the order
+of the keys. Each block builds the part of the automaton that its own texts can reach and traverses its documents from
+left to right in lock step. Texts are never shuffled by key, so no source, host or copy group makes a block larger.
 
-Null or empty text: only the end token. Repeated ids: each row is scored by itself. Extra columns are ignored.
+Words are told apart by 64-bit hashes, of which blocks send 56 bits beside the bucket (see blocks.py): n_known and
+base_score are those of the words unless two words agree in all of that, a chance of about v * v / 2**61 for v words.
+
+Null or empty text: only the end token. Repeated ids: each row is scored by itself. A null id is kept. Extra columns are
+ignored, whatever their names. An empty table gives no rows; without training rows every word is unknown and N is 0.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from . import blocks as B
 BOS, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 STEP = np.uint64(0xA0761D6478BD642F)
 BINS = 64
+BLOCK_BYTES = 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -69,14 +74,18 @@ class Grams:
                 self.hash.append(h)
         self.exists = [place >= k for k in range(order)]
 
-    @cache  # noqa: B019  the block's own
+        self._unique: dict[int, tuple] = {}
+
     def unique(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of order k + 1, the first token of each, and every token's place among them (-1: none)."""
+        if k in self._unique:
+            return self._unique[k]
         here = np.flatnonzero(self.exists[k])
         keys, first, inverse = np.unique(self.hash[k][here], return_index=True, return_inverse=True)
         every = np.full(len(self.doc), -1)
         every[here] = inverse
-        return keys, here[first], every
+        self._unique[k] = keys, here[first], every
+        return self._unique[k]
 
     def distinct(self, k: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted keys of order k + 1 and their counts in training documents."""
@@ -91,7 +100,7 @@ class Automaton:
     def __init__(self, grams: Grams, counts: list[np.ndarray], model: dict):
         order = len(counts)
         at = [grams.unique(k)[1:] for k in range(order)]  # of each order: the first token of each distinct n-gram, and every token's n-gram
-        self.word, n_words = at[0][1], len(at[0][0])
+        self.word, self.counts, n_words = at[0][1], counts[0], len(at[0][0])
         root_p = unigram(counts[0], model)
         root_p[at[0][1][grams.starts[0]]] = 1.0  # the start mark is never predicted
         below, offset, states = None, 0, 1
@@ -177,30 +186,25 @@ def unigram(counts: np.ndarray, model: dict) -> np.ndarray:
     return np.where(counts > 0, (counts - d[np.minimum(counts, 3)]) / n, model["unknown"])
 
 
-def _send(table: pa.Table, order: int, n_buckets: int) -> pa.Table:
+def _texts(data: bytes) -> tuple[pa.Table, list[bytes], np.ndarray]:
+    """A stored block's rows, texts and training marks."""
+    rows = B.rows_of(data)
+    return rows, B.column_bytes(rows, "text"), rows.column("train").to_numpy().astype(float)
+
+
+def _send(block: int, data: bytes, order: int, n_buckets: int) -> pa.Table:
     """Distinct keys and training counts of one block, by bucket."""
-    texts = B.column_bytes(table, "text")
-    train = np.array(table.column("train").to_pylist(), float)
+    _, texts, train = _texts(data)
     grams = Grams(texts, order)
-    block = table.column("block")[0].as_py() if "block" in table.column_names else 0
-    out: dict[str, list] = {"bucket": [], "block": [], "n_order": [], "keys": [], "counts": []}
-    for k in range(order):
-        keys, counts = grams.distinct(k, train)
-        bounds = B.bucket_bounds(keys, n_buckets)
-        for b in range(n_buckets):
-            i, j = bounds[b], bounds[b + 1]
-            if i < j:
-                for name, v in zip(out, (b, block, k, B.pack_keys(keys[i:j]), B.pack_counts(counts[i:j])), strict=True):
-                    out[name].append(v)
-    return pa.table(out, schema=B.SENT)
+    return pa.concat_tables([B.to_buckets(block, k, *grams.distinct(k, train), n_buckets) for k in range(order)])
 
 
 def _statistics(key: tuple, table: pa.Table, n_buckets: int) -> pa.Table:
     """Counts of counts of one bucket's keys, of every order."""
-    bos = B.unpack_keys(B.pack_keys(np.array([BOS], np.uint64)))[0]
-    own = key[0].as_py() == int(BOS) * n_buckets >> 64
+    mark = np.array([BOS], np.uint64)
+    bos, own = B.unpack_keys(B.pack_keys(mark))[0], key[0].as_py() == int(B.bucket_of(mark, n_buckets)[0])
     out = {"n_order": [], "name": [], "value": []}
-    for k, _, _, distinct, total in B.gathered(table):
+    for k, _, _, _, distinct, total in B.gathered(table):
         history = total[total > 0]
         event = total[(total > 0) & ~((distinct == bos) & own & (k == 0))]
         bins = np.minimum(np.log2(history).astype(int), BINS - 1) if len(history) else np.zeros(0, int)
@@ -208,6 +212,7 @@ def _statistics(key: tuple, table: pa.Table, n_buckets: int) -> pa.Table:
         values |= {f"h{b}": (bins == b).sum() for b in np.unique(bins)} | {f"c{b}": history[bins == b].sum() for b in np.unique(bins)}
         for name, v in values.items():
             out["n_order"].append(k), out["name"].append(name), out["value"].append(int(v))
+    B.trim()
     return pa.table(out, schema=pa.schema([("n_order", pa.int32()), ("name", pa.string()), ("value", pa.int64())]))
 
 
@@ -247,37 +252,41 @@ def fitted(sent: DataFrame, n_buckets: int, order: int) -> DataFrame:
 def train_and_score(docs: DataFrame, train: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all rows of docs with the model of those rows where train holds."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    n = B.block_count(own)
-    blocks = own.withColumn("block", B.block_of("doc_id", n)).repartition(n, "block")
-    sent = blocks.groupBy("block").applyInArrow(lambda table: _send(table, order, n), B.SENT_SQL)
+    blocks = B.stored(own, BLOCK_BYTES)
+    n = max(B.LEAST_BLOCKS, blocks.count())
+
+    def send(batches):
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield from _send(block, data, order, n).to_batches()
+                B.trim()
+
+    sent = blocks.mapInArrow(send, B.SENT_SQL)
     answers = sent.groupBy("bucket").applyInArrow(B.answer, B.ANSWER_SQL)
-    blocks = blocks.crossJoin(F.broadcast(fitted(sent, n, order)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, model = B.column_bytes(left, "text"), pickle.loads(left.column("model")[0].as_py())
+        rows, texts, held = _texts(left.column("data")[0].as_py())
+        model = pickle.loads(left.column("model")[0].as_py())
         grams = Grams(texts, order)
-        rows = sorted(right.to_pylist(), key=lambda r: (r["n_order"], r["bucket"]))
-        counts = []
-        for k in range(order):
-            keys = grams.unique(k)[0]
-            bounds = B.bucket_bounds(keys, n)
-            own = [r for r in rows if r["n_order"] == k]
-            counts.append(np.concatenate([B.unpack_counts(r["totals"], bounds[r["bucket"] + 1] - bounds[r["bucket"]]) for r in own]))
-        automaton = Automaton(grams, counts, model)
+        automaton = Automaton(grams, [B.answered(right, k) for k in range(order)], model)
         scores = automaton.score(grams)
-        c = counts[0][automaton.word]
+        c = automaton.counts[automaton.word]
         event = np.ones(len(c), bool)
         event[grams.starts] = False
         base = np.log10((c + 0.1) / (model["N"] + 0.1 * (model["V"] + 1)))
         add = lambda x: np.bincount(grams.doc[event], x[event], len(texts))
-        return pa.table(
+        out = pa.table(
             {
-                "doc_id": left.column("doc_id"), "held_out": pa.array(~np.array(left.column("train").to_pylist(), bool)),
+                "doc_id": rows.column("doc_id"), "held_out": pa.array(held == 0),
                 "n_tokens": pa.array(grams.lengths - 1), "n_known": pa.array(add((c > 0).astype(float)).astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(texts), model["N"], np.int64)), "base_score": pa.array(add(base)), "score": pa.array(scores),
             }
         )
+        del grams, automaton, c, event, base
+        B.trim()
+        return out
 
     kind = dict(own.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    blocks = blocks.crossJoin(F.broadcast(fitted(sent, n, order)))  # one row
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)

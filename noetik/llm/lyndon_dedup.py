@@ -105,9 +105,7 @@ class Block:
 def _keys(table: pa.Table, n: int) -> pa.Table:
     block = Block(table)
     keys, counts = np.unique(block.key, return_counts=True)
-    bounds = B.bucket_bounds(keys, n)
-    out = [(b, table.column("block")[0].as_py(), 0, B.pack_keys(keys[i:j]), B.pack_counts(np.minimum(counts[i:j], 2))) for b in range(n) if (i := bounds[b]) < (j := bounds[b + 1])]
-    return pa.Table.from_pylist([dict(zip(B.SENT.names, r, strict=True)) for r in out], schema=B.SENT)
+    return B.to_buckets(table.column("block")[0].as_py(), 0, keys, np.minimum(counts, 2), n)
 
 
 def _stretches(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
@@ -116,25 +114,23 @@ def _stretches(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
         return schema.empty_table()
     block, number = Block(left), left.column("block")[0].as_py()
     keys = np.unique(block.key)
-    bounds, twice = B.bucket_bounds(keys, n), np.zeros(len(keys), bool)
-    for r in right.to_pylist():
-        i, j = bounds[r["bucket"]], bounds[r["bucket"] + 1]
-        twice[i:j] = B.unpack_counts(r["totals"], j - i) > 1
+    twice = B.answered(right, 0) > 1
     own = np.flatnonzero(twice[np.searchsorted(keys, block.key)])
     _, first, which = np.unique(block.digest[own], return_index=True, return_inverse=True)
     copy = np.ones(len(own), bool)
     copy[first] = False
+    # equal digests are equal bytes, or else a stretch of its own
+    start, size = block.start[own], block.count[own] + LENGTH - 1
+    copies = np.flatnonzero(copy)
+    for k, x, y, n in zip(copies.tolist(), start[copies].tolist(), start[first[which[copies]]].tolist(), size[copies].tolist(), strict=True):
+        copy[k] = block.text[x : x + n] == block.text[y : y + n]
     by = own[np.argsort(block.key[own], kind="stable")]
     is_copy = np.zeros(len(block.key), bool)
     is_copy[own[copy]] = True
     doc, pos = block.address(block.start)
-    many = SPREAD * n
-    bounds = B.bucket_bounds(block.key[by], many)
-    out = []
-    for b in range(many):
-        some = by[bounds[b] : bounds[b + 1]]
-        if not len(some):
-            continue
+    bucket = B.bucket_of(block.key[by], SPREAD * n)
+    ends, out = B.runs(bucket), []
+    for b, some in zip(bucket[ends - 1].tolist(), np.split(by, ends[:-1]), strict=True) if len(by) else ():
         new, old = some[~is_copy[some]], some[is_copy[some]]
         meta, copies = np.zeros(len(new), ROW), np.zeros(len(old), SPAN)
         for to, k in ((meta, new), (copies, old)):

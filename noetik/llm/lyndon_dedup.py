@@ -228,7 +228,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
         return out
 
     kinds = dict(own.dtypes)
-    answers = blocks.groupBy("block").applyInArrow(keys, B.SENT_SQL).groupBy("bucket").applyInArrow(B.answer, B.ANSWER_SQL)
+    answers = blocks.groupBy("block").applyInArrow(keys, B.SENT_SQL).groupBy("bucket").applyInArrow(B.answer, B.ANSWER_SQL).withColumn("block", F.col("block").cast("int"))
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, STRETCH)
     to_sort = sent.groupBy("bucket").applyInArrow(_to_sort, TO_SORT)
     sorted_out = F.expr(f"CASE WHEN text IS NULL THEN array(named_struct('block', block, 'windows', windows)) ELSE noetik_repeated_windows(text, meta, {LENGTH}) END")

@@ -122,8 +122,8 @@ def _stretches(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
     # equal digests are equal bytes, or else a stretch of its own
     start, size = block.start[own], block.count[own] + LENGTH - 1
     copies = np.flatnonzero(copy)
-    for k, x, y, n in zip(copies.tolist(), start[copies].tolist(), start[first[which[copies]]].tolist(), size[copies].tolist(), strict=True):
-        copy[k] = block.text[x : x + n] == block.text[y : y + n]
+    for k, x, y, many in zip(copies.tolist(), start[copies].tolist(), start[first[which[copies]]].tolist(), size[copies].tolist(), strict=True):
+        copy[k] = block.text[x : x + many] == block.text[y : y + many]
     by = own[np.argsort(block.key[own], kind="stable")]
     is_copy = np.zeros(len(block.key), bool)
     is_copy[own[copy]] = True

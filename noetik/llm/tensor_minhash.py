@@ -5,14 +5,23 @@ key being ROWS minima, give M * M table keys by pairing each U with each V, so 4
 2 * ROWS * M * M. Two documents of similarity s meet in some table with probability (1 - (1 - s**ROWS)**M)**2: 0.9994
 at 0.8 and 0.999998 at 0.9.
 
-Only documents that meet another one in some U and in some V form table keys. Equal sets are one node. Each table bucket
-is a star about its smallest and its largest id, and confirmed stars give components. What is left are pairs in a bucket
-whose components differ: further turns take other centres, by hash, in a part of the buckets each, and the last compares
-all nodes of a U key that are still in different components, block by block. So no pair of candidates is lost and no group of links is expanded.
-Components grow by label propagation with pointer jumping; labels, links and sets stay in executors.
+Equal sets are one node. Table keys are formed only of those U and V keys that another node has too. Then:
+
+1. Each table bucket is a star about its smallest and its largest node. Nodes go to blocks with the nodes of the same
+   centre; a block holds each of its centres' sets once, and confirms links until its stars are connected.
+2. Confirmed links give components, by label propagation with pointer jumping.
+3. Buckets whose nodes are in different components are left. A link of x and y takes percent / (100 + percent) of the
+   sum of their sizes in common, so a node is done if too few of its shingles occur in other components' nodes.
+4. The rest that share a U key are compared in blocks, so no pair of candidates is lost and no pair is a row. Links
+   found here join components, and only these are labelled again.
+
+Labels, links and sets stay in executors. A hot bucket is spread over blocks in 1 and 4, and the shingles of its copies
+are combined before the shuffle in 3.
 
 Null text, or text without words: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence is
-one shingle. Repeated rows have equal sets, so they are in one component; each row is returned.
+one shingle. Repeated rows have equal sets, so they are in one component; each row is returned. Rows of one id with
+different texts are in the components of their own texts. A null id is in the component of its text; a component with no
+other id has a null component_id, and all its rows are kept. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +36,10 @@ from ..session import cut
 from .blocks import mix
 
 M, ROWS = 8, 2
-TURNS = 3
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19
+#: Sets and shingles of a block of nodes, to which their centres come.
+STAR_SETS, STAR_SHINGLES = 256, 1 << 18
+#: Sets and shingles of each of two blocks whose sets are all compared.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 LENGTH = np.uint64(0x2545F4914F6CDD1D)
 _seeds = mix(np.arange(1, 4 * M * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 XOR, ODD = _seeds[: 2 * M * ROWS, None], _seeds[2 * M * ROWS :, None] | np.uint64(1)
@@ -77,56 +88,100 @@ def group_keys(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, keys of each row of docs (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, set_hash, keys of each row of docs (doc_id, text_hash, text)."""
 
     def rows(batches):
         shingler = Shingler(size)
         for b in batches:
             n, digest, keys = [], [], []
-            for s in shingler.sets([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]):
+            for s in shingler.sets([t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]):
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(group_keys(s).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "keys"])
+            made = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "n_shingles", "set_hash", "keys"])
 
-    return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, set_hash binary, keys array<long>")
+    return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, set_hash binary, keys array<long>")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
+    """node, s: the sets of docs (node, text)."""
+
     def rows(batches):
         shingler = Shingler(size)
         for b in batches:
-            sets = [s.tobytes() for s in shingler.sets([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "s"])
+            sets = [s.view(np.int64) for s in shingler.sets([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    return docs.mapInArrow(rows, "node long, s array<long>")
 
-    return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, s binary")
 
+def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The cells of a column of lists of longs, as unsigned numbers."""
+    out = []
+    for c in column.chunks:
+        flat, ends = c.values.to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy()
+        out += [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return out
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
-    def rows(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(x) < percent * len(y):
-                    keep.append(False)
-                    continue
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = dict(pairs.dtypes)["a"]
-    return both.mapInArrow(rows, f"a {kind}, b {kind}")
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(x) < percent * len(y):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+class Forest:
+    """Roots of the classes that links have joined so far."""
+
+    def __init__(self):
+        self.root: dict = {}
+
+    def top(self, c):
+        root = self.root
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    def join(self, x, y) -> None:
+        self.root[self.top(x)] = self.top(y)
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of stars (node, n, centres), links a, b that connect what the links of nodes with their centres connect in each
+    block."""
+    first = stars.withColumn("z", F.array_min("centres"))
+    many = lambda n, m: F.ceil(F.greatest(n / STAR_SETS, m / STAR_SHINGLES)).cast("long")
+    blocks = max(1, first.agg(many(F.count("*"), F.sum("n"))).first()[0] or 0)
+    hot = first.groupBy("z").agg(many(F.count("*"), F.sum("n")).alias("parts")).where("parts > 1")
+    own = F.xxhash64("z", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = first.join(hot, "z", "left").withColumn("block", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("z"), F.lit(blocks))).otherwise(own)).select("block", "node", "centres")
+    members = dealt.join(sets, "node")
+    centres = dealt.select("block", F.explode("centres").alias("node")).distinct().join(sets, "node").select("block", "node", F.lit(None).cast("array<long>").alias("centres"), "s")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        nodes, around, own = table.column("node").to_pylist(), table.column("centres").to_pylist(), lists(table.column("s"))
+        known = dict(zip(nodes, own, strict=True))
+        forest, a, b = Forest(), [], []
+        for x, s, some in zip(nodes, own, around, strict=True):
+            for y in some or ():
+                if forest.top(x) != forest.top(y) and linked(s, known[y], percent):
+                    forest.join(x, y)
+                    a.append(x), b.append(y)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
+
+    return members.select("block", "node", "centres", "s").unionByName(centres).groupBy("block").applyInArrow(confirm, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of every id in links (a, b)."""
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(links.select(F.inline(ends)).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
@@ -139,10 +194,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def table_keys(keys: Column) -> Column:
-    return F.array(*[F.xxhash64(keys[i], keys[M + j], F.lit(M * i + j)) for i in range(M) for j in range(M)])
-
-
 def links_between(sets: list[np.ndarray], label: list, block: np.ndarray, outside: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join different labels, as a forest: places of sets of one block, or of one and the other block, of
     which one at least is outside the largest component."""
@@ -170,92 +221,94 @@ def links_between(sets: list[np.ndarray], label: list, block: np.ndarray, outsid
                 np.add.at(common, (who[:, j : j + 1], who), 1)
     alike = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None] - common.astype(np.int64))
     alike &= (outside[:, None] | outside[None]) & ((block[:, None] != block[None]) | (block.max() == block.min()))
-    root = {c: c for c in label}
-
-    def top(c):
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    out = []
+    forest, out = Forest(), []
     for x, y in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(alike, 1))), strict=True):
-        cx, cy = top(label[x]), top(label[y])
-        if cx != cy:
-            root[cx] = cy
+        if forest.top(label[x]) != forest.top(label[y]):
+            forest.join(label[x], label[y])
             out.append((x, y))
     return out
 
 
-def crossing(signed: DataFrame, labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between all nodes that share a key of U and are in different components.
+def possible(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the nodes (node, n, c, us) that may have a link with a node of another component: enough of their
+    shingles occur there, counted against the smallest node that shares a U key."""
+    each = mixed.join(sets, "node").select("node", "c", F.explode("s").alias("g"))
+    there = each.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("g")
+    shared = each.join(there, "g", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
+    likely = mixed.join(shared, "node").where((100 + percent) * F.col("common") >= percent * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
+    rows = cut(likely.select("node", "n", "c", "common", F.explode("us").alias("u")))
+    least = rows.groupBy("u").agg(F.min("n").alias("least"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    return rows.join(least, "u").where((100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("least"))).select("node", "n", "c", "u")
+
+
+def crossing(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of rows (node, n, c, u) that share a key u of U and are in different components c.
 
     The group of a U key is dealt into blocks by hash, those outside its largest component apart from the rest, and
     each pair of blocks with a block outside is one task's matrix of intersections. So no pair of nodes is a row, a
     hot group is spread over tasks, and a node's set is sent once for each block of its group.
     """
-    rows = signed.select("doc_id", "n_shingles", "keys").join(labelled, "doc_id")
-    rows = cut(rows.select("doc_id", "c", "n_shingles", F.posexplode(F.slice("keys", 1, M)).alias("i", "u")))
-    parts = rows.groupBy("i", "u", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
-    whole = parts.groupBy("i", "u").agg(F.max(F.struct("n", "c", "m")).alias("most"), F.sum("n").alias("sn"), F.sum("m").alias("sm"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    parts = rows.groupBy("u", "c").agg(F.count("*").alias("k"), F.sum("n").alias("m"))
+    whole = parts.groupBy("u").agg(F.max(F.struct("k", "c", "m")).alias("most"), F.sum("k").alias("sk"), F.sum("m").alias("sm"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
     many = lambda n, m: F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(m / BLOCK_SHINGLES)).cast("int")
-    whole = whole.select("i", "u", F.col("most.c").alias("largest"), many(F.col("sn") - F.col("most.n"), F.col("sm") - F.col("most.m")).alias("apart"), many(F.col("most.n"), F.col("most.m")).alias("rest"))
-    dealt = rows.join(whole, ["i", "u"]).withColumn("outside", F.col("c") != F.col("largest"))
-    hashed = F.xxhash64("doc_id", "u")
+    whole = whole.select("u", F.col("most.c").alias("largest"), many(F.col("sk") - F.col("most.k"), F.col("sm") - F.col("most.m")).alias("apart"), many(F.col("most.k"), F.col("most.m")).alias("rest"))
+    dealt = rows.join(whole, "u").withColumn("outside", F.col("c") != F.col("largest"))
+    hashed = F.xxhash64("node", "u")
     dealt = dealt.withColumn("block", F.when(F.col("outside"), F.pmod(hashed, "apart")).otherwise(F.col("apart") + F.pmod(hashed, "rest")).cast("int"))
     others = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("apart") + F.col("rest")).otherwise(F.col("apart")) - 1)
-    sent = dealt.join(sets, "doc_id").select("doc_id", "c", "i", "u", "outside", "block", "s", F.explode(others).alias("other"))
-    sent = sent.select("doc_id", "c", "i", "u", "outside", "block", "s", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    kind = dict(signed.dtypes)["doc_id"]
-
-    def linked(table):
-        ids, own = table.column("doc_id").to_pylist(), table.column("s").to_pylist()
-        found = links_between([np.frombuffer(s, np.uint64) for s in own], table.column("c").to_pylist(), table.column("block").to_numpy(), table.column("outside").to_numpy(), percent)
-        pairs = [sorted((ids[x], ids[y])) for x, y in found]
-        at = table.schema.field("doc_id").type
-        return pa.table({"a": pa.array([p[0] for p in pairs], at), "b": pa.array([p[1] for p in pairs], at)})
-
-    return sent.groupBy("i", "u", "p", "q").applyInArrow(linked, f"a {kind}, b {kind}").distinct()
+    sent = dealt.join(sets, "node").select("node", "c", "u", "outside", "block", "s", F.explode(others).alias("other"))
+    sent = sent.select("node", "c", "u", "outside", "block", "s", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, own = table.column("node").to_pylist(), lists(table.column("s"))
+        found = links_between(own, table.column("c").to_pylist(), table.column("block").to_numpy(), table.column("outside").to_numpy(), percent)
+        return pa.table([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], schema=LINKS)
+
+    return sent.groupBy("u", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+
+
+def labelled(nodes: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """nodes with a column c: the label of each one's column, or that itself."""
+    return nodes.join(labels.select(F.col("id").alias(column), "component"), column, "left").withColumn("c", F.coalesce("component", column)).drop("component")
+
+
+def classes(nodes: DataFrame, own: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, component (both nodes) of those nodes (node, n, keys, doc_id, text_hash) that are linked with another."""
+    groups = nodes.select("node", F.posexplode("keys").alias("place", "key")).select("node", (F.col("place") < M).alias("first"), F.xxhash64("place", "key").alias("g"))
+    met = groups.groupBy("g").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("g")
+    of = lambda side: F.collect_list(F.when(side, F.col("g")))
+    kept = groups.join(met, "g", "left_semi").groupBy("node").agg(of(F.col("first")).alias("us"), of(~F.col("first")).alias("vs")).where("size(us) > 0 and size(vs) > 0")
+    meeting = cut(nodes.select("node", "n", "doc_id", "text_hash").join(kept, "node"))
+    keys = F.explode(F.flatten(F.transform("us", lambda u: F.transform("vs", lambda v: F.xxhash64(u, v))))).alias("key")
+    entries = meeting.select("node", keys)
+    buckets = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = entries.join(buckets, "key").groupBy("node").agg(F.collect_set("low").alias("lows"), F.collect_set("high").alias("highs"))
+    # of two centres of one bucket, the larger has the smaller one
+    ends = F.array_union(F.filter("lows", lambda x: x < F.col("node")), F.filter("highs", lambda x: x > F.col("node")))
+    stars = cut(stars.select("node", ends.alias("centres")).join(meeting, "node").select("node", "n", "centres", "doc_id", "text_hash"))
+    texts = own.join(stars.select("node", F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
+    sets = cut(sets_of(texts.select("node", "text"), shingle))
+    labels = components(star_links(stars.select("node", "n", "centres"), sets, percent))
+    now = cut(labelled(meeting.select("node", "n", "us", "vs"), labels, "node"))
+    mixed = now.select("c", keys).groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    left = now.select("node", keys).join(mixed, "key", "left_semi").select("node").distinct()
+    rows = cut(possible(now.join(left, "node", "left_semi").select("node", "n", "c", "us"), sets, percent))
+    if rows.isEmpty():
+        return labels.select(F.col("id").alias("node"), "component")
+    found = crossing(rows, sets, percent)
+    of_nodes = rows.select(F.col("node").alias("a"), F.col("c").alias("ca")).distinct()
+    joins = found.join(of_nodes, "a").join(of_nodes.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return labelled(now.select("node", F.col("c").alias("before")), components(joins), "before").select("node", F.col("c").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(signatures(own, shingle))
-    nodes = cut(signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node")))
-    # each U and V key of each node; those met twice
-    single = signed.join(nodes.select(F.col("node").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
-    groups = single.select("doc_id", F.posexplode("keys").alias("place", "key"))
-    met = cut(groups.groupBy("place", "key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("place", "key"))
-    meeting = groups.join(met, ["place", "key"], "left_semi").groupBy("doc_id").agg(F.bool_or(F.col("place") < M).alias("u"), F.bool_or(F.col("place") >= M).alias("v")).where("u and v")
-    entries = cut(single.join(meeting, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode(table_keys(F.col("keys"))).alias("key")))
-    stars = cut(entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
-    in_stars = entries.join(stars, "key")
-    pairs = in_stars.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).where("a < b").unionByName(in_stars.select(F.col("doc_id").alias("a"), F.col("high").alias("b")).where("a < b"))
-    pairs = cut(pairs.distinct())
-    wanted = in_stars.select("doc_id").distinct()
-    sets = cut(sets_of(own.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
-    links = cut(confirmed(pairs, sets, percent))
-    labels = components(links)
-    # pairs of one bucket that are in different components still
-    tried, rows = pairs, in_stars.select("key", "doc_id", "n_shingles")
-    for turn in range(TURNS):
-        labelled = rows.join(labels, rows.doc_id == labels.id, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        rows = cut(labelled.join(mixed, "key", "left_semi"))
-        if rows.isEmpty():
-            break
-        if turn + 1 < TURNS:
-            centre = rows.where(F.pmod("key", F.lit(M)) == turn).groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key"), "doc_id", "n_shingles", "c")).alias("z"))
-            met = rows.join(centre, "key").where(f"c != z.c and 100 * least(n_shingles, z.n_shingles) >= {percent} * greatest(n_shingles, z.n_shingles)")
-            more = cut(met.select(F.least("doc_id", "z.doc_id").alias("a"), F.greatest("doc_id", "z.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-            tried = tried.unionByName(more)
-            found = confirmed(more, sets, percent)
-        else:
-            found = crossing(single, rows.select("doc_id", "c").distinct(), sets, percent)
-        links = cut(links.unionByName(found))
-        labels = components(links)
-        rows = rows.drop("c")
-    by_node = nodes.join(labels, nodes.node == labels.id, "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    # the text of a repeated id may differ: its row then belongs to the component of its own set
-    out = signed.join(by_node, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text) of every row of docs."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    signed = cut(signatures(own, shingle)).withColumn("node", F.expr("cast(conv(hex(substring(set_hash, 1, 8)), 16, -10) as long)"))
+    one = F.min(F.struct("doc_id", "text_hash"))
+    nodes = signed.where("n_shingles > 0").groupBy("node").agg(one.alias("r"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
+    nodes = cut(nodes.select("node", "n", "keys", "r.doc_id", "r.text_hash", "least"))
+    of = nodes.select("node", "least").join(classes(nodes, own, shingle, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    out = signed.where("n_shingles > 0").join(named, "node").unionByName(signed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

@@ -336,9 +336,11 @@ def test_crossing_blocks(spark, monkeypatch):
     chance = np.random.default_rng(2)
     sets = {k: np.sort(np.append(np.arange(90), 1000 + chance.choice(30, 12, replace=False))).astype(np.uint64) for k in range(40)}
     label = {k: 0 if k < 15 else k for k in sets}
-    signed = spark.createDataFrame([(k, len(s), [7] * tensor_minhash.M + [k] * tensor_minhash.M) for k, s in sets.items()], "doc_id long, n_shingles long, keys array<long>")
-    stored = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "doc_id long, s binary")
-    found = {(r.a, r.b) for r in tensor_minhash.crossing(signed, spark.createDataFrame(list(label.items()), "doc_id long, c long"), stored, 87).collect()}
+    rows = spark.createDataFrame([(k, len(s), label[k], 7) for k, s in sets.items()], "node long, n long, c long, u long")
+    stored = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in sets.items()], "node long, s array<long>")
+    found = {tuple(sorted((r.a, r.b))) for r in tensor_minhash.crossing(rows, stored, 87).collect()}
+    mixed = spark.createDataFrame([(k, len(s), label[k], [7]) for k, s in sets.items()], "node long, n long, c long, us array<long>")
+    assert {x for link in found for x in link} <= {r.node for r in tensor_minhash.possible(mixed, stored, 87).collect()}
     alike = {(x, y) for x in sets for y in sets if x < y and label[x] != label[y] and 100 * (c := len(np.intersect1d(sets[x], sets[y]))) >= 87 * (204 - c)}
     assert found and found <= alike
 
@@ -352,6 +354,55 @@ def test_crossing_blocks(spark, monkeypatch):
     assert classes(found) == classes(alike)
 
 
+def test_stars_are_connected(spark, monkeypatch):
+    chance = np.random.default_rng(4)
+    sets = {k: np.sort(np.append(np.arange(100), 1000 + chance.choice(60, 9, replace=False))).astype(np.uint64) for k in range(50)}
+    stored = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in sets.items()], "node long, s array<long>")
+    stars = {k: sorted(set(chance.choice(6, 3).tolist()) - {k}) for k in sets}
+    table = spark.createDataFrame([(k, len(sets[k]), c) for k, c in stars.items() if c], "node long, n long, centres array<long>")
+    wanted = [(k, y) for k, some in stars.items() for y in some if tensor_minhash.linked(sets[k], sets[y], 87)]
+    for size in (256, 4):
+        monkeypatch.setattr(tensor_minhash, "STAR_SETS", size)
+        found = [(r.a, r.b) for r in tensor_minhash.star_links(table, stored, 87).collect()]
+        assert wanted and set(found) <= set(wanted)
+
+        def tops(links):
+            forest = tensor_minhash.Forest()
+            for x, y in links:
+                forest.join(x, y)
+            return [[forest.top(x) == forest.top(y) for x in sets] for y in sets]
+
+        assert tops(found) == tops(wanted)
+
+
+def test_hot_group_of_near_copies(spark):
+    chance = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for at in chance.sample(range(60), chance.choice([0, 1, 1, 2, 3, 5])):
+            words[at] = f"x{k}-{at}" if chance.random() < 0.8 else f"y{chance.randrange(9)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(chance.choices(base, k=60)) for _ in range(60)] + texts[:30]
+    rows = [(None if k == 7 else 1000 - k if k != 20 else 985, t) for k, t in enumerate(texts)]
+    got = tensor_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    hashed = {r[1]: r.text_hash for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("text_hash")).collect()}
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(57)} for t in texts]
+    forest = tensor_minhash.Forest()
+    for x in range(len(sets)):
+        for y in range(x):
+            if 100 * (c := len(sets[x] & sets[y])) >= 80 * (len(sets[x]) + len(sets[y]) - c):
+                forest.join(x, y)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[forest.top(k)] = min(i, least.get(forest.top(k), i))
+    want = collections.Counter((i, hashed[t], least.get(forest.top(k))) for k, (i, t) in enumerate(rows))
+    assert collections.Counter((r.doc_id, r.text_hash, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a long, b long")
     assert {r.id: r.component for r in tensor_minhash.components(links).collect()} == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100}

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local session may leave it unset; it then gets
+    a folder of this machine, which its executors are on."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="noetik-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -20,6 +23,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours in the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Lineage cut through a reliable checkpoint in the shared folder."""
     checkpoint_folder(df.sparkSession)

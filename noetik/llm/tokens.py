@@ -3,16 +3,20 @@
 The pre-tokenizer of a byte-level BPE vocabulary never joins what stands before a single space with what follows it, so
 a text's ids are those of its pieces: the first as it is, each later one with the space before it. A piece is split off
 only where both neighbours of the space are not white space. A piece of letters is one pre-token, which the tokenizers
-library's BPE model merges; other pieces are cut by the pre-tokenizer's pattern first. The cache is emptied when it
-holds KEPT pieces, so memory is bounded. A text that holds an added token is left to the library as a whole.
+library's BPE model merges, and letters with a run of MARKS behind them are two; other pieces are cut by the pre-tokenizer's
+pattern first. The cache has a young and an old part: when the young one holds KEPT pieces it becomes the old one, and
+pieces found in the old one move on, so memory is bounded and frequent pieces stay. A text that holds an added token is
+left to the library as a whole.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 
-KEPT = 600_000
+KEPT = 500_000
+MARKS = ".,;:!?$&*%#()\"-"
 LONGEST = 40  # characters of a piece that is kept
 PLAIN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -42,6 +46,7 @@ class PieceEncoder:
         self.ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.first: dict[str, bytes] = {}  # of pre-tokens, and of pieces that begin a text
         self.later: dict[str, bytes] = {}  # of pieces after a space, without it
+        self.old: dict[str, bytes] = {}  # of later, before
 
     def merged(self, pretoken: str) -> bytes:
         """The ids of one pre-token."""
@@ -66,8 +71,10 @@ class PieceEncoder:
         return [self.one(t) for t in texts]
 
     def one(self, text: str) -> bytes:
-        if len(self.first) + len(self.later) > KEPT:
-            self.first.clear(), self.later.clear()
+        if len(self.later) > KEPT:
+            self.old, self.later = self.later, {}
+        if len(self.first) > KEPT:
+            self.first.clear()
         if any(a in text for a in self.added):
             return b"".join([self.ids[k] for k in self.tokenizer.encode(text, add_special_tokens=False).ids])
         pieces = text.split(" ")
@@ -82,19 +89,35 @@ class PieceEncoder:
             raise AssertionError("an empty piece is never kept")
         return (self.piece(head) if head else b"") + b"".join(out)
 
+    def known(self, p: str) -> bytes:
+        """The ids of a space and a piece that is not in the young cache."""
+        x = self.old.get(p)
+        if x is None:
+            if p.isalpha():
+                x = self.merged(" " + p)
+            else:
+                word = p.rstrip(MARKS)
+                if len(word) < len(p) and word.isalpha():
+                    x = (self.later.get(word) or self.known(word)) + self.piece_or_kept(p[len(word) :])
+                else:
+                    x = self.piece(" " + p)
+        if len(p) <= LONGEST and not p[0].isspace():
+            self.later[p] = x
+        return x
+
+    def piece_or_kept(self, marks: str) -> bytes:
+        return self.first.get(marks) or self.piece(marks)
+
     def fill(self, pieces: list[str], out: list, split: bool = False) -> bool:
         """Encode the pieces that aren't known. False if one begins with white space, so that a run of it was cut."""
-        later = self.later
-        for k, x in enumerate(out):
-            if x is None:
+        get, k = self.later.get, -1
+        with contextlib.suppress(ValueError):  # no further piece is missing
+            while True:
+                k = out.index(None, k + 1)
                 p = pieces[k]
-                if (x := later.get(p)) is None:
-                    if not split and p[0].isspace():
-                        return False
-                    x = self.merged(" " + p) if p.isalpha() else self.piece(" " + p)
-                    if len(p) <= LONGEST and not p[0].isspace():
-                        later[p] = x
-                out[k] = x
+                if not split and p[0].isspace():
+                    return False
+                out[k] = get(p) or self.known(p)
         return True
 
 

@@ -1,13 +1,22 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the prose that they hold; the best container's path, generalised to tags and
-classes without digits, is a vote. Spark adds up the votes of each host, and every page is extracted again with its
-host's winning path, all containers of it in page order, or with its own best container where none has that path. So one odd page, whose advert is
-longer than its article, follows its host.
-
-Votes are pre-aggregated before they are shuffled, and a host's pages are salted over SALTS keys when they meet the
-winner, so one host may hold any share of the pages. Null html: empty text. Null url: the host is empty. Repeated pages
-are rows of their own and vote each.
+Each page's containers are scored by the prose that they hold outside links; the best container's path, generalised to
+tags and classes without digits, is a vote. Spark adds up the votes of each host, and every page is extracted again with
+its host's winning path, all containers of it in page order, or with its own best container where none has that path. So
+one odd page, whose advert is longer than its article, follows its host.
+
+Names of classes are a hint only. A container is set aside if the whole of a class, id or role is made of words for
+menus, adverts, comments and the like, and no other name on it says content; where that leaves no prose at all, the
+page is read without these hints. Elements that mean something else than the article (nav, aside, form, a site's header
+and footer) are set aside whatever their names.
+
+A page is scanned once from left to right. The tree is at most DEPTH deep: an element below that is read, but is no
+container of its own. So time grows with a page's length, whatever it holds.
+
+Votes are pre-aggregated before they are shuffled. Winners are broadcast only if their counted bytes are at most
+MOST_BROADCAST; else pages meet them by host, a host with more than its part of the pages salted by its counted size.
+Null or empty html: empty text. Null url: the host is empty. Repeated pages and null ids are rows of their own and vote
+each; of paths with equal votes the larger wins. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
+from ..session import cut
+
+DEPTH = 256
+MOST_BROADCAST = 8 << 20
+#: Pages of a host in one salt, as a share of all pages and at least; slices of all pages.
+SLICE, MOST_SLICES = 1000, 200_000
 #: A block beside a container with fewer letters and digits than these is a mark, not prose.
 LETTERS = 2
-#: Elements without content that a reader sees as text of the article.
-DROPPED = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "select", "textarea", "title", "head", "math", "audio", "video"}
+#: Elements whose content is no text of the article. RAW ones end only at their own end tag.
+RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
+DROPPED = {"noscript", "template", "svg", "canvas", "object", "select", "math", "audio", "video"}
 ASIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
@@ -33,18 +48,64 @@ BLOCK = {
 }
 CONTAINER = {"article", "body", "center", "div", "html", "main", "section", "table", "tbody", "td", "tr", "blockquote", "figure", "dl", "ul", "ol"}
 CLOSES_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body"}
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav|navbar|navigation|footer|header|masthead|comment\w*|discussion|respond|replies|cookies?|consent|notice|gdpr|"
-    r"popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|widget|toolbar|skip-link|disclaimer)(?:$|[\s_-])",
-    re.I,
+#: Words for what is not the article, words that may stand with them, and words for the article itself.
+OTHER = set(
+    """ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar navigation footer masthead
+    comment comments discussion respond replies disqus cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup share
+    sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar skiplink disclaimer contentinfo complementary""".split()
 )
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|canvas|object|select|textarea|title|math|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
+WITH = set(
+    """block box wrapper wrap container holder list section area item items inner outer bar top bottom left right side site page main global primary secondary panel
+    row col column group links link buttons button unit slot post article entry the my side-bar skip to form header""".split()
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HEADER = {"header", "site", "page", "top", "global", "main", "wrapper", "container", "inner", "bar", "banner"}
+CONTENT = {"content", "post", "article", "entry", "story", "text", "prose", "articlebody", "maincontent"}
+TAG = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*(=)\s*)?")
+UNQUOTED = re.compile(r"[^\s>]*")
+NAMES = ("class", "id", "role", "hidden", "aria-hidden", "style")
 BLANK = re.compile(r"\s+")
+PART = re.compile(r"[a-z]+")
+
+
+def tag_at(text: str, at: int) -> tuple[str, dict[str, str], bool, int]:
+    """The tag whose name begins at a place: name, the attributes that matter, whether it closes itself, and where it
+    ends (-1: the page ends in it). Quotes count after an equals sign only, so one is looked for once."""
+    m = TAG.match(text, at)
+    tag, at, n, given = m[0].lower(), m.end(), len(text), {}
+    while True:
+        close = text.startswith("/", at) or text.startswith("/>", at)
+        while at < n and (text[at] in "/" or text[at].isspace()):
+            close = text[at] == "/"
+            at += 1
+        if at >= n:
+            return tag, given, False, -1
+        if text[at] == ">":
+            return tag, given, close, at + 1
+        m = ATTRIBUTE.match(text, at)
+        name, at, value = m[1].lower(), m.end(), ""
+        if m[2]:
+            if at < n and text[at] in "\"'":
+                end = text.find(text[at], at + 1)
+                if end < 0:
+                    return tag, given, False, -1
+                value, at = text[at + 1 : end], end + 1
+            else:
+                m = UNQUOTED.match(text, at)
+                value, at = m[0], m.end()
+        if name in NAMES:
+            given.setdefault(name, value)
+
+
+def other(given: dict[str, str]) -> bool:
+    """Whether an element's names say that it is not the article."""
+    found = False
+    for name in f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower().split():
+        parts = set(PART.findall(name.replace("side-bar", "sidebar")))
+        if parts & CONTENT and not parts & OTHER:
+            return False
+        found |= bool(parts & OTHER and parts <= OTHER | WITH) or ("header" in parts and parts <= HEADER)
+    return found
 
 
 @dataclass
@@ -53,7 +114,10 @@ class Node:
     name: str  # tag and classes without digits
     parent: int
     aside: bool
-    prose: int = 0  # characters outside links and asides, with those of descendants
+    hinted: bool
+    first: int  # of the pieces
+    last: int = 0  # the piece after its last
+    prose: int = 0  # characters outside links and what is set aside, with those of descendants
     headed: bool = False
     children: list[int] = field(default_factory=list)
 
@@ -62,6 +126,8 @@ class Node:
 class Page:
     nodes: list[Node]
     pieces: list[tuple[int, int, str]]  # node, block, text
+    skip: list[bool]  # of nodes
+    link: list[bool]
 
     def path(self, k: int) -> str:
         out = []
@@ -73,87 +139,146 @@ class Page:
 
 def parse(text: str) -> Page:
     """The tree of containers, with the texts in page order; unclosed and stray tags are mended as browsers do."""
-    nodes, pieces, stack, block, at = [Node("html", "html", -1, False)], [], [0], 0, 0
+    nodes, pieces, stack, block, at = [Node("html", "html", -1, False, False, 0)], [], [0], 0, 0
+    opened: dict[str, int] = {}  # of each tag, how many are in the stack
+    below: dict[str, int] = {}  # and how many are open too deep to be
+    unended: set[str] = set()
 
     def words(raw: str) -> None:
         if raw:
             pieces.append((stack[-1], block, entities.unescape(raw)))
 
-    for m in TOKEN.finditer(text):
-        words(text[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            nodes[x].last = len(pieces)
+            opened[nodes[x].tag] -= 1
+        del stack[k:]
+
+    n = len(text)
+    while at < n:
+        begin = text.find("<", at)
+        if begin < 0 or begin + 1 >= n:
+            words(text[at:])
+            break
+        sign = text[begin + 1]
+        ending = sign == "/" and text[begin + 2 : begin + 3].isalpha() and text[begin + 2].isascii()
+        if not (ending or sign in "!?/" or (sign.isalpha() and sign.isascii())):
+            words(text[at : begin + 1])
+            at = begin + 1
+            continue
+        words(text[at:begin])
+        if not (ending or sign.isalpha()):
+            if text.startswith("<!--", begin) and not text.startswith(("<!-->", "<!--->"), begin):
+                end = text.find("-->", begin + 4)
+                at = n if end < 0 else end + 3
+            else:
+                end = text.find(">", begin + 2)
+                at = n if end < 0 else end + 1
             continue
-        tag = m[3].lower()
+        tag, given, closed, at = tag_at(text, begin + 1 + ending)
+        if at < 0:
+            break
         if tag in ("html", "head"):
             block += 1
             continue
-        if tag == "br" or tag in VOID:
+        if ending:
+            if tag in CONTAINER or tag in ASIDE or opened.get(tag):
+                if below.get(tag):
+                    below[tag] -= 1
+                elif opened.get(tag):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if nodes[stack[k]].tag == tag:
+                            close(k)
+                            break
+                        if nodes[stack[k]].tag in CONTAINER and tag not in CONTAINER and tag not in ASIDE:
+                            break
+            elif below.get(tag):
+                below[tag] -= 1
+            block += tag in BLOCK
+            continue
+        if tag in VOID:
             if tag == "hr":
                 block += 1
             elif tag == "br":
                 words(" ")
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
+        if tag in RAW or tag in DROPPED:
+            if closed and tag in ("svg", "math"):
+                continue
+            end = None if tag in unended else re.compile(f"</{tag}(?![a-z0-9-])", re.I).search(text, at)
+            if end:
+                at = tag_at(text, end.start() + 2)[3]
+                if at < 0:
                     break
-                if nodes[stack[k]].tag in CONTAINER and tag not in CONTAINER and tag not in ASIDE:
-                    break
-            block += tag in BLOCK
+            elif tag in RAW:
+                break
+            else:
+                unended.add(tag)
             continue
         if tag in CLOSES_P or tag in ("li", "dt", "dd"):
-            close = {"p"} | ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else set())
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in close:
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in CONTAINER or nodes[stack[k]].tag in ASIDE:
-                    break
+            ends = {"p"} | ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else set())
+            if any(opened.get(x) for x in ends):
+                for k in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[k]].tag in ends:
+                        close(k)
+                        break
+                    if nodes[stack[k]].tag in CONTAINER or nodes[stack[k]].tag in ASIDE:
+                        break
         block += tag in BLOCK
-        given = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[4])} if m[4] else {}
-        known = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}"
-        hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "")
-        aside = tag in ASIDE or hidden or (tag not in ("body", "article", "main") and bool(BOILERPLATE.search(known)))
+        if closed and tag not in BLOCK:
+            continue
+        if len(stack) >= DEPTH:
+            below[tag] = below.get(tag, 0) + 1
+            continue
+        hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").lower().replace(" ", "")
+        hinted = tag not in ("body", "article", "main") and other(given)
         classes = ".".join(sorted(set(re.sub(r"\d+", "", given.get("class", "")).split())))
-        nodes.append(Node(tag, f"{tag}.{classes}" if classes else tag, stack[-1], aside))
+        nodes.append(Node(tag, f"{tag}.{classes}" if classes else tag, stack[-1], tag in ASIDE or hidden, hinted, len(pieces)))
         nodes[stack[-1]].children.append(len(nodes) - 1)
         stack.append(len(nodes) - 1)
-        if tag in ("h1", "h2"):
-            for k in stack:
-                nodes[k].headed = True
-        if m[4].rstrip().endswith("/"):
-            stack.pop()
-    words(text[at:])
-    for n in nodes:  # a header is the site's, unless it stands in an article and has its heading
-        if n.tag == "header":
-            up = n.parent
-            while up >= 0 and nodes[up].tag not in ("article", "main"):
-                up = nodes[up].parent
-            n.aside |= up < 0 or not n.headed
-    skip = [False] * len(nodes)
-    for k, n in enumerate(nodes):
-        skip[k] = n.aside or (n.parent >= 0 and skip[n.parent])
+        opened[tag] = opened.get(tag, 0) + 1
+    nodes[0].last = len(pieces)
+    opened["html"] = 1
+    close(0)
+    for x in reversed(nodes[1:]):
+        x.headed |= x.tag in ("h1", "h2")
+        nodes[x.parent].headed |= x.headed
+    within = [False] * len(nodes)
+    for k, x in enumerate(nodes):  # a header is the site's, unless it stands in an article and has its heading
+        within[k] = x.tag in ("article", "main") or (x.parent >= 0 and within[x.parent])
+        if x.tag == "header":
+            x.aside |= not within[k] or not x.headed
+        if x.hinted and x.headed and within[k] and "header" in x.name:
+            x.hinted = False
     link = [False] * len(nodes)
-    for k, n in enumerate(nodes):
-        link[k] = n.tag == "a" or (n.parent >= 0 and link[n.parent])
-    kept = []
-    for k, b, t in pieces:
-        if not skip[k]:
-            kept.append((k, b, t))
-            size = 0 if link[k] else len(t.strip())
-            while size and k >= 0:
-                nodes[k].prose += size
-                k = nodes[k].parent
-    return Page(nodes, kept)
+    for k, x in enumerate(nodes):
+        link[k] = x.tag == "a" or (x.parent >= 0 and link[x.parent])
+    page = Page(nodes, pieces, [], link)
+    if not weigh(page, True):
+        weigh(page, False)
+    return page
+
+
+def weigh(page: Page, hints: bool) -> bool:
+    """Set aside what is not the article and add up the prose of each container. Whether there is any."""
+    skip = [False] * len(page.nodes)
+    for k, x in enumerate(page.nodes):
+        skip[k] = x.aside or (hints and x.hinted) or (x.parent >= 0 and skip[x.parent])
+        x.prose = 0
+    for k, _, t in page.pieces:
+        if not skip[k] and not page.link[k]:
+            page.nodes[k].prose += len(t.strip())
+    for x in reversed(page.nodes[1:]):
+        page.nodes[x.parent].prose += x.prose
+    page.skip = skip
+    return page.nodes[0].prose > 0
 
 
 def best_container(page: Page) -> int:
     """From the root down to where the prose parts, or to the article. A child is entered only if no prose stays behind."""
     at = 0
     while True:
-        inner = [k for k in page.nodes[at].children if page.nodes[k].tag in CONTAINER and not page.nodes[k].aside]
+        inner = [k for k in page.nodes[at].children if page.nodes[k].tag in CONTAINER and not page.skip[k]]
         semantic = [k for k in inner if page.nodes[k].tag in ("article", "main") and page.nodes[k].prose]
         if semantic:
             at = max(semantic, key=lambda k: page.nodes[k].prose)
@@ -168,26 +293,26 @@ def best_container(page: Page) -> int:
 
 def left_behind(page: Page, at: int, child: int) -> bool:
     """Whether a container holds prose outside one of its children: a block of LETTERS letters or digits outside links."""
-    if page.nodes[child].prose == page.nodes[at].prose:
+    outer, inner, blocks = page.nodes[at], page.nodes[child], {}
+    if inner.prose == outer.prose:
         return False
-    within, link = [0] * len(page.nodes), [False] * len(page.nodes)  # 1: in the container, 2: in the child
-    for k, n in enumerate(page.nodes):
-        within[k] = 2 if k == child else 1 if k == at else within[n.parent] if n.parent >= 0 else 0
-        link[k] = n.tag == "a" or (n.parent >= 0 and link[n.parent])
-    blocks: dict[int, int] = {}
-    for k, b, t in page.pieces:
-        if within[k] == 1 and not link[k]:
-            blocks[b] = blocks.get(b, 0) + sum(map(str.isalnum, t))
-    return any(n >= LETTERS for n in blocks.values())
+    for part in (range(outer.first, inner.first), range(inner.last, outer.last)):
+        for p in part:
+            k, b, t = page.pieces[p]
+            if not page.skip[k] and not page.link[k]:
+                blocks[b] = blocks.get(b, 0) + sum(map(str.isalnum, t))
+                if blocks[b] >= LETTERS:
+                    return True
+    return False
 
 
 def text_of(page: Page, containers: list[int]) -> str:
     inside, chosen = [False] * len(page.nodes), set(containers)
-    for k, n in enumerate(page.nodes):
-        inside[k] = k in chosen or (n.parent >= 0 and inside[n.parent])
+    for k, x in enumerate(page.nodes):
+        inside[k] = k in chosen or (x.parent >= 0 and inside[x.parent])
     blocks: dict[int, list[str]] = {}
     for k, b, t in page.pieces:
-        if inside[k]:
+        if inside[k] and not page.skip[k]:
             blocks.setdefault(b, []).append(t)
     return "\n".join(x for x in (BLANK.sub(" ", "".join(v)).strip() for v in blocks.values()) if x)
 
@@ -199,29 +324,37 @@ def vote(html: str) -> str:
 
 def extract(html: str, path: str | None) -> str:
     page = parse(html)
-    same = [k for k, n in enumerate(page.nodes) if n.prose and path and path.endswith(n.name) and page.path(k) == path]
+    same = [k for k, x in enumerate(page.nodes) if x.prose and path and path.endswith(x.name) and page.path(k) == path]
     return text_of(page, same or [best_container(page)])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages."""
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """page_id, url, text, n_chars of every row of pages. broadcast: most bytes of winners that are broadcast."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
 
     def votes(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vote(h or "") for h in b.column(1).to_pylist()])], ["host", "path"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vote(h or "") for h in b.column(1).to_pylist()], pa.string())], ["host", "path"])
 
-    counted = own.select("host", "html").where("length(html) > 0").mapInArrow(votes, "host string, path string").groupBy("host", "path").count()
-    winner = counted.groupBy("host").agg(F.max_by("path", F.struct("count", "path")).alias("path"))
-    winner = winner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    kinds = dict(own.dtypes)
+    counted = cut(own.select("host", "html").where("length(html) > 0").mapInArrow(votes, "host string, path string").groupBy("host", "path").count())
+    winner = counted.groupBy("host").agg(F.max_by("path", F.struct("count", "path")).alias("path"), F.sum("count").alias("pages"))
+    size = winner.agg(F.sum(F.octet_length("path") + F.octet_length("host") + 32).alias("bytes"), F.sum("pages").alias("pages")).first()
+    if (size["bytes"] or 0) <= broadcast:
+        met = own.join(F.broadcast(winner.drop("pages")), "host", "left")
+    else:
+        # fewer hosts than slices can have more than a slice of the pages
+        most = max(1, (size["pages"] or 0) // min(MOST_SLICES, max(16, size["pages"] // SLICE)))
+        salts = F.ceil(F.col("pages") / most).cast("int")
+        hot = F.broadcast(winner.where(F.col("pages") > most).select("host", salts.alias("salts")))
+        winner = winner.select("host", "path", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("salts"))).cast("int")
+        met = own.join(hot, "host", "left").withColumn("salt", salt).join(winner, ["host", "salt"], "left")
 
     def texts(batches):
         for b in batches:
             out = [extract(h or "", p) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    met = salted.join(winner, ["host", "salt"], "left").select("page_id", "url", "html", "path")
-    return met.mapInArrow(texts, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    kinds = dict(own.dtypes)
+    return met.select("page_id", "url", "html", "path").mapInArrow(texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -6,11 +6,13 @@ carry their neighbourhood; where test and training meet, the match is extended t
 SPAN words. The neighbourhood is as long as an extension can matter, since each window of SPAN words has a kept K-gram
 of its own. An item of fewer than SPAN words is one window, looked up at every place by the hash of all its words.
 
-A table of bits, of fixed size, drops document K-grams that no item has before rows are made of them. Items are
+A table of bits drops document K-grams that no item has before rows are made of them. Whole and short items are
 broadcast only if their counted rows are at most MOST_BROADCAST; else the join shuffles.
 
 Null or wordless text: n_words 0, no hit. Wordless items match nothing. Repeated items and repeated documents each
-count once, every row by itself; an id that occurs with several texts is an item with the windows of all of them.
+count once, every row by itself; an id that occurs with several texts is an item with the windows of all of them. A null
+item_id's windows count as hits, but it is not among the items. A null doc_id is kept. An empty table of documents gives
+no rows; without items nothing is hit. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import words as W
 
 SPAN, K = 13, 4
@@ -37,7 +40,7 @@ def minima(g: Column) -> Column:
     return F.transform(F.slice(g, 1, n), lambda x, i: F.array_min(F.slice(g, i + 1, w)))
 
 
-def kept(g: Column, least: Column, also: Column | None = None) -> Column:
+def kept(g: Column, least: Column, also: list[int] | None = None) -> Column:
     """Places and hashes of the K-grams that are the least of a window they are in."""
     w = SPAN - K + 1
 
@@ -46,15 +49,15 @@ def kept(g: Column, least: Column, also: Column | None = None) -> Column:
         # least is named twice, so that the optimizer keeps it as a column and never puts its expression into this one,
         # where it would run again for every place
         is_least = F.array_contains(F.slice(least, first + 1, F.least(s["p"] - first + 1, F.size(least))), s["f"])
-        return is_least if also is None else W.maybe(also, s["f"]) & is_least
+        return is_least if also is None else W.maybe(W.literal(also), len(also), s["f"]) & is_least
 
     return F.filter(F.transform(g, lambda f, i: F.struct(i.alias("p"), f.alias("f"))), wanted)
 
 
-def whole_at(h: Column, n: int, table: Column) -> Column:
+def whole_at(h: Column, n: int, table: list[int]) -> Column:
     """Places and hashes of runs of n words that are in the table."""
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(h, i + 1, n)).alias("f")))
-    return F.filter(runs, lambda s: W.maybe(table, s["f"]))
+    return F.filter(runs, lambda s: W.maybe(W.literal(table), len(table), s["f"]))
 
 
 def around(h: Column, p: Column) -> Column:
@@ -72,26 +75,26 @@ def run(equal: Column) -> Column:
 
 
 def spans(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
-    """row, doc_id, n_words and, where an item's window occurs, item_id, s, e (the words from s to before e)."""
+    """row, doc_id, text_hash, n_words and, where an item's window occurs, item_id, s, e (the words from s to before e)."""
     tests = hashed(items, item_text, F.col(item_col).cast("string").alias("item_id")).where("size(h) > 0").distinct()
     whole = tests.where(F.size("h") >= SPAN).withColumn("g", grams(F.col("h"), K)).withColumn("m", minima(F.col("g")))
     whole = whole.select("item_id", "h", F.explode(kept(F.col("g"), F.col("m"))).alias("s")).select("item_id", F.col("s.f").alias("f"), around(F.col("h"), F.col("s.p")).alias("theirs")).distinct()
     short = tests.where(F.size("h") < SPAN).select("item_id", F.size("h").alias("n"), F.xxhash64("h").alias("f"))
-    lengths = sorted(r.n for r in short.select("n").distinct().collect())
+    sizes = {r.n: r["count"] for r in short.groupBy("n").count().orderBy("n").collect()}  # at most SPAN - 1 rows
     n_rows = whole.count()
-    hint = F.broadcast if n_rows <= MOST_BROADCAST else (lambda df: df)
+    counted = lambda df, n: F.broadcast(df) if n <= MOST_BROADCAST else df
 
-    texts = hashed(docs, text_col, F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"))
+    texts = hashed(docs, text_col, F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
     texts = texts.withColumn("g", grams(F.col("h"), K)).withColumn("m", minima(F.col("g")))
-    table = W.literal(W.bits_of(whole, "f"))
-    found = kept(F.col("g"), F.col("m"), table)
+    found = kept(F.col("g"), F.col("m"), W.bits_of(whole, "f", n_rows))
     texts = texts.withColumn("hits", F.transform(found, lambda s: F.struct(s["p"].alias("p"), s["f"].alias("f"), around(F.col("h"), s["p"]).alias("ours"))))
-    for n in lengths:
-        texts = texts.withColumn(f"short{n}", whole_at(F.col("h"), n, W.literal(W.bits_of(short.where(F.col("n") == n), "f"))))
-    n_words = F.size("h").cast("long").alias("n_words")
-    base = ["row", "doc_id", n_words]
-    rows = texts.select(*base, F.explode_outer("hits").alias("x")).select("row", "doc_id", "n_words", "x.p", "x.f", "x.ours")
-    joined = rows.join(hint(whole), "f", "left")
+    for n, many in sizes.items():
+        texts = texts.withColumn(f"short{n}", whole_at(F.col("h"), n, W.bits_of(short.where(F.col("n") == n), "f", many)))
+    base = ["row", "doc_id", "text_hash", "n_words"]
+    # one pass over the texts, stored, so that a row keeps its number in every branch below
+    texts = cut(texts.select("row", "doc_id", "text_hash", F.size("h").cast("long").alias("n_words"), "hits", *[f"short{n}" for n in sizes]))
+    rows = texts.select(*base, F.explode_outer("hits").alias("x")).select(*base, "x.p", "x.f", "x.ours")
+    joined = rows.join(counted(whole, n_rows), "f", "left")
     equal = F.zip_with("ours", "theirs", lambda a, b: F.coalesce(a == b, F.lit(False)))
     joined = joined.withColumn("eq", equal)
     left = run(F.reverse(F.slice("eq", 1, REACH)))
@@ -99,11 +102,11 @@ def spans(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
     core = F.forall(F.slice("eq", REACH + 1, K), lambda x: x)
     joined = joined.withColumn("l", left).withColumn("r", right)
     good = core & (F.col("l") + F.col("r") + K >= SPAN)
-    out = joined.select("row", "doc_id", "n_words", *[F.when(good, c).alias(n) for n, c in (("item_id", F.col("item_id")), ("s", F.col("p") - F.col("l")), ("e", F.col("p") + K + F.col("r")))])
-    for n in lengths:
-        at = texts.select(*base, F.explode(f"short{n}").alias("x")).select("row", "doc_id", "n_words", "x.p", "x.f")
+    out = joined.select(*base, *[F.when(good, c).alias(n) for n, c in (("item_id", F.col("item_id")), ("s", F.col("p") - F.col("l")), ("e", F.col("p") + K + F.col("r")))])
+    for n, many in sizes.items():
+        at = texts.select(*base, F.explode(f"short{n}").alias("x")).select(*base, "x.p", "x.f")
         own = short.where(F.col("n") == n).select("f", "item_id")
-        out = out.unionByName(at.join(hint(own) if n_rows <= MOST_BROADCAST else own, "f").select("row", "doc_id", "n_words", "item_id", F.col("p").cast("long").alias("s"), (F.col("p") + n).cast("long").alias("e")))
+        out = out.unionByName(at.join(counted(own, many), "f").select(*base, "item_id", F.col("p").cast("long").alias("s"), (F.col("p") + n).cast("long").alias("e")))
     return out
 
 
@@ -115,17 +118,21 @@ def union_size(ranges: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids) of every row of docs."""
+    """doc_id, text_hash (xxhash64 of the text), n_words, n_hit, items (sorted ids) of every row of docs."""
     found = spans(docs, items, id_col, text_col, item_col, item_text)
     ranges = F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e")))
-    out = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), ranges.alias("ranges"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    return out.select("doc_id", "n_words", union_size(F.col("ranges")).alias("n_hit"), "items")
+    out = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), ranges.alias("ranges"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    return out.select("doc_id", "text_hash", "n_words", union_size(F.col("ranges")).alias("n_hit"), "items")
+
+
+#: Of contamination()'s rows, those that benchmark passages cover to a twentieth or more.
+CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.expr(CONTAMINATED).alias("contaminated"),
     )
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Longs of a bit table that drops keys which cannot match before any row is made of them.
-TABLE = 1024
+#: Least and most longs of a bit table that drops keys which cannot match before any row is made of them.
+TABLE, MOST_TABLE = 1024, 16384
 
 
 def lowered(text: Column) -> Column:
@@ -23,19 +23,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered(text), BETWEEN), lambda w: w != "")
 
 
-def bits_of(keys: DataFrame, key: str) -> list[int]:
-    """TABLE longs in which the bits of all keys are set; a table of fixed size for any number of keys."""
-    slot, bit = (F.shiftrightunsigned(F.col(key), 6).bitwiseAND(TABLE - 1)).alias("slot"), F.col(key).bitwiseAND(63).cast("int")
-    rows = keys.select(slot, bit.alias("bit")).groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
-    out = [0] * TABLE
+def bits_of(keys: DataFrame, key: str, n: int = 0) -> list[int]:
+    """Longs in which the bits of all keys are set: about 16 bits for each of n keys, within TABLE and MOST_TABLE. More
+    keys set more bits; then more keys that cannot match pass, and the join drops them."""
+    size = TABLE
+    while size < MOST_TABLE and 4 * size < n:
+        size *= 2
+    slot, bit = (F.shiftrightunsigned(F.col(key), 6).bitwiseAND(size - 1)).alias("slot"), F.col(key).bitwiseAND(63).cast("int")
+    rows = keys.select(slot, bit.alias("bit")).groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()  # at most size rows
+    out = [0] * size
     for r in rows:
         out[r.slot] = r.bits
     return out
 
 
-def maybe(table: Column, key: Column) -> Column:
-    """False if key is not in the table."""
-    bits = F.get(table, F.shiftrightunsigned(key, 6).bitwiseAND(TABLE - 1).cast("int"))
+def maybe(table: Column, size: int, key: Column) -> Column:
+    """False if key is not in the table of so many longs."""
+    bits = F.get(table, F.shiftrightunsigned(key, 6).bitwiseAND(size - 1).cast("int"))
     return F.getbit(bits, key.bitwiseAND(63).cast("int")) == 1
 
 

@@ -4,8 +4,9 @@ Training reads at most MAX_LABELS labelled rows (the lowest hashes of their ids,
 partitions); only their statistics reach the driver. The trees are complete and flattened into arrays, so a batch of
 documents walks all trees at once in numpy. Scoring is one pass without a shuffle.
 
-Null text counts as empty. A label of null is no label; of several labels of one id the smallest counts. A corpus with
-no label, or with one class only, scores every text with that class's share (0.5 without labels).
+Null text counts as empty. A label of null is no label, nor is one of a null id; of several labels of one id the
+smallest counts, and of several rows of one id one is learnt from. Every row is scored by itself. A corpus with no label,
+or with one class only, scores every text with that class's share (0.5 without labels). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -132,14 +133,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
         labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null")
         .groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     )
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("y", "text")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
 
     def rows(batches):
         for b in batches:
             x = table_statistics(b, "text")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    got = joined.mapInArrow(rows, "y double, x array<double>").toArrow()
+    # of several rows of one id one is learnt from, so at most `most` rows reach the driver
+    each = joined.mapInArrow(rows, f"id {dict(joined.dtypes)['id']}, y double, x array<double>")
+    got = each.groupBy("id").agg(F.min(F.struct("y", "x")).alias("r")).select("r.y", "r.x").toArrow()
     y = np.array(got.column("y").to_pylist(), float)
     x = np.array(got.column("x").to_pylist(), float).reshape(len(y), DIM)
     by = np.lexsort((*x.T, y))  # the order of rows never matters
@@ -147,7 +150,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id"
 
 
 def score(docs: DataFrame, model: Trees, into: str = "score", text_col: str = "text") -> DataFrame:
-    """docs with a column more, the probability of label 1."""
+    """docs with a column more, the probability of label 1. A column of docs with the name of the new one is replaced."""
+    if into == text_col:
+        raise ValueError("the score cannot replace the text that it is made of")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
 
     def rows(batches):
         for b in batches:

@@ -64,7 +64,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tensor_minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
+    return tensor_minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_lyndon_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,7 +302,8 @@ def classes(nodes: DataFrame, own: DataFrame, shingle: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text) of every row of docs."""
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text) and set_hash of every row
+    of docs."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     signed = cut(signatures(own, shingle)).withColumn("node", F.expr("cast(conv(hex(substring(set_hash, 1, 8)), 16, -10) as long)"))
     one = F.min(F.struct("doc_id", "text_hash"))
@@ -311,4 +312,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     of = nodes.select("node", "least").join(classes(nodes, own, shingle, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     out = signed.where("n_shingles > 0").join(named, "node").unionByName(signed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "set_hash")

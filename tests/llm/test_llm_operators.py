@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -167,6 +168,15 @@ def test_wavelet_files(spark, docs, empty, tmp_path):
     assert m.decode().tolist() == ids.tolist() == [m.access(i) for i in range(7)]
     assert (m.count(5, 0, 7), m.count(5, 1, 5), m.count(7, 0, 7), m.count(99, 0, 7)) == (3, 1, 0, 0)
     assert [m.select(5, k) for k in range(4)] == [0, 2, 5, -1]
+    chance = np.random.default_rng(6)
+    for ids in (chance.integers(0, 50257, 100_000), chance.integers(0, 3, 90_000), np.repeat([7, 70_000, 1], 30_000), np.zeros(0, int)):
+        m = wavelet.WaveletMatrix(wavelet.encode(ids.astype(np.uint32), np.array([4]), np.array([0])))
+        assert m.decode().tolist() == ids.tolist()
+        for i in chance.integers(0, max(1, len(ids)), 60 if len(ids) else 0).tolist():
+            x, j = int(ids[i]), int(chance.integers(0, len(ids) + 1))
+            assert m.access(i) == x and m.count(x, 0, j) == (ids[:j] == x).sum()
+            k = int((ids[:i] == x).sum())
+            assert m.select(x, k) == i and m.select(x, int((ids == x).sum())) == -1
     wavelet.write(docs, str(tmp_path / "t"), VOCABULARY)
     got = by_id(wavelet.read(spark, str(tmp_path / "t")))
     start = 0
@@ -174,6 +184,12 @@ def test_wavelet_files(spark, docs, empty, tmp_path):
         r = got[3 * k]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(x), zlib.crc32(x.tobytes()))
         start += len(x)
+    some = docs.where("doc_id < 30").unionByName(docs.where("doc_id between 24 and 29").withColumn("doc_id", F.lit(None).cast("long")))
+    wavelet.write(some, str(tmp_path / "n"), VOCABULARY)
+    rows = sorted(wavelet.read(spark, str(tmp_path / "n")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, *range(0, 30, 3)]
+    assert [r.n_tokens for r in rows] == [len(x) for x in ids_of([TEXTS[8], TEXTS[9], *TEXTS[:10]], 2)]
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
     wavelet.write(empty, str(tmp_path / "e"), VOCABULARY)
     assert wavelet.read(spark, str(tmp_path / "e")).collect() == []
 
@@ -217,6 +233,44 @@ def test_html():
     assert html_consensus.extract("", None) == "" and html_consensus.extract("<p>x<!-- open", None) == "x"
 
 
+def test_names_are_hints():
+    cases = {
+        "<article><div class='article-header'><h1>Title</h1></div><p>Some text.</p><section class='comment-analysis'><p>real text</p></section></article>": "Title\nSome text.\nreal text",
+        "<div class='post header-wide'><p>Body text</p></div>": "Body text",
+        "<div class='site-header'><h1>Site</h1></div><div class=content><p>Text of it</p><div class='post-comments'><p>nice</p></div></div><div id=sidebar-left>a link</div>": "Text of it",
+        "<main><header><h1>T</h1></header><p>One.</p><div class='ad-1'>Buy</div><div class='related-posts'>More</div></main>": "T\nOne.\nMore",
+        "<div class=comments><p>only this</p></div>": "only this",
+        "<p>a < b &amp; c<svg>d</p>e <3 <": "a < b & c\nd\ne <3 <".replace("c\nd", "cd"),
+        "<p>x</p><script>never ends": "x",
+        "x<!-->y<!-- z --> w</ p> v": "xy w v",
+        "<p title='a>b' hidden>no</p><p title=\"a>b\">yes</p>": "yes",
+        "<table><tr><td>a<td>b</table>": "a\nb",
+    }
+    for page, text in cases.items():
+        assert html_consensus.extract(page, None) == text, page
+
+
+def test_long_and_hostile_pages():
+    pages = ["<script '" * 8000, "<div><p>t" * 8000, "<i><div>" + "<b>" * 9000 + "</i>" * 9000, "<div>" * 5000 + "</span>" * 20000, "<select>" * 20000, "<!--" * 20000]
+    pages += ["<a " + "b=c " * 40000, "<a b='" * 20000, "<a " + "= " * 30000 + ">x", "<li>" * 20000, "&amp" * 30000, "<p>word " * 40000]
+    for page in pages:
+        began = time.process_time()
+        html_consensus.extract(page, "html>div")
+        assert time.process_time() - began < 5, page[:20]
+    assert html_consensus.extract("<div><p>two" * 8000, None).count("two") == 8000
+    assert html_consensus.extract("<article><p>" + "word " * 200_000, None) == ("word " * 200_000).strip()
+
+
+def test_pages_without_broadcast(spark, empty):
+    good, loud = "<p>" + "good words here. " * 9 + "</p>", "<p>" + "loud " * 90 + "</p>"
+    rows = [(k % 700, f"http://h{0 if k % 3 else k}.org/{k}", f"<div class=story>{good}{k}</div><div class=x>{loud if k % 50 == 7 else ''}</div>") for k in range(900)] + [(None, None, None), (None, "u", ""), (1, "http://h0.org/1", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash")).withColumn("host", F.lit(1))
+    shown = lambda df: sorted(df.collect(), key=str)
+    assert shown(html_consensus.main_text(pages, broadcast=0)) == shown(html_consensus.main_text(pages)) and len(rows) == html_consensus.main_text(pages, broadcast=0).count()
+    assert html_consensus.main_text(empty, "doc_id", "lang", "text").collect() == []
+    assert html_consensus.main_text(empty, "doc_id", "lang", "text", 0).collect() == []
+
+
 def test_hosts_agree(spark):
     page = lambda a, b: f"<body><div class=story>{a}</div><div class=extra>{b}</div></body>"
     rows = [(k, "http://h.org/a", page("<p>" + "good words here. " * 9 + "</p>", "<p>x</p>")) for k in range(5)]
@@ -295,6 +349,32 @@ def test_licences(docs, empty):
     assert license_index.scan(empty).collect() == []
 
 
+def test_licence_texts(spark):
+    wording = [license_index.template_words(t) for _, _, t in license_index.TEMPLATES]
+    assert all(re.search(r"(?:^| )" + p + r"(?: |$)", " ".join(w)) for (_, phrases, _), w in zip(license_index.TEMPLATES, wording, strict=True) for p in phrases)
+    texts = [sentence(20) + "\n" + t + "\n" + sentence(30) for _, _, t in license_index.TEMPLATES]
+    chance = random.Random(2)
+    for _, _, t in license_index.TEMPLATES:  # some words are others
+        texts.append(sentence(5) + " " + " ".join(w if chance.random() > 0.15 else "other" for w in t.split()))
+    texts += ["this is not under the mit license", "mit license", "the apache license and the mit license", " ".join(t for _, _, t in license_index.TEMPLATES), "permission is hereby granted without restriction", None, ""]
+    texts += [" ".join(license_index.TEMPLATES[1][2].split()[:25]) + " without restriction " + sentence(400)]
+    got = by_id(license_index.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for k, text in enumerate(texts):
+        w, labels, best = WORD.findall(lower(text)), set(), 0.0
+        line = f" {' '.join(w)} "
+        for (label, phrases, _), parts in zip(license_index.TEMPLATES, wording, strict=True):
+            if all(f" {p} " in line for p in phrases):
+                share = max(sum(0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(parts)) for s in range(-len(parts), len(w))) / len(parts)
+                if share >= license_index.LEAST:
+                    labels.add(label)
+                    best = max(best, share)
+        base = {v for p, v in license_index.BASE.items() if f" {p} " in line}
+        if k < 2 * len(wording) or k >= len(texts) - 8:
+            assert set(got[k].labels.split(",")) - {""} == labels | base, (k, text)
+            assert math.isclose(got[k].score, best), (k, text)
+    assert got[2 * len(wording)].score == 0.8 and got[0].score == 1
+
+
 def test_near_duplicates(docs, empty):
     got = by_id(tensor_minhash.near_duplicates(docs, 4))
     sets = {}

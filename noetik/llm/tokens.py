@@ -12,6 +12,7 @@ left to the library as a whole.
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import re
 
@@ -68,7 +69,14 @@ class PieceEncoder:
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.one(t) for t in texts]
+        # strings and bytes make no cycles, and looking for some would go through every list of pieces
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return [self.one(t) for t in texts]
+        finally:
+            if was:
+                gc.enable()
 
     def one(self, text: str) -> bytes:
         if len(self.later) > KEPT:

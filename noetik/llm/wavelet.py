@@ -55,7 +55,7 @@ def encode(ids: np.ndarray, docs: np.ndarray, starts: np.ndarray, n_null: int =
         sizes = np.array([len(b) for b in stored], np.uint32)
         out += [struct.pack("<II", len(bit) - int(ones.sum()), len(stored)), (np.cumsum(ones) - ones).astype("<u4").tobytes(), np.append(0, np.cumsum(sizes)).astype("<u4").tobytes(), *stored]
         if level:
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            seq = seq.take(np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)]))
     return b"".join(out)
 
 
@@ -159,18 +159,20 @@ class WaveletMatrix:
             bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").astype(bool)
             out = np.empty(self.n, kind)
             seq[self.zeros[level] :] |= kind(1 << (self.bits - 1 - level))
-            out[~bit], out[bit] = seq[: self.zeros[level]], seq[self.zeros[level] :]
+            out[np.flatnonzero(~bit)], out[np.flatnonzero(bit)] = seq[: self.zeros[level]], seq[self.zeros[level] :]
             seq = out
         return seq.astype(np.uint32)
 
 
-def shards_of(docs: DataFrame, id_col: str, n: int):
-    """A function from ids (numpy) to shards, ascending: the quantiles of all ids, at most QUANTILES of them, each cut
-    into parts of equal width. Null ids are in the first shard."""
+def shards_of(docs: DataFrame, id_col: str, size: int):
+    """A function from ids (numpy) to shards of about size bytes of text, ascending: quantiles of all ids, at most
+    QUANTILES of them, each cut into parts of equal width. Null ids are in the first shard."""
+    at = F.array(*[F.lit(k / QUANTILES) for k in range(QUANTILES + 1)])
+    got = docs.agg(F.percentile_approx(F.col(id_col), at, F.lit(20 * QUANTILES)).alias("at"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(B.LEAST_BLOCKS, -(-int(got["bytes"] or 0) // size))
     coarse = min(n, QUANTILES)
-    at = F.array(*[F.lit(k / coarse) for k in range(coarse + 1)])
-    got = docs.agg(F.percentile_approx(F.col(id_col), at, F.lit(max(10_000, 20 * coarse)))).first()[0]
-    bounds = np.unique(np.array(got if got else [0], np.int64))
+    quantiles = np.array(got["at"] or [0], np.int64)
+    bounds = np.unique(quantiles[np.arange(coarse + 1) * (len(quantiles) - 1) // coarse])
     parts = -(-n // coarse)
     width = np.maximum(1, -(-(np.append(bounds[1:], bounds[-1] + 1) - bounds) // parts))
 
@@ -187,7 +189,7 @@ FILES = "shard long, n_docs long, n_tokens long, file binary"
 def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenise where the texts are read, send the ids to their shards, write each shard's file."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shard = shards_of(own, "doc_id", B.block_count(own, size=SHARD_BYTES))
+    shard = shards_of(own, "doc_id", SHARD_BYTES)
     tail = int(end).to_bytes(4, "little")
 
     def tokens(batches):

@@ -55,7 +55,7 @@ def encode(ids: np.ndarray, docs: np.ndarray, starts: np.ndarray, n_null: int =
         sizes = np.array([len(b) for b in stored], np.uint32)
         out += [struct.pack("<II", len(bit) - int(ones.sum()), len(stored)), (np.cumsum(ones) - ones).astype("<u4").tobytes(), np.append(0, np.cumsum(sizes)).astype("<u4").tobytes(), *stored]
         if level:
-            seq = seq.take(np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)]))
+            seq = np.concatenate([seq.take(np.flatnonzero(~bit)), seq.take(np.flatnonzero(bit))])
     return b"".join(out)
 
 

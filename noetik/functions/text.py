@@ -12,6 +12,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
 
 
+def shingles(text: Column, k: int) -> Column:
+    """Distinct hashes of runs of k tokens; of all if there are fewer; none without tokens."""
+    w = tokens(text)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+    return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
+
+
 def cjk_bigrams(text: Column) -> Column:
     """Pairs of neighbouring Han characters."""
     runs = F.regexp_extract_all(text, F.lit(r"(\p{IsHan}+)"), 1)
@@ -63,7 +70,8 @@ def snippet(text: Column, word: str, around: int) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is one JSON object or array and nothing more."""
+    return F.coalesce(F.json_object_keys(text).cast("string"), F.json_array_length(text).cast("string")).isNotNull()
 
 
 def bigrams(text: Column) -> Column:

@@ -17,6 +17,15 @@ def stale(jobs: DataFrame, now_ms: int, lease_ms: int) -> DataFrame:
     return jobs.where((F.col("status") == "running") & (F.col("locked_at_ms") + lease_ms < now_ms))
 
 
+def claim(jobs: DataFrame, worker: str, now_ms: int, lease_ms: int, n: int) -> DataFrame:
+    """The next n jobs as rows to append: queued ones that are due, and running ones whose lease is over, which count one
+    attempt more. One writer asks at a time; Spark is no lock manager."""
+    over = (F.col("status") == "running") & (F.col("locked_at_ms") + lease_ms < now_ms)
+    due = jobs.where((F.col("available_at_ms") <= now_ms) & ((F.col("status") == "queued") | over))
+    first = due.orderBy(F.desc("priority"), "available_at_ms", "job_id").limit(n)
+    return first.select("job_id", F.lit(worker).alias("worker"), F.lit(now_ms).cast("long").alias("locked_at_ms"), F.when(F.col("status") == "running", 1).otherwise(0).alias("attempt"))
+
+
 def backoff(attempt: Column, base_ms: int, most_ms: int) -> Column:
     return F.least(F.lit(base_ms) * F.pow(F.lit(2), attempt), F.lit(most_ms)).cast("long")
 

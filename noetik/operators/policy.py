@@ -9,16 +9,24 @@ from pyspark.sql import functions as F
 TIERS = {"source_always": 1, "source_exclude": 2, "always_process": 3, "creator": 4, "collection": 4, "semantic": 5, "keyword": 6, "default": 7}
 
 
-def matches(sources: DataFrame, rules: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+#: Keyword rules that are tried as substrings of every title.
+MOST_KEYWORDS = 10_000
+
+
+def matches(sources: DataFrame, rules: DataFrame, labels: DataFrame | None = None, substrings: bool = False) -> DataFrame:
     """source_id and the columns of each rule that holds: an equi join for each kind of rule, never sources x rules.
-    rules: rule_id, kind, target, action, priority, created_at_ms; disabled rules are left out by the caller."""
+    rules: rule_id, kind, target, action, priority, created_at_ms; disabled rules are left out by the caller. Keywords
+    are whole words of the title, or with substrings any part of it."""
     keys = {"source_always": F.col("source_id").cast("string"), "source_exclude": F.col("source_id").cast("string"), "creator": F.col("creator_id"), "collection": F.col("collection_id")}
     out = None
     for kind, key in keys.items():
         found = sources.select("source_id", key.alias("target")).join(rules.where(F.col("kind") == kind), "target").drop("target")
         out = found if out is None else out.unionByName(found)
-    words = F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))
-    keyed = sources.select("source_id", F.explode(words).alias("target")).join(rules.where("kind = 'keyword'"), "target").drop("target")
+    if substrings:
+        keyed = substring_matches(sources, rules)
+    else:
+        words = F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))
+        keyed = sources.select("source_id", F.explode(words).alias("target")).join(rules.where("kind = 'keyword'"), "target").drop("target")
     out = out.unionByName(keyed)
     if labels is not None:
         out = out.unionByName(labels.select("source_id", F.col("label").alias("target")).join(rules.where("kind = 'semantic'"), "target").drop("target"))
@@ -26,9 +34,9 @@ def matches(sources: DataFrame, rules: DataFrame, labels: DataFrame | None = Non
     return out.unionByName(sources.select("source_id").crossJoin(F.broadcast(always)))  # rules without a target only
 
 
-def decide(sources: DataFrame, rules: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def decide(sources: DataFrame, rules: DataFrame, labels: DataFrame | None = None, substrings: bool = False) -> DataFrame:
     """source_id, action, rule_id, reason: the first rule by tier, priority, metadata_only, time and id."""
-    found = matches(sources, rules, labels)
+    found = matches(sources, rules, labels, substrings)
     tier = F.create_map(*[F.lit(x) for p in TIERS.items() for x in p])[F.col("kind")]
     w = Window.partitionBy("source_id").orderBy(tier, F.desc("priority"), F.desc(F.col("action") == "metadata_only"), F.desc("created_at_ms"), "rule_id")
     first = found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("source_id", "action", "rule_id", F.col("kind").alias("reason"))
@@ -63,3 +71,31 @@ def budgeted(tasks: DataFrame, by: str, order: list[Column], cost: str, budget:
 def resolution(score: Column, strong: Column, n_matches: Column, high: float = 0.9, low: float = 0.6) -> Column:
     """Three bands; fuzzy evidence alone never links, and several strong matches stay apart."""
     return F.when(strong & (n_matches == 1) & (score >= high), "auto").when(score >= low, "candidate").otherwise("provisional")
+
+
+def pass_a(sources: DataFrame, rules: DataFrame) -> DataFrame:
+    """The decision by deterministic rules alone: all kinds but semantic ones."""
+    return decide(sources, rules.where("kind <> 'semantic'"), substrings=True)
+
+
+def pass_b(sources: DataFrame, rules: DataFrame, labels: DataFrame) -> DataFrame:
+    """The decision by semantic rules on cheap labels, of those sources only that pass A left to process by default or by
+    a keyword, which a semantic rule precedes."""
+    left = pass_a(sources, rules).where("reason = 'default' or (reason = 'keyword' and action = 'process')").select("source_id")
+    return decide(sources.join(left, "source_id", "left_semi"), rules.where("kind = 'semantic'"), labels).where("reason = 'semantic'")
+
+
+def substring_matches(sources: DataFrame, rules: DataFrame) -> DataFrame:
+    """source_id and the columns of each keyword rule whose target is a substring of the title, in any case. rules: few,
+    written by hand; their number is checked."""
+    keyed = rules.where("kind = 'keyword'")
+    if keyed.count() > MOST_KEYWORDS:
+        raise ValueError(f"more than {MOST_KEYWORDS} keyword rules")
+    return sources.select("source_id", "title").join(F.broadcast(keyed), F.lower("title").contains(F.lower("target"))).drop("title", "target")
+
+
+def current_rules(versions: DataFrame) -> DataFrame:
+    """The last version of each rule, without those that are deleted; a change is a new version."""
+    from .windows import latest
+
+    return latest(versions, ["rule_id"], [F.desc("version")]).where("not is_deleted").drop("is_deleted")

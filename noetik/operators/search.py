@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -26,8 +26,13 @@ def bm25(docs: DataFrame, id_col: str, text: Column, query: list[str]) -> DataFr
     return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("doc").agg(F.sum(part).alias("score"))  # a row for each query term; one row
 
 
-def phrase(docs: DataFrame, text: str, words: str) -> DataFrame:
-    return docs.where(F.lower(F.col(text)).contains(words.lower()))
+def fields(docs: DataFrame, id_col: str, weighted: dict[str, tuple[Column, float]], query: list[str]) -> DataFrame:
+    """doc, score: the weighted sum of the scores of a document's fields, {name: (text, weight)}."""
+    parts = [bm25(docs, id_col, text, query).select("doc", (F.lit(w) * F.col("score")).alias("score")) for text, w in weighted.values()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("doc").agg(F.sum("score").alias("score"))
 
 
 def containing(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -61,11 +66,10 @@ def reciprocal_rank(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def linear(lists: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(surface, object_id, score) fused by scores scaled to 0..1 inside each surface."""
-    w = Window.partitionBy("surface")
-    low, high = F.min("score").over(w), F.max("score").over(w)
+    bounds = lists.groupBy("surface").agg(F.min("score").alias("low"), F.max("score").alias("high"))
     weight = F.create_map(*[F.lit(x) for p in weights.items() for x in p])[F.col("surface")]
-    scaled = lists.withColumn("v", weight * F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
-    return scaled.groupBy("object_id").agg(F.sum("v").alias("score"))
+    v = weight * F.when(F.col("high") == F.col("low"), 1.0).otherwise((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")))
+    return lists.join(F.broadcast(bounds), "surface").groupBy("object_id").agg(F.sum(v).alias("score"))  # a row for each surface
 
 
 def feature_score(weights: dict[str, float]) -> Column:

@@ -212,7 +212,7 @@ def _(s, d):
     return J.overlapping(e.withColumnRenamed("event_id", "a"), r, ["user_id"], 3600).where("a < b").select("a", "b")
 
 
-@query("snapshot_at", "WITH o AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), f AS (SELECT user_id, ts, event_id AS fact_id FROM events WHERE event_type = 'view') SELECT o.event_id, max(f.fact_id) AS fact_id FROM o LEFT JOIN f ON f.user_id = o.user_id AND f.ts <= o.ts GROUP BY o.event_id")
+@query("snapshot_at", "WITH o AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), f AS (SELECT user_id, ts, event_id AS fact_id FROM events WHERE event_type = 'view') SELECT o.event_id, max_by(f.fact_id, (f.ts, f.fact_id)) AS fact_id FROM o LEFT JOIN f ON f.user_id = o.user_id AND f.ts <= o.ts GROUP BY o.event_id")
 def _(s, d):
     e = T.saves(s, d)
     asked = e.where("state = 'error'").select("event_id", "user_id", "ts")
@@ -305,7 +305,11 @@ def _(s, d):
 
 @query("claim_conflicts", f"SELECT entity_id, claim_kind, count(DISTINCT quantity) AS n_values, count(DISTINCT source_id) AS n_sources, string_agg(DISTINCT CAST(CAST(quantity AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(CAST(quantity AS BIGINT) AS VARCHAR)) AS vals FROM ({CLAIM}) GROUP BY entity_id, claim_kind HAVING count(DISTINCT quantity) > 1 AND count(DISTINCT source_id) > 1")
 def _(s, d):
-    c = T.claims(s, d).groupBy("entity_id", "claim_kind").agg(F.count_distinct("quantity").alias("n_values"), F.count_distinct("source_id").alias("n_sources"), F.array_join(F.array_sort(F.collect_set(F.col("quantity").cast("long").cast("string"))), ",").alias("vals"))
+    # distinct values and distinct sources apart, each combined before its shuffle
+    kind, c = ["entity_id", "claim_kind"], T.claims(s, d)
+    vals = c.groupBy(*kind, "quantity").agg(F.lit(1)).groupBy(*kind).agg(F.count("*").alias("n_values"), F.array_join(F.array_sort(F.collect_set(F.col("quantity").cast("long").cast("string"))), ",").alias("vals"))
+    by = c.groupBy(*kind, "source_id").agg(F.lit(1)).groupBy(*kind).agg(F.count("*").alias("n_sources"))
+    c = vals.join(by, kind)
     return c.where("n_values > 1 and n_sources > 1")
 
 
@@ -430,8 +434,7 @@ def _(s, d):
 
 @query("fusion_explain", f"SELECT object_id, string_agg(DISTINCT surface, ',' ORDER BY surface) AS surfaces FROM ({SURFACES}) GROUP BY object_id")
 def _(s, d):
-    lists = W.ranked(_surfaces(s, d), ["surface"], [F.desc("score"), F.col("object_id")])
-    return S.reciprocal_rank(lists, {"fts": 1.0, "metadata": 0.5}).select("object_id", "surfaces")
+    return _surfaces(s, d).groupBy("object_id").agg(F.array_join(F.array_sort(F.collect_set("surface")), ",").alias("surfaces"))
 
 
 @query("weighted_fusion", f"SELECT object_id, round(sum(CASE surface WHEN 'fts' THEN 0.7 ELSE 0.3 END * v), 6) AS score FROM (SELECT surface, object_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS v FROM ({SURFACES}) WINDOW w AS (PARTITION BY surface)) GROUP BY object_id")
@@ -460,11 +463,19 @@ def _(s, d):
 
 @query("search_documents", "SELECT 'source' AS doc_type, CAST(doc_id AS VARCHAR) AS object_id, length(text) AS size FROM documents UNION ALL SELECT 'entity', CAST(p_partkey AS VARCHAR), length(p_name) FROM part UNION ALL SELECT 'page', CAST(page_id AS VARCHAR), length(html) FROM pages UNION ALL SELECT 'message', conv_id || ':' || turn, length(text) FROM conversations")
 def _(s, d):
+    return unified(s, d).where("doc_type not in ('claim', 'annotation')")
+
+
+def unified(s, d):
+    """doc_type, object_id, size of all six types of objects."""
     shape = lambda kind, key, body: [F.lit(kind).alias("doc_type"), key.cast("string").alias("object_id"), F.length(body).cast("long").alias("size")]
     out = T.sources(s, d).select(*shape("source", F.col("source_id"), "body"))
     out = out.unionByName(T.entities(s, d).select(*shape("entity", F.col("entity_id"), "canonical_name")))
     out = out.unionByName(T.table(s, d, "pages").select(*shape("page", F.col("page_id"), "html")))
-    return out.unionByName(T.messages(s, d).select(*shape("message", F.concat_ws(":", "conv_id", "turn"), "text")))
+    out = out.unionByName(T.messages(s, d).select(*shape("message", F.concat_ws(":", "conv_id", "turn"), "text")))
+    said = F.concat_ws(" ", F.col("entity_id"), F.lit("quantity"), F.col("quantity").cast("long"))
+    out = out.unionByName(T.claims(s, d).withColumn("said", said).select(*shape("claim", F.concat_ws(":", "source_id", "ordinal"), "said")))
+    return out.unionByName(T.saves(s, d).select(*shape("annotation", F.col("event_id"), "state")))
 
 
 @query("dedupe_hash", "SELECT sha256(text) AS content_hash, min(doc_id) AS source_id FROM documents GROUP BY 1")

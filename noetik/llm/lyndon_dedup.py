@@ -9,11 +9,15 @@ K-grams at equal places. Runs of neighbouring windows with one K-gram form a str
    each run all but the earliest occurrence are repeated.
 4. Blocks learn their repeated windows and take out the bytes that those cover.
 
+A K-gram of more than HEAVY different stretches, such as a line that stands between ever different texts, would make one
+bucket as large as the corpus. Its windows are sent one by one, by 128-bit hashes of their bytes, each once a block, and
+spread over all buckets; equal hashes are equal windows there.
+
 So the suffix array sees only text that can repeat, a copied passage costs one entry for each block that holds it, and
 nothing is compared across documents but through buckets. The three passes over the blocks read one shuffle.
 
 Null text: no bytes. Texts under LENGTH bytes lose nothing. Rows of one id are one after another in the order of their
-texts; ids order the rows, null first.
+texts; ids order the rows, null first. An empty table gives no rows. Columns to carry must not be named like those given.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +36,12 @@ from . import jvm, suffix_groups
 LENGTH, K = 100, 32
 CHUNK = 1 << 18
 SPREAD = 16  # buckets of stretches for each block
-STRETCH = "bucket int, block int, meta binary, data binary, copies binary"
+HEAVY = 1 << 14
+STRETCH = "bucket int, block int, meta binary, data binary, copies binary, windows binary"
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("meta", pa.binary()), ("data", pa.binary()), ("copies", pa.binary()), ("windows", pa.binary())])
 ROW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("n", "<i8"), ("block", "<i8")])
 SPAN = np.dtype([("doc", "<i8"), ("pos", "<i8"), ("n", "<i8")])
+ONE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("pos", "<i8")])
 _table = B.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -103,19 +111,57 @@ class Block:
 
 
 def _keys(table: pa.Table, n: int) -> pa.Table:
+    """A block's K-grams, with how many different stretches each has, or 2 if it has one of several."""
     block = Block(table)
-    keys, counts = np.unique(block.key, return_counts=True)
-    return B.to_buckets(table.column("block")[0].as_py(), 0, keys, np.minimum(counts, 2), n)
-
-
-def _stretches(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("meta", pa.binary()), ("data", pa.binary()), ("copies", pa.binary())])
+    order = np.lexsort((block.digest, block.key))
+    key, digest = block.key[order], block.digest[order]
+    fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
+    other = fresh.copy()
+    other[1:] |= digest[1:] != digest[:-1]
+    first = np.flatnonzero(fresh)
+    counts = np.append(first[1:], len(key)) - first if len(key) else first
+    kinds = np.add.reduceat(other, first, dtype=np.int64) if len(key) else first
+    out = B.to_buckets(table.column("block")[0].as_py(), 0, key[first], np.maximum(np.minimum(counts, 2), kinds), n)
+    del block
+    B.trim()
+    return out
+
+
+def _spans(doc: np.ndarray, pos: np.ndarray, n: np.ndarray | int) -> bytes:
+    out = np.zeros(len(doc), SPAN)
+    out["doc"], out["pos"], out["n"] = doc, pos, n
+    return out.tobytes()
+
+
+def _windows(block: Block, heavy: np.ndarray, number: int, many: int) -> list[dict]:
+    """The windows of some stretches one by one: of equal ones the first, the rest as repeated."""
+    count = block.count[heavy]
+    p = np.repeat(block.start[heavy] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    text = block.text
+    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[x : x + LENGTH]) for x in p.tolist()]), "<u8").reshape(-1, 2)
+    order = np.lexsort((p, h[:, 1], h[:, 0]))
+    p, h = p[order], h[order]
+    again = np.append(False, (h[1:] == h[:-1]).all(1))[: len(p)]
+    doc, pos = block.address(p)
+    bucket = B.bucket_of(h[:, 0], many)
+    out, begin = [], 0
+    for end in B.runs(bucket).tolist():
+        new, old = begin + np.flatnonzero(~again[begin:end]), begin + np.flatnonzero(again[begin:end])
+        one = np.zeros(len(new), ONE)
+        one["h1"], one["h2"], one["doc"], one["pos"] = h[new, 0], h[new, 1], doc[new], pos[new]
+        out.append({"bucket": int(bucket[begin]), "block": number, "meta": b"", "data": b"", "copies": _spans(doc[old], pos[old], 1), "windows": one.tobytes()})
+        begin = end
+    return out
+
+
+def _stretches(left: pa.Table, right: pa.Table, n: int, most: int) -> pa.Table:
     if not left.num_rows or not right.num_rows:
-        return schema.empty_table()
+        return SENT.empty_table()
     block, number = Block(left), left.column("block")[0].as_py()
-    keys = np.unique(block.key)
-    twice = B.answered(right, 0) > 1
-    own = np.flatnonzero(twice[np.searchsorted(keys, block.key)])
+    keys, total = np.unique(block.key), B.answered(right, 0)
+    at = np.searchsorted(keys, block.key)
+    heavy = np.flatnonzero((total > most)[at])
+    own = np.flatnonzero(((total > 1) & (total <= most))[at])
     _, first, which = np.unique(block.digest[own], return_index=True, return_inverse=True)
     copy = np.ones(len(own), bool)
     copy[first] = False
@@ -132,15 +178,15 @@ def _stretches(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
     ends, out = B.runs(bucket), []
     for b, some in zip(bucket[ends - 1].tolist(), np.split(by, ends[:-1]), strict=True) if len(by) else ():
         new, old = some[~is_copy[some]], some[is_copy[some]]
-        meta, copies = np.zeros(len(new), ROW), np.zeros(len(old), SPAN)
-        for to, k in ((meta, new), (copies, old)):
-            to["doc"], to["pos"], to["n"] = doc[k], pos[k], block.count[k]
-        meta["key"], meta["block"] = block.key[new], number
+        meta = np.zeros(len(new), ROW)
+        meta["doc"], meta["pos"], meta["n"], meta["key"], meta["block"] = doc[new], pos[new], block.count[new], block.key[new], number
         data = b"".join([block.text[s : s + c + LENGTH - 1] for s, c in zip(block.start[new].tolist(), block.count[new].tolist(), strict=True)])
-        out.append({"bucket": b, "block": number, "meta": meta.tobytes(), "data": data, "copies": copies.tobytes()})
+        out.append({"bucket": b, "block": number, "meta": meta.tobytes(), "data": data, "copies": _spans(doc[old], pos[old], block.count[old]), "windows": b""})
+    if len(heavy):
+        out += _windows(block, heavy, number, SPREAD * n)
     del block
     B.trim()
-    return pa.Table.from_pylist(out, schema=schema)
+    return pa.Table.from_pylist(out, schema=SENT)
 
 
 TO_SORT = "block int, windows binary, meta binary, text binary"
@@ -149,7 +195,7 @@ TO_SORT = "block int, windows binary, meta binary, text binary"
 def _to_sort(key: tuple, table: pa.Table) -> pa.Table:
     """One row with the distinct stretches of a bucket, the earliest of each, where one K-gram has several; a row for
     each block with the windows that are repeated already."""
-    rows = table.select(["block", "meta", "data", "copies"]).to_pylist()
+    rows = table.select(["block", "meta", "data", "copies", "windows"]).to_pylist()
     meta = np.concatenate([np.frombuffer(r["meta"], ROW) for r in rows])
     size = meta["n"] + LENGTH - 1
     begin = np.cumsum(size) - size
@@ -170,7 +216,16 @@ def _to_sort(key: tuple, table: pa.Table) -> pa.Table:
     again = meta[repeated]
     for b in np.unique(again["block"]):
         own = again[again["block"] == b]
-        spans[int(b)].append(np.rec.fromarrays([own["doc"], own["pos"], own["n"]], dtype=SPAN).tobytes())
+        spans[int(b)].append(_spans(own["doc"], own["pos"], own["n"]))
+    one = np.concatenate([np.frombuffer(r["windows"], ONE) for r in rows])
+    if len(one):
+        of = np.repeat([r["block"] for r in rows], [len(r["windows"]) // ONE.itemsize for r in rows])
+        order = np.lexsort((one["pos"], one["doc"], one["h2"], one["h1"]))
+        one, of = one[order], of[order]
+        same = np.append(False, (one["h1"][1:] == one["h1"][:-1]) & (one["h2"][1:] == one["h2"][:-1]))
+        for b in np.unique(of[same]):
+            own = one[same & (of == b)]
+            spans[int(b)].append(_spans(own["doc"], own["pos"], 1))
     keep = [k for k in keep if kinds[meta["key"][k]] > 1]
     out = [{"block": b, "windows": b"".join(x)} for b, x in spans.items() if any(x)]
     if keep:
@@ -204,7 +259,7 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = (), heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; with digest their SHA-256) and the columns to
     carry of every row."""
     spark = docs.sparkSession
@@ -217,7 +272,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
         return _keys(table, n)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _stretches(left, right, n)
+        return _stretches(left, right, n, heavy)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = _cut(left, right)

@@ -493,8 +493,9 @@ def test_suffix_arrays():
         assert suffix_groups.construct(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-def test_repeated_bytes(docs, empty):
-    got = by_id(lyndon_dedup.dedup(docs, digest=True))
+@pytest.mark.parametrize("heavy", [lyndon_dedup.HEAVY, 1, 0])
+def test_repeated_bytes(docs, empty, heavy):
+    got = by_id(lyndon_dedup.dedup(docs, digest=True, heavy=heavy))
     seen = set()
     for k, t in enumerate(TEXTS):
         b = (t or "").encode()

@@ -60,19 +60,15 @@ public class NoetikSuffixGroups implements org.apache.spark.sql.api.java.UDF3, j
                 }
                 if (copies[m - 1] > most) most = copies[m - 1];
             }
-            int left = m;
-            for (int level = most; level > 0 && left > 0; level--) {
-                int here = 0;
-                for (int x = 0; x < left; x++) {
-                    if (copies[x] == level) {  // to the front of what is left
-                        int p = parent[x], c = copies[x];
-                        parent[x] = parent[here];
-                        copies[x] = copies[here];
-                        parent[here] = p;
-                        copies[here++] = c;
-                    }
-                }
-                for (int x = 0; x < here; x++) {
+            int[] from = new int[most + 2];  // parents by their number of children, most first
+            for (int x = 0; x < m; x++) from[most - copies[x] + 1]++;
+            for (int x = 1; x <= most + 1; x++) from[x] += from[x - 1];
+            for (int x = 0; x < m; x++) old[x] = parent[x];
+            int[] put = java.util.Arrays.copyOf(from, most + 1);
+            for (int x = 0; x < m; x++) parent[put[most - copies[x]]++] = old[x];
+            for (int level = most; level > 0; level--) {
+                int low = from[most - level], here = from[most - level + 1];
+                for (int x = low; x < here; x++) {
                     int p = parent[x], s = start[p], e = --end[s], q = sa[e], at = place[p];
                     sa[at] = q;
                     place[q] = at;
@@ -81,23 +77,18 @@ public class NoetikSuffixGroups implements org.apache.spark.sql.api.java.UDF3, j
                     moved[s]++;
                     old[x] = s;
                 }
-                for (int x = 0; x < here; x++) {
+                for (int x = low; x < here; x++) {
                     int s = old[x], fresh = end[s];
                     if (fresh != s) {
                         start[parent[x]] = fresh;
                         end[fresh] = fresh + moved[s];
                     }
                 }
-                for (int x = 0; x < here; x++) {
+                for (int x = low; x < here; x++) {
                     int s = old[x];
                     if (moved[s] > 0 && end[s] == s) end[s] = s + moved[s];
                     moved[s] = 0;
                 }
-                for (int x = here; x < left; x++) {
-                    parent[x - here] = parent[x];
-                    copies[x - here] = copies[x];
-                }
-                left -= here;
             }
             high = g;
         }

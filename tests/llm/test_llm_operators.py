@@ -493,6 +493,25 @@ def test_suffix_arrays():
         assert suffix_groups.construct(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_repeated_bytes_of_few_letters(spark):
+    chance = random.Random(11)
+    base = ["".join(chance.choices("ab", k=260)) for _ in range(4)] + ["a" * 400, "ab" * 200, "aab" * 90]
+    texts = []
+    for _ in range(60):
+        x, y = chance.choice(base), chance.choice(base)
+        i, j = chance.randrange(200), chance.randrange(200)
+        texts.append(x[i:] + "".join(chance.choices("ab", k=chance.randrange(40))) + y[:j])
+    got = by_id(lyndon_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    seen = set()
+    for k, t in enumerate(texts):
+        b, gone = t.encode(), np.zeros(len(t), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        assert bytes(got[k].kept) == np.frombuffer(b, np.uint8)[~gone].tobytes(), k
+
+
 @pytest.mark.parametrize("heavy", [lyndon_dedup.HEAVY, 1, 0])
 def test_repeated_bytes(docs, empty, heavy):
     got = by_id(lyndon_dedup.dedup(docs, digest=True, heavy=heavy))

@@ -3,10 +3,11 @@
 Every document is cut into full windows and one rest. Rests are packed by their lengths alone: the longest remaining
 rest seeds a window, and a subset-sum dynamic programme over the remaining lengths, with the reachable sums as the bits
 of one integer, picks the multiset that fills the window closest to capacity; backtracking gives how many of each
-length it takes, and the same choice is used as often as the counts allow. Each input partition packs its own rests, so
-nothing is shuffled, and the lengths take a few bytes a document.
+length it takes, and the same choice is used as often as the counts allow. Each input partition packs its own rests,
+HELD of them at a time, so nothing is shuffled and memory is bounded; that leaves a few windows of HELD rests less full.
 
-Null text: empty, so the end token only, which makes one piece. Repeated ids are packed as documents of their own.
+Null text: empty, so the end token only, which makes one piece. Repeated ids and null ids are packed as documents of
+their own. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .tokens import encoder
 
 WINDOW = 2048
 SEQUENCES = 1 << 33  # sequence ids of one partition
+HELD = 16_384
 
 
 def closest_fill(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, int]]:
@@ -82,7 +84,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row a piece. with_ids: also its token ids; then the rests of a partition are held until its end."""
+    """One row a piece. with_ids: also its token ids."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tail = int(end).to_bytes(4, "little")
     schema = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
@@ -92,6 +94,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int = 1, window: int =
         columns = list(zip(*rows, strict=True)) or [()] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+    def packed(rests: list[tuple], sequence: int) -> tuple[pa.RecordBatch, int]:
+        out = []
+        for members in pack(np.array([r[2] for r in rests], np.int64), window):
+            offset = 0
+            for k in members:
+                out.append((*rests[k][:5], sequence, offset, *rests[k][5:]))
+                offset += rests[k][2]
+            sequence += 1
+        return made(out), sequence
+
     def rows(batches):
         coder = encoder(vocabulary)
         sequence = TaskContext.get().partitionId() * SEQUENCES
@@ -111,17 +123,11 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int = 1, window: int =
                         rests.append((*piece, *([part] if with_ids else [])))
             if full:
                 yield made(full)
-        out = []
-        for members in pack(np.array([r[2] for r in rests], np.int64), window):
-            offset = 0
-            for k in members:
-                out.append((*rests[k][:5], sequence, offset, *rests[k][5:]))
-                offset += rests[k][2]
-            sequence += 1
-            if len(out) > 20_000:
-                yield made(out)
-                out = []
-        if out:
-            yield made(out)
+            while len(rests) >= HELD:
+                batch, sequence = packed(rests[:HELD], sequence)
+                rests = rests[HELD:]
+                yield batch
+        if rests:
+            yield packed(rests, sequence)[0]
 
     return own.mapInArrow(rows, PIECES + ", ids binary" * with_ids)

@@ -110,7 +110,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int = 1, window: int =
         rests: list[tuple] = []
         for b in batches:
             full = []
-            for doc, ids in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1)), strict=True):
                 ids += tail
                 n = len(ids) // 4
                 for start in range(0, n, window):

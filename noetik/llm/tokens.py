@@ -2,7 +2,8 @@
 
 The pre-tokenizer of a byte-level BPE vocabulary never joins what stands before a single space with what follows it, so
 a text's ids are those of its pieces: the first as it is, each later one with the space before it. A piece is split off
-only where both neighbours of the space are not white space. A piece of letters is one pre-token, which the tokenizers
+only where both neighbours of the space are not white space. Texts are cut in Arrow, a batch at a time, and each distinct
+piece of a batch is encoded once; numpy puts the ids in place. A piece of letters is one pre-token, which the tokenizers
 library's BPE model merges, and letters with a run of MARKS behind them are two; other pieces are cut by the pre-tokenizer's
 pattern first. The cache has a young and an old part: when the young one holds KEPT pieces it becomes the old one, and
 pieces found in the old one move on, so memory is bounded and frequent pieces stay. A text that holds an added token is
@@ -16,6 +17,10 @@ import gc
 import os
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 KEPT = 500_000
 MARKS = ".,;:!?$&*%#()\"-"
 LONGEST = 40  # characters of a piece that is kept
@@ -68,21 +73,62 @@ class PieceEncoder:
             out.append(x)
         return b"".join(out)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Of each text (null: empty) its ids."""
         # strings and bytes make no cycles, and looking for some would go through every list of pieces
         was = gc.isenabled()
         gc.disable()
         try:
-            return [self.one(t) for t in texts]
+            column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+            return self.column(pc.fill_null(column, "")) if len(column) else []
         finally:
             if was:
                 gc.enable()
 
-    def one(self, text: str) -> bytes:
+    def column(self, texts: pa.Array) -> list[bytes]:
+        self.rotate()
+        lists = pc.split_pattern(texts, " ")
+        begin, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        index, distinct = coded.indices.to_numpy(), coded.dictionary
+        head = np.zeros(len(index), bool)
+        head[begin[:-1]] = True
+        used = np.zeros(len(distinct), bool)
+        used[index[~head]] = True
+        # pieces that a plain cut gets wrong: their texts are cut one by one
+        odd = pc.or_(pc.utf8_is_space(pc.utf8_slice_codeunits(distinct, 0, 1)), pc.equal(pc.binary_length(distinct), 0)).to_numpy(zero_copy_only=False)
+        plain = used & ~odd
+        distinct = distinct.to_pylist()
+        names = [distinct[k] for k in np.flatnonzero(plain).tolist()]
+        ids = list(map(self.later.get, names))
+        self.fill(names, ids, True)
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.zeros(len(distinct), np.int32)
+        sizes[plain] = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        many = sizes.take(index)
+        many[head] = 0
+        ends = np.cumsum(many, dtype=np.int32)
+        place = np.arange(ends[-1], dtype=np.int32)
+        place += np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes).take(index) - (ends - many), many)
+        found = flat.take(place).tobytes()
+        single = np.logical_or.reduceat(odd[index] & ~head, begin[:-1])
+        for a in self.added:
+            single |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        last = 4 * ends[begin[1:] - 1].astype(np.int64)
+        out = []
+        for k, (i, j, h) in enumerate(zip(np.append(0, last[:-1]).tolist(), last.tolist(), index[begin[:-1]].tolist(), strict=True)):
+            if single[k]:
+                out.append(self.one(texts[k].as_py()))
+            else:
+                out.append((self.piece(distinct[h]) if distinct[h] else b"") + found[i:j])
+        return out
+
+    def rotate(self) -> None:
         if len(self.later) > KEPT:
             self.old, self.later = self.later, {}
         if len(self.first) > KEPT:
             self.first.clear()
+
+    def one(self, text: str) -> bytes:
+        self.rotate()
         if any(a in text for a in self.added):
             return b"".join([self.ids[k] for k in self.tokenizer.encode(text, add_special_tokens=False).ids])
         pieces = text.split(" ")
@@ -103,12 +149,10 @@ class PieceEncoder:
         if x is None:
             if p.isalpha():
                 x = self.merged(" " + p)
+            elif (word := p.rstrip(MARKS)) != p and word.isalpha():
+                x = (self.later.get(word) or self.known(word)) + self.piece_or_kept(p[len(word) :])
             else:
-                word = p.rstrip(MARKS)
-                if len(word) < len(p) and word.isalpha():
-                    x = (self.later.get(word) or self.known(word)) + self.piece_or_kept(p[len(word) :])
-                else:
-                    x = self.piece(" " + p)
+                x = self.piece(" " + p)
         if len(p) <= LONGEST and not p[0].isspace():
             self.later[p] = x
         return x

@@ -195,7 +195,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2, id_col: str
     def tokens(batches):
         coder = encoder(vocabulary)
         for b in batches:
-            ids = [np.frombuffer(x + tail, "<u4") for x in coder.encode([t or "" for t in b.column(1).to_pylist()])]
+            ids = [np.frombuffer(x + tail, "<u4") for x in coder.encode(b.column(1))]
             # two bytes an id, or four and one more that tells
             small = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() + b"\0" for x in ids]
             at = shard(b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False))

@@ -1,14 +1,17 @@
 """SpotSigs fingerprints, in DataFrame expressions only.
 
-A signature is a common word (the anchor) with the CHAIN content words that follow it within REACH words; a fingerprint
-is the set of a text's signatures as 32-bit hashes, written as sorted hex. A text without any anchor uses every word as
-an anchor, and a text too short for any chain has one signature of all its words, so equal texts always have equal
-fingerprints. Sets are compared by Jaccard similarity: pairs whose sizes alone keep it below the threshold are pruned.
+A signature is an anchor with the CHAIN content words that follow it within REACH words; a fingerprint is the set of a
+text's signatures as 32-bit hashes, written as sorted hex. Anchors are common words, and beside them every content word
+whose hash is a multiple of SPARE, so that texts with few common words have signatures too, and a small edit changes few
+of them whatever the text. A text too short for any chain has one signature of all its words, so equal texts always have
+equal fingerprints. Words are hashed once, with a bit that says common; all that follows works on numbers. Sets are
+compared by Jaccard similarity: pairs whose sizes alone keep it below the threshold are pruned.
 
 near_duplicates() partitions sets by length, so that similar sets are in the same or in neighbouring partitions, and
 joins on the rarest signatures only as far as the threshold demands; equal sets are compared once.
 
-Null text: empty. Repeated ids and ties are ordered by the hash of their texts. Extra columns are ignored.
+Null text: empty. Repeated ids and ties are ordered by the hash of their texts; a null id comes last in descending order.
+The next document of a single one is itself. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from ..session import cut
 from . import blocks as B
 from . import words as W
 
-CHAIN, REACH = 2, 8
+CHAIN, REACH, SPARE = 2, 8, 4
 #: Common words of English, German, French and Spanish.
 ANCHORS = """
 a an and are as at be by for from has have he in is it not of on or that the this to was were which will with you
@@ -32,26 +35,28 @@ al como con cuando del el era esta este fue ha las lo los más muy no para pero
 """.split()
 
 
-def signatures(w: Column) -> Column:
-    """The set of 32-bit signature hashes of an array of words."""
-    anchor = lambda x: x.isin(ANCHORS)
+def coded(w: Column) -> Column:
+    """Words as numbers: even for content words, odd for common ones."""
+    return F.transform(w, lambda x: F.xxhash64(x).bitwiseAND(-2) + F.when(x.isin(ANCHORS), 1).otherwise(0))
 
-    def chain(every: bool):
-        def at(x, i):
-            near = F.filter(F.slice(w, i + 2, REACH), lambda y: y.isNotNull() if every else ~anchor(y))
-            return F.when((F.lit(True) if every else anchor(x)) & (F.size(near) >= CHAIN), F.hash(x, *[F.get(near, F.lit(j)) for j in range(CHAIN)]))
 
-        return F.array_distinct(F.array_compact(F.transform(w, at)))
+def signatures(c: Column) -> Column:
+    """The set of 32-bit signature hashes of an array of coded words."""
 
-    found = chain(False)
-    return F.when(F.exists(w, anchor), found).otherwise(chain(True))
+    def at(x, i):
+        near = F.filter(F.slice(c, i + 2, REACH), lambda y: y.bitwiseAND(1) == 0)
+        anchor = (x.bitwiseAND(1) == 1) | (F.pmod(F.shiftright(x, 1), F.lit(SPARE)) == 0)
+        # through an array of one, so that the words near are looked up once
+        return F.when(anchor, F.get(F.transform(F.array(near), lambda n: F.when(F.size(n) >= CHAIN, F.hash(x, *[F.get(n, F.lit(j)) for j in range(CHAIN)]))), F.lit(0)))
+
+    return F.array_distinct(F.array_compact(F.transform(c, at)))
 
 
 def fingerprinted(df: DataFrame, text: str, into: str) -> DataFrame:
     """df with a column more: the sorted set."""
-    w, s = f"{into}_words", f"{into}_set"
-    out = df.withColumn(w, W.words(F.col(text))).withColumn(s, signatures(F.col(w)))
-    return out.withColumn(into, F.when(F.size(s) == 0, F.array(F.hash(w))).otherwise(F.array_sort(s))).drop(w, s)
+    c, s = f"{into}_codes", f"{into}_set"
+    out = df.withColumn(c, coded(W.words(F.col(text)))).withColumn(s, signatures(F.col(c)))
+    return out.withColumn(into, F.when(F.size(s) == 0, F.array(F.hash(c))).otherwise(F.array_sort(s))).drop(c, s)
 
 
 def written(s: Column) -> Column:

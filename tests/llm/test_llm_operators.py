@@ -313,6 +313,34 @@ def test_spotsigs(docs, empty):
     assert {(r.a, r.b) for r in pairs.collect()} == wanted
 
 
+def test_spot_signatures_are_those_of_the_method(spark):
+    texts = [None, "", "the", "one word", "A lengthy passage of eleven rare words without any anchor the", sentence(400), PASSAGE, "the " * 30 + "x y z", "the a b c d e f g h i j the"]
+    words = [WORD.findall(lower(t)) for t in texts]
+    schema = "doc_id long, text string, w array<string>"
+    table = spark.createDataFrame(list(zip(range(len(texts)), texts, words, strict=True)), schema)
+    codes = by_id(table.select("doc_id", spotsigs.coded(F.col("w")).alias("c")))
+    want = []
+    for k, w in enumerate(words):
+        c, chains = codes[k].c, set()
+        assert [x % 2 for x in c] == [int(x in spotsigs.ANCHORS) for x in w]
+        for i, x in enumerate(c):
+            near = [y for y in c[i + 1 : i + 1 + spotsigs.REACH] if y % 2 == 0][: spotsigs.CHAIN]
+            if (x % 2 or (x >> 1) % spotsigs.SPARE == 0) and len(near) == spotsigs.CHAIN:
+                chains.add((x, *near))
+        want.append((k, [list(y) for y in sorted(chains)], c))
+    hashed = spark.createDataFrame(want, "doc_id long, chains array<array<long>>, c array<long>")
+    hashed = hashed.select("doc_id", F.when(F.size("chains") == 0, F.array(F.hash("c"))).otherwise(F.array_sort(F.array_distinct(F.transform("chains", lambda x: F.hash(x[0], x[1], x[2]))))).alias("s"))
+    wanted, got = by_id(hashed), by_id(spotsigs.fingerprinted(table.select("doc_id", "text"), "text", "sig"))
+    assert {k: r.s for k, r in wanted.items()} == {k: r.sig for k, r in got.items()} and len(got[5].sig) > 50
+    edited = by_id(spotsigs.edited(table.select("doc_id", "text")))
+    order = sorted(range(len(texts)), reverse=True)
+    sets = {k: set(r.sig) for k, r in got.items()}
+    for at, k in enumerate(order):
+        nxt = sets[order[(at + 1) % len(order)]]
+        assert math.isclose(edited[k].near_next, len(sets[k] & nxt) / len(sets[k] | nxt))
+        assert edited[k].fingerprint == "".join(f"{x & 0xFFFFFFFF:08X}" for x in got[k].sig)
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, PASSAGE), (2, " ".join(BASE[0].split()[10:17])), (3, None), (4, "..."), (5, "w1 the"), (1, PASSAGE), (6, "zz " * 30), (7, "ab " * 20)]
     table = spark.createDataFrame(items, "item_id long, text string")

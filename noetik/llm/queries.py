@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, ship
-from . import html_consensus, license_index, lm_automaton, lyndon_dedup, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
+from . import html_consensus, license_index, lm_automaton, lyndon_dedup, oracles, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,4 +87,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_winnow": winnow.ORACLE}
+    """The other queries hold model scores, tokenizer ids or hashes that SQL has no function for."""
+    return {"op6_winnow": winnow.ORACLE, "op9_tensor_minhash": oracles.NEAR_DUPLICATES, "op10_lyndon_dedup": oracles.REPEATED_BYTES}

@@ -55,3 +55,26 @@ def all_null(df: DataFrame, columns: list[str]) -> DataFrame:
 def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and an order-free digest, to compare a projection with its rebuild."""
     return df.agg(F.count("*").alias("n_rows"), F.sum(F.crc32(F.concat_ws("|", *columns).cast("binary"))).alias("digest"))
+
+
+def backup(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table and, once all are written, a manifest with its rows and digest; a folder without one is no backup."""
+    done = []
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+        m = manifest(df.sparkSession.read.parquet(f"{path}/{name}"), df.columns).first()
+        done.append((name, m["n_rows"], m["digest"]))
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame(done, "name string, n_rows long, digest long").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def restore(spark, path: str) -> dict[str, DataFrame]:
+    """The tables of a backup, each checked against the manifest."""
+    out = {}
+    for r in spark.read.parquet(f"{path}/manifest").collect():  # a row for each table
+        df = spark.read.parquet(f"{path}/{r['name']}")
+        m = manifest(df, df.columns).first()
+        if (m["n_rows"], m["digest"]) != (r["n_rows"], r["digest"]):
+            raise ValueError(f"{r['name']} is not what was backed up")
+        out[r["name"]] = df
+    return out

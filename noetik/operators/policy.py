@@ -25,7 +25,11 @@ def matches(sources: DataFrame, rules: DataFrame, labels: DataFrame | None = Non
     if substrings:
         keyed = substring_matches(sources, rules)
     else:
-        words = F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))
+        targets = [r["target"] for r in rules.where("kind = 'keyword'").select("target").distinct().limit(MOST_KEYWORDS + 1).collect()]
+        if len(targets) > MOST_KEYWORDS:
+            raise ValueError(f"more than {MOST_KEYWORDS} keyword rules")
+        # only words that some rule names become rows
+        words = F.array_intersect(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, targets)).cast("array<string>"))
         keyed = sources.select("source_id", F.explode(words).alias("target")).join(rules.where("kind = 'keyword'"), "target").drop("target")
     out = out.unionByName(keyed)
     if labels is not None:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import discard
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -26,6 +27,44 @@ def bm25(docs: DataFrame, id_col: str, text: Column, query: list[str]) -> DataFr
     return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("doc").agg(F.sum(part).alias("score"))  # a row for each query term; one row
 
 
+class TextIndex:
+    """Postings, lengths and statistics stored under a path. Postings are in PARTS folders by the hash of their term, so a
+    query reads those of its own terms."""
+
+    PARTS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rebuild(self, docs: DataFrame, id_col: str, text: Column) -> None:
+        part = F.pmod(F.xxhash64("term"), F.lit(self.PARTS)).cast("int").alias("part")
+        postings(docs, id_col, text).select("*", part).repartition(self.PARTS, "part").write.partitionBy("part").parquet(f"{self.path}/postings")
+        docs.select(F.col(id_col).alias("doc"), F.size(tokens(text)).alias("dl")).write.parquet(f"{self.path}/lengths")
+        lengths = self.spark.read.parquet(f"{self.path}/lengths")
+        lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{self.path}/stats")
+
+    def search(self, query: list[str]) -> DataFrame:
+        """doc, score of the documents with a query term."""
+        asked = self.spark.createDataFrame([(t,) for t in sorted(set(query))], "term string").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(self.PARTS)).cast("int"))
+        parts = [r["part"] for r in asked.collect()]  # the query's terms
+        tf = self.spark.read.parquet(f"{self.path}/postings").where(F.col("part").isin(parts)).where(F.col("term").isin(query))
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        idf = F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"])))
+        sized = tf.join(self.spark.read.parquet(f"{self.path}/lengths"), "doc")
+        return sized.join(F.broadcast(df), "term").groupBy("doc").agg(F.sum(weight).alias("score"))  # a row for each term
+
+    def digest(self) -> tuple[int, int]:
+        """Rows and an order-free digest of the postings."""
+        rows = self.spark.read.parquet(f"{self.path}/postings")
+        r = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64("term", "doc", "tf").cast("decimal(38,0)")).alias("h")).first()
+        return r["n"], r["h"]
+
+    def drop(self) -> None:
+        discard(self.spark, self.path)
+
+
 def fields(docs: DataFrame, id_col: str, weighted: dict[str, tuple[Column, float]], query: list[str]) -> DataFrame:
     """doc, score: the weighted sum of the scores of a document's fields, {name: (text, weight)}."""
     parts = [bm25(docs, id_col, text, query).select("doc", (F.lit(w) * F.col("score")).alias("score")) for text, w in weighted.values()]

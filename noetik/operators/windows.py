@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -25,6 +27,16 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], into: str = "rank"
     return df.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def ranked_wide(df: DataFrame, by: list[str], order: list[Column], into: str = "rank") -> DataFrame:
+    """ranked() for groups too large for one task: rows are dealt by ranges of the order, ranked inside each range, and
+    moved up by the rows of the group in the ranges before. The ranges are stored, so that both passes see the same."""
+    dealt = cut(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy("_p", *by).agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_c")).drop("_c")  # a row for each range
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)))
+    return inside.join(F.broadcast(before), ["_p", *by]).withColumn(into, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+
+
 def chunked(df: DataFrame, key: str, order: list[str], length: str, budget: int) -> DataFrame:
     """df with the number of its chunk: a new one whenever the length before a row passes a multiple of the budget."""
     before = F.coalesce(F.sum(length).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import filters as P
+from ..operators import jobs as Q
 from ..operators import joins as J
 from ..operators import search as S
 from ..operators import windows as W
+from ..session import checkpoint_folder
 from ..sources import tables as T
 from .registry import query
 
@@ -275,7 +279,8 @@ def _(s, d):
 
 @query("surface_rank", "SELECT doc_id AS source_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
 def _(s, d):
-    return W.ranked(T.sources(s, d), ["collection_id"], [F.desc("n_chars"), F.col("source_id")]).select("source_id", F.col("rank").cast("long").alias("rank"))
+    rows = T.sources(s, d).select("source_id", "collection_id", "n_chars")
+    return W.ranked_wide(rows, ["collection_id"], [F.desc("n_chars"), F.col("source_id")]).select("source_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("revisions", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS revision_no FROM events")
@@ -382,6 +387,40 @@ def _(s, d):
     return S.containing(T.table(s, d, "documents").select("doc_id", F.lower("text").alias("body")), T.table(s, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("p")))
 
 
+@query("phrase_whole", "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))")
+def _(s, d):
+    return S.containing(T.table(s, d, "documents").select("doc_id", F.lower("text").alias("body")), T.table(s, d, "benchmark").select("item_id", F.lower("text").alias("p")))
+
+
+def _text_index(s, d):
+    index = S.TextIndex(s, f"{checkpoint_folder(s)}/text-{uuid.uuid4().hex}")
+    index.rebuild(T.table(s, d, "documents"), "doc_id", F.col("text"))
+    return index
+
+
+@query("bm25_index", BM25)
+def _(s, d):
+    return _text_index(s, d).search(QUERY).select("doc", F.round("score", 6).alias("score"))
+
+
+@query("rebuild_projection", f"WITH t AS (SELECT doc_id AS doc, unnest({TOKENS}) AS term FROM documents) SELECT count(*) AS n_rows, TRUE AS equal FROM (SELECT term, doc FROM t GROUP BY term, doc)")
+def _(s, d):
+    digest = lambda i: i.digest()
+    index = _text_index(s, d)
+    first = digest(index)
+    index.drop()
+    second = digest(_text_index(s, d))
+    return s.createDataFrame([(second[0], first == second)], "n_rows long, equal boolean")
+
+
+@query("backup_restore", "SELECT 'labels' AS name, count(*) AS n_rows, TRUE AS whole FROM labels UNION ALL SELECT 'part', count(*), TRUE FROM part")
+def _(s, d):
+    path = f"{checkpoint_folder(s)}/backup-{uuid.uuid4().hex}"
+    Q.backup({n: T.table(s, d, n) for n in ("labels", "part")}, path)
+    restored = Q.restore(s, path)
+    return s.createDataFrame([(n, df.count(), True) for n, df in restored.items()], "name string, n_rows long, whole boolean")
+
+
 @query("name_lookup", "SELECT p_partkey AS entity_id, p_name AS canonical_name FROM part WHERE lower(p_brand) LIKE 'brand#1%'")
 def _(s, d):
     return P.search(T.entities(s, d), {"brand": {"starts": "brand#1"}}).select("entity_id", "canonical_name")
@@ -428,7 +467,7 @@ RANKED = f"SELECT surface, object_id, row_number() OVER (PARTITION BY surface OR
 
 @query("rrf", f"SELECT object_id, round(sum(CASE surface WHEN 'fts' THEN 1.0 ELSE 0.5 END / (60 + rank)), 8) AS score FROM ({RANKED}) GROUP BY object_id")
 def _(s, d):
-    lists = W.ranked(_surfaces(s, d), ["surface"], [F.desc("score"), F.col("object_id")])
+    lists = W.ranked_wide(_surfaces(s, d), ["surface"], [F.desc("score"), F.col("object_id")])
     return S.reciprocal_rank(lists, {"fts": 1.0, "metadata": 0.5}).select("object_id", F.round("score", 8).alias("score"))
 
 

@@ -51,12 +51,12 @@ CLOSES_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "htm
 #: Words for what is not the article, words that may stand with them, and words for the article itself.
 OTHER = set(
     """ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar navigation footer masthead
-    comment comments discussion respond replies disqus cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup share
-    sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar skiplink disclaimer contentinfo complementary""".split()
+    comment comments commentlist discussion trackbacks pingbacks reply respond replies disqus cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup share
+    sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar skiplink disclaimer contentinfo complementary topbar alert search searchbox searchform""".split()
 )
 WITH = set(
     """block box wrapper wrap container holder list section area item items inner outer bar top bottom left right side site page main global primary secondary panel
-    row col column group links link buttons button unit slot post article entry the my side-bar skip to form header""".split()
+    row col column group links link buttons button unit slot post article entry the my side-bar skip to form header footer body reader readers user users visitor fb facebook google sticky fixed new latest""".split()
 )
 HEADER = {"header", "site", "page", "top", "global", "main", "wrapper", "container", "inner", "bar", "banner"}
 CONTENT = {"content", "post", "article", "entry", "story", "text", "prose", "articlebody", "maincontent"}

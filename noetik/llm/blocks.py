@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,14 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def fresh() -> None:
+    """For a worker's next task: drop what earlier ones of another operator kept, and return it."""
+    kept = sys.modules.get(f"{__package__}.tokens")
+    if kept:
+        kept._encoders.clear()
+    trim()
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 

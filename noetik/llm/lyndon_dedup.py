@@ -34,6 +34,7 @@ from . import blocks as B
 from . import jvm, suffix_groups
 
 LENGTH, K = 100, 32
+BLOCK_BYTES = 4 << 20
 CHUNK = 1 << 18
 SPREAD = 16  # buckets of stretches for each block
 HEAVY = 1 << 14
@@ -259,16 +260,17 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = (), heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; with digest their SHA-256) and the columns to
-    carry of every row."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = (), heavy: int = HEAVY, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; with digest their SHA-256; as text without the
+    characters that a cut has split) and the columns to carry of every row."""
     spark = docs.sparkSession
     jvm.register(spark, "noetik_repeated_windows", suffix_groups.CLASS, suffix_groups.SOURCE, "array<struct<block:int,windows:binary>>")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    n = B.block_count(own)
+    n = B.block_count(own, size=BLOCK_BYTES)
     blocks = own.withColumn("block", B.block_of("doc_id", n)).repartition(n, "block")
 
     def keys(table: pa.Table) -> pa.Table:
+        B.fresh()
         return _keys(table, n)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -278,6 +280,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
         out = _cut(left, right)
         if digest:
             out = out.set_column(4, "kept", pa.array([hashlib.sha256(x).hexdigest() for x in out.column("kept").to_pylist()], pa.string()))
+        if as_text:
+            out = out.set_column(4, "kept", pa.array([x.decode("utf-8", "ignore") for x in out.column("kept").to_pylist()], pa.string()))
         for c in carry:
             out = out.append_column(c, left.column(c))
         return out
@@ -288,4 +292,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     to_sort = sent.groupBy("bucket").applyInArrow(_to_sort, TO_SORT)
     sorted_out = F.expr(f"CASE WHEN text IS NULL THEN array(named_struct('block', block, 'windows', windows)) ELSE noetik_repeated_windows(text, meta, {LENGTH}) END")
     found = to_sort.select(F.inline(sorted_out))
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}" + "".join(f", {c} {kinds[c]}" for c in carry))
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest or as_text else 'binary'}" + "".join(f", {c} {kinds[c]}" for c in carry))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import fresh
+
 MAX_LABELS = 20_000
 DIM = 26
 LETTER = np.zeros(256, bool)
@@ -156,6 +158,7 @@ def score(docs: DataFrame, model: Trees, into: str = "score", text_col: str = "t
     docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
 
     def rows(batches):
+        fresh()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.probability(table_statistics(b, text_col)))], [*b.schema.names, into])
 

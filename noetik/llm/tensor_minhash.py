@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .blocks import mix
+from .blocks import fresh, mix, trim
 
 M, ROWS = 8, 2
 #: Sets and shingles of a block of nodes, to which their centres come.
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_hash, keys of each row of docs (doc_id, text_hash, text)."""
 
     def rows(batches):
+        fresh()
         shingler = Shingler(size)
         for b in batches:
             n, digest, keys = [], [], []
@@ -100,6 +101,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 keys.append(group_keys(s).view(np.int64))
             made = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "text_hash", "n_shingles", "set_hash", "keys"])
+        del shingler
+        trim()
 
     return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, set_hash binary, keys array<long>")
 
@@ -108,10 +111,13 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     """node, s: the sets of docs (node, text)."""
 
     def rows(batches):
+        fresh()
         shingler = Shingler(size)
         for b in batches:
             sets = [s.view(np.int64) for s in shingler.sets([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+        del shingler
+        trim()
 
     return docs.mapInArrow(rows, "node long, s array<long>")
 

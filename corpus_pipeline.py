@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes that repeat; characters that a cut has split go too."""
     ship(spark)
-    cut = lyndon_dedup.dedup(docs, carry=("lang", "source"))
-
-    def texts(batches):
-        for b in batches:
-            text = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), b.column(2), b.column(3), pa.array(list(map(len, text)), pa.int64())], COLUMNS)
-
-    return cut.select("doc_id", "kept", "lang", "source").mapInArrow(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = lyndon_dedup.dedup(docs, carry=("lang", "source"), as_text=True)
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

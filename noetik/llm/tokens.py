@@ -2,8 +2,8 @@
 
 The pre-tokenizer of a byte-level BPE vocabulary never joins what stands before a single space with what follows it, so
 a text's ids are those of its pieces: the first as it is, each later one with the space before it. A piece is split off
-only where both neighbours of the space are not white space. Texts are cut in Arrow, a batch at a time, and each distinct
-piece of a batch is encoded once; numpy puts the ids in place. A piece of letters is one pre-token, which the tokenizers
+only where both neighbours of the space are not white space. Texts are cut in Arrow, some MB at a time, and each distinct
+piece of these is encoded once; numpy puts the ids in place. A piece of letters is one pre-token, which the tokenizers
 library's BPE model merges, and letters with a run of MARKS behind them are two; other pieces are cut by the pre-tokenizer's
 pattern first. The cache has a young and an old part: when the young one holds KEPT pieces it becomes the old one, and
 pieces found in the old one move on, so memory is bounded and frequent pieces stay. A text that holds an added token is
@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 KEPT = 500_000
+SLICE = 4 << 20  # bytes of text that are cut at a time
 MARKS = ".,;:!?$&*%#()\"-"
 LONGEST = 40  # characters of a piece that is kept
 PLAIN = re.compile(r"(?<=\S) (?=\S)")
@@ -79,8 +80,10 @@ class PieceEncoder:
         was = gc.isenabled()
         gc.disable()
         try:
-            column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-            return self.column(pc.fill_null(column, "")) if len(column) else []
+            column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+            part = np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64) // SLICE
+            ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(column)] if len(column) else []
+            return [x for i, j in zip([0, *ends], ends, strict=False) for x in self.column(column.slice(i, j - i))]
         finally:
             if was:
                 gc.enable()

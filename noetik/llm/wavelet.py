@@ -31,13 +31,14 @@ from .tokens import encoder
 MAGIC = b"WVMX0002"
 SHARD_BYTES = 8 << 20
 BLOCK = 4096  # bytes of a plane
+SHRINK = 0.75  # the share of its size that makes deflating a plane worth the time
 QUANTILES = 2000  # of ids that reach the driver
 
 
 def blocks_of(plane: bytes) -> list[bytes]:
-    """A plane's blocks as they are stored: all as they are if neither the first nor the middle one shrinks."""
+    """A plane's blocks as they are stored: all as they are if neither the first nor the middle one shrinks to SHRINK."""
     raw = [plane[i : i + BLOCK] for i in range(0, len(plane), BLOCK)]
-    if raw and all(len(zlib.compress(b, 1)) > 0.95 * len(b) for b in (raw[0], raw[len(raw) // 2])):
+    if raw and all(len(zlib.compress(b, 1)) > SHRINK * len(b) for b in (raw[0], raw[len(raw) // 2])):
         return raw
     return [z if len(z := zlib.compress(b, 1)) < len(b) else b for b in raw]
 

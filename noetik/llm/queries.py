@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, ship
-from . import html_consensus, license_index, lm_automaton, lyndon_dedup, oracles, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
+from . import forced_split, html_consensus, license_index, lm_automaton, lyndon_dedup, oracles, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_lyndon_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lyndon_dedup.dedup(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op11_forced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forced_split.encode(_table(spark, sf_dir, "documents"), vocabulary(), decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_lm_automaton": op1_lm_automaton,
@@ -83,6 +88,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_tensor_minhash": op9_tensor_minhash,
         "op10_lyndon_dedup": op10_lyndon_dedup,
+        "op11_forced_split": op11_forced_split,
     }
 
 

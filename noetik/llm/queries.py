@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, ship
-from . import forced_split, html_consensus, license_index, lm_automaton, lyndon_dedup, oracles, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
+from . import forced_split, html_consensus, lag_runs, license_index, lm_automaton, lyndon_dedup, oracles, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op11_forced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_lag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lag_runs.digest(lag_runs.periodic(lag_runs.planted(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
     return {
         "op1_lm_automaton": op1_lm_automaton,
@@ -89,6 +93,7 @@ def queries() -> dict:
         "op9_tensor_minhash": op9_tensor_minhash,
         "op10_lyndon_dedup": op10_lyndon_dedup,
         "op11_forced_split": op11_forced_split,
+        "op12_lag_runs": op12_lag_runs,
     }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, ship
-from . import forced_split, html_consensus, lag_runs, license_index, lm_automaton, lyndon_dedup, oracles, packing, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
+from . import forced_split, html_consensus, lag_runs, license_index, lm_automaton, lyndon_dedup, oracles, packing, pivot_negatives, quality_gbt, spotsigs, tensor_minhash, wavelet, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op12_lag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lag_runs.digest(lag_runs.periodic(lag_runs.planted(_table(spark, sf_dir, "documents"))))
 
 
+def op13_pivot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_negatives.mine(pivot_negatives.scaled(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_lm_automaton": op1_lm_automaton,
@@ -94,6 +98,7 @@ def queries() -> dict:
         "op10_lyndon_dedup": op10_lyndon_dedup,
         "op11_forced_split": op11_forced_split,
         "op12_lag_runs": op12_lag_runs,
+        "op13_pivot_negatives": op13_pivot_negatives,
     }
 
 

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import jobs, search
+from .operators import jobs, postings
 from .session import discard
 from .sources import tables
 
@@ -43,9 +43,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         now, new = tables.table(spark, a.folder, "documents"), spark.read.parquet(a.to)
         jobs.sync(now.select("doc_id", "text"), new.select("doc_id", "text"), "doc_id", "text").groupBy("change").count().show()
     elif a.command == "reindex":
-        search.TextIndex(spark, a.to).rebuild(tables.table(spark, a.folder, "documents"), "doc_id", F.col("text"))
+        index = postings.PostingsIndex(spark, a.to)
+        index.update(tables.table(spark, a.folder, "documents"), "doc_id")
     elif a.command == "search":
-        search.TextIndex(spark, a.to).search([w.lower() for w in a.words]).orderBy(F.desc("score"), "doc").show(10)
+        postings.PostingsIndex(spark, a.to).scores([w.lower() for w in a.words]).orderBy(F.desc("score"), "doc").show(10)
     elif a.command == "export":
         docs = tables.table(spark, a.folder, "documents")
         head = F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\n---\n"))

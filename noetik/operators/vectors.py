@@ -1,7 +1,6 @@
 """A vector index over a Parquet table: rebuild, upsert, delete, exact and approximate search, clusters.
 
-Each change writes a new version beside the old one, so a reader never sees half of it. Vectors are in folders by
-object type, which a typed search reads alone. The approximate index gives every vector the cell of its nearest
+Each change writes a segment of the changed rows (see segments.py), so a reader never sees half of it. The approximate index gives every vector the cell of its nearest
 centroid; centroids are fitted on at most SAMPLE vectors, those of the lowest hashes.
 """
 
@@ -12,41 +11,32 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import discard
 from .search import cosine, nearest
+from .segments import Segments
 
 SAMPLE, MOST_CELLS = 20_000, 1024
 
 
-class VectorIndex:
-    """Rows object_type, object_id, vector, content_hash under a path."""
+class VectorIndex(Segments):
+    """Rows object_type, object_id, vector, content_hash under a path, by object_type and object_id. Keys are unique."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        done = [s.getPath() for s in files.listStatus(root) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done)
+    COLUMNS = ["object_type", "object_id", "vector", "content_hash"]
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._versions()[-1]}")
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, ["object_type", "object_id"])
 
     def rebuild(self, vectors: DataFrame) -> None:
-        old = self._versions()
-        vectors.select("object_type", "object_id", "vector", "content_hash").write.partitionBy("object_type").parquet(f"{self.path}/v{old[-1] + 1 if old else 1}")
-        for v in old[:-1]:
-            discard(self.spark, f"{self.path}/v{v}")
+        """A version of these rows alone."""
+        self.check(vectors)
+        base = self.version()
+        name = self.store(vectors.select(*self.COLUMNS))
+        self.commit(base, [name])
 
     def upsert(self, vectors: DataFrame) -> None:
-        kept = self.read().join(vectors.select("object_type", "object_id"), ["object_type", "object_id"], "left_anti")
-        self.rebuild(kept.unionByName(vectors.select(*kept.columns)))
+        self.update(vectors.select(*self.COLUMNS))
 
     def delete(self, keys: DataFrame) -> None:
-        self.rebuild(self.read().join(keys.select("object_type", "object_id"), ["object_type", "object_id"], "left_anti"))
+        self.update(self.read().limit(0), keys)
 
     def search(self, query: list[float], k: int, object_types: list[str] | None = None) -> DataFrame:
         rows = self.read()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import knowledge, lifecycle, model, retrieval  # noqa: F401  they register their queries
+from . import knowledge, lifecycle, model, ranked, retrieval  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

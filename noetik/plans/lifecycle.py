@@ -23,10 +23,7 @@ RULE_SQL = "(VALUES " + ", ".join(map(str, RULES)) + ") r(rule_id, kind, target,
 DECIDED = rf"""SELECT doc_id AS source_id, coalesce(action, 'process') AS action, rule_id, coalesce(kind, 'default') AS reason FROM documents LEFT JOIN (
 SELECT * FROM (SELECT doc_id AS did, r.*, row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'source_always' THEN 1 WHEN 'source_exclude' THEN 2 WHEN 'creator' THEN 4 WHEN 'collection' THEN 4 WHEN 'semantic' THEN 5 ELSE 6 END, priority DESC, action = 'metadata_only' DESC, created_at_ms DESC, rule_id) AS n
 FROM documents LEFT JOIN labels l USING (doc_id), {RULE_SQL} WHERE (kind LIKE 'source%' AND target = CAST(doc_id AS VARCHAR)) OR (kind = 'creator' AND target = source) OR (kind = 'collection' AND target = lang) OR (kind = 'semantic' AND l.toxic = 1)
-OR (kind = 'keyword' AND list_contains(string_split_regex(lower(substr(text, 1, 400)), '[^\p{{L}}\p{{N}}]+'), target))) WHERE n = 1) ON did = doc_id"""
-
-#: Keyword rules on the whole text instead of its first 400 characters.
-DECIDED_WHOLE = DECIDED.replace("substr(text, 1, 400)", "text")
+OR (kind = 'keyword' AND list_contains(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), target))) WHERE n = 1) ON did = doc_id"""
 
 
 def _rules(s, kinds=None):
@@ -34,37 +31,31 @@ def _rules(s, kinds=None):
     return rules.where(F.col("kind").isin(kinds)) if kinds else rules
 
 
-def _decided(s, d, kinds=None, whole=False):
-    matched = F.col("body") if whole else F.substring("body", 1, 400)
-    sources = T.sources(s, d).select("source_id", "creator_id", "collection_id", matched.alias("title"))
+def _decided(s, d, kinds=None):
+    sources = T.sources(s, d).select("source_id", "creator_id", "collection_id", F.col("body").alias("title"))
     labels = T.table(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("source_id"), F.lit("toxic").alias("label"))
     return L.decide(sources, _rules(s, kinds), labels)
 
 
-@query("policy_winner", DECIDED)
+@query("policy_winner_whole", DECIDED)
 def _(s, d):
     return _decided(s, d)
 
 
-@query("policy_winner_whole", DECIDED_WHOLE)
-def _(s, d):
-    return _decided(s, d, whole=True)
-
-
-@query("policy_pass_a_whole", f"SELECT action, count(*) AS n FROM ({DECIDED_WHOLE}) WHERE reason <> 'semantic' GROUP BY action")
+@query("policy_pass_a_whole", f"SELECT action, count(*) AS n FROM ({DECIDED}) WHERE reason <> 'semantic' GROUP BY action")
 def _(s, d):
-    return _decided(s, d, whole=True).where("reason <> 'semantic'").groupBy("action").agg(F.count("*").alias("n"))
+    return _decided(s, d).where("reason <> 'semantic'").groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("policy_pass_b_whole", f"SELECT source_id FROM ({DECIDED_WHOLE}) WHERE reason = 'semantic'")
+@query("policy_pass_b_whole", f"SELECT source_id FROM ({DECIDED}) WHERE reason = 'semantic'")
 def _(s, d):
-    return _decided(s, d, whole=True).where("reason = 'semantic'").select("source_id")
+    return _decided(s, d).where("reason = 'semantic'").select("source_id")
 
 
-@query("override_whole", f"SELECT source_id, CASE WHEN source_id % 100 = 3 THEN 'process' ELSE action END AS action, CASE WHEN source_id % 100 = 3 THEN 'manual_override' ELSE reason END AS reason FROM ({DECIDED_WHOLE})")
+@query("override_whole", f"SELECT source_id, CASE WHEN source_id % 100 = 3 THEN 'process' ELSE action END AS action, CASE WHEN source_id % 100 = 3 THEN 'manual_override' ELSE reason END AS reason FROM ({DECIDED})")
 def _(s, d):
     once = T.sources(s, d).where("source_id % 100 = 3").select("source_id", F.lit("process").alias("action"))
-    return L.with_overrides(_decided(s, d, whole=True), once).select("source_id", "action", "reason")
+    return L.with_overrides(_decided(s, d), once).select("source_id", "action", "reason")
 
 
 @query("policy_match", "SELECT doc_id AS source_id, 1 AS rule_id FROM documents WHERE source = 'src0' UNION ALL SELECT doc_id, 2 FROM documents WHERE lang = 'de'")
@@ -73,17 +64,7 @@ def _(s, d):
     return L.matches(sources, _rules(s, ["creator", "collection"])).select("source_id", "rule_id")
 
 
-@query("policy_pass_a", f"SELECT action, count(*) AS n FROM ({DECIDED}) WHERE reason <> 'semantic' GROUP BY action")
-def _(s, d):
-    return _decided(s, d).where("reason <> 'semantic'").groupBy("action").agg(F.count("*").alias("n"))
-
-
-@query("policy_pass_b", f"SELECT source_id FROM ({DECIDED}) WHERE reason = 'semantic'")
-def _(s, d):
-    return _decided(s, d).where("reason = 'semantic'").select("source_id")
-
-
-@query("policy_decision", f"SELECT reason, action, count(*) AS n FROM ({DECIDED}) GROUP BY ALL")
+@query("policy_decision_whole", f"SELECT reason, action, count(*) AS n FROM ({DECIDED}) GROUP BY ALL")
 def _(s, d):
     return _decided(s, d).groupBy("reason", "action").agg(F.count("*").alias("n"))
 
@@ -93,12 +74,6 @@ def _(s, d):
     return L.reevaluate(_decided(s, d, ["creator"]), _decided(s, d, ["creator", "collection"]))
 
 
-@query("override", f"SELECT source_id, CASE WHEN source_id % 100 = 3 THEN 'process' ELSE action END AS action, CASE WHEN source_id % 100 = 3 THEN 'manual_override' ELSE reason END AS reason FROM ({DECIDED})")
-def _(s, d):
-    once = T.sources(s, d).where("source_id % 100 = 3").select("source_id", F.lit("process").alias("action"))
-    return L.with_overrides(_decided(s, d), once).select("source_id", "action", "reason")
-
-
 @query("escalation", "SELECT doc_id AS source_id, CASE WHEN contains(lower(text), 'license') THEN 3 WHEN n_chars > 3000 THEN 2 ELSE 1 END AS level, concat_ws(',', CASE WHEN n_chars > 3000 THEN 'level2' END, CASE WHEN contains(lower(text), 'license') THEN 'level3' END) AS reasons FROM documents")
 def _(s, d):
     level, why = L.level({2: F.col("n_chars") > 3000, 3: F.lower("body").contains("license")})
@@ -194,12 +169,6 @@ def _(s, d):
     return x.join(y, ["brand", "entity_type"]).where("a < b").select("a", "b", F.levenshtein("na", "nb").cast("long").alias("distance"))
 
 
-@query("merge_closure", "WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 2 AS up FROM part WHERE p_partkey BETWEEN 2 AND 1000), c AS (SELECT id, up FROM m UNION ALL SELECT c.id, m.up FROM c JOIN m ON m.id = c.up) SELECT id, min(up) AS canonical FROM c GROUP BY id")
-def _(s, d):
-    merges = T.entities(s, d).where("entity_id between 2 and 1000").select(F.col("entity_id").alias("id"), F.expr("entity_id div 2").alias("merged_into"))
-    return J.merge_closure(merges)
-
-
 @query("merge_closure_all", "WITH RECURSIVE m AS (SELECT p_partkey AS id, p_partkey // 2 AS up FROM part WHERE p_partkey >= 2), c AS (SELECT id, up FROM m UNION ALL SELECT c.id, m.up FROM c JOIN m ON m.id = c.up) SELECT id, min(up) AS canonical FROM c GROUP BY id")
 def _(s, d):
     merges = T.entities(s, d).where("entity_id >= 2").select(F.col("entity_id").alias("id"), F.expr("entity_id div 2").alias("merged_into"))  # 1 is the root

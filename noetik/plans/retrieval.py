@@ -10,10 +10,12 @@ from ..functions import text as X
 from ..operators import filters as P
 from ..operators import jobs as Q
 from ..operators import joins as J
+from ..operators import postings as R
 from ..operators import search as S
 from ..operators import windows as W
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, discard
 from ..sources import tables as T
+from .ranked import text_index
 from .registry import query
 
 CLAIM = "SELECT l_orderkey AS source_id, l_linenumber AS ordinal, l_partkey AS entity_id, l_suppkey AS attributed_to, l_quantity AS quantity, round(l_extendedprice / l_quantity, 2) AS price, l_discount AS confidence, l_returnflag AS claim_kind, l_linestatus AS run_status, epoch_ms(l_shipdate) AS valid_from_ms FROM lineitem"
@@ -224,18 +226,6 @@ def _(s, d):
     return J.latest_before(asked, facts, "user_id", "ts", ["fact_id"]).select("event_id", "fact_id")
 
 
-@query("near_dups", f"WITH b AS (SELECT DISTINCT item_id AS id, unnest({TOKENS}) AS t FROM benchmark), n AS (SELECT id, count(*) AS n FROM b GROUP BY id) SELECT x.id AS a, y.id AS b, round(count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)), 6) AS similarity FROM b x JOIN b y ON x.t = y.t AND x.id < y.id JOIN n nx ON nx.id = x.id JOIN n ny ON ny.id = y.id GROUP BY x.id, y.id HAVING count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)) >= 0.1")
-def _(s, d):
-    sets = T.table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(X.tokens(F.col("text"))).alias("tokens"))
-    return J.near_pairs(sets, 0.1).withColumn("similarity", F.round("similarity", 6))
-
-
-@query("relation_hops", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 100 + 1 AS b FROM lineitem WHERE l_quantity = 50), h AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hop UNION SELECT e.b, h.hop + 1 FROM h JOIN e ON e.a = h.id WHERE h.hop < 2) SELECT id, min(hop) AS hop FROM h GROUP BY id")
-def _(s, d):
-    e = T.claims(s, d).where("quantity = 50").select(F.col("attributed_to").alias("a"), (F.col("entity_id") % 100 + 1).alias("b")).distinct()
-    return J.hops(e, s.range(1, 2).select("id"), 2)
-
-
 @query("relation_hops_all", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem), h AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hop UNION SELECT e.b, h.hop + 1 FROM h JOIN e ON e.a = h.id WHERE h.hop < 2) SELECT id, min(hop) AS hop FROM h GROUP BY id")
 def _(s, d):
     return J.hops(T.claims(s, d).select(F.col("attributed_to").alias("a"), F.col("entity_id").alias("b")).distinct(), s.range(1, 2).select("id"), 2)
@@ -345,16 +335,6 @@ def _(s, d):
     return T.entities(s, d).groupBy("brand").agg(F.array_join(F.array_sort(F.collect_set("entity_type")), "|").alias("aliases"))
 
 
-@query("term_stats", f"WITH t AS (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) SELECT term, count(DISTINCT item_id) AS df, count(*) AS cf FROM t GROUP BY term")
-def _(s, d):
-    return S.postings(T.table(s, d, "benchmark"), "item_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
-
-@query("fts_rebuild", f"WITH t AS (SELECT item_id AS doc, unnest({TOKENS}) AS term FROM benchmark) SELECT term, doc, count(*) AS tf FROM t GROUP BY term, doc")
-def _(s, d):
-    return S.postings(T.table(s, d, "benchmark"), "item_id", F.col("text"))
-
-
 @query("term_stats_documents", f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
 def _(s, d):
     return S.postings(T.table(s, d, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -374,42 +354,32 @@ SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2
 
 @query("bm25", BM25)
 def _(s, d):
-    return S.bm25(T.table(s, d, "documents"), "doc_id", F.col("text"), QUERY).select("doc", F.round("score", 6).alias("score"))
+    return text_index(s, d).scores(QUERY)
 
 
 @query("topk", f"SELECT * FROM ({BM25}) ORDER BY score DESC, doc LIMIT 10")
 def _(s, d):
-    return S.bm25(T.table(s, d, "documents"), "doc_id", F.col("text"), QUERY).select("doc", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc").limit(10)
-
-
-@query("phrase", "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(substr(benchmark.text, 1, 60)))")
-def _(s, d):
-    return S.containing(T.table(s, d, "documents").select("doc_id", F.lower("text").alias("body")), T.table(s, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("p")))
+    return text_index(s, d).scores(QUERY).orderBy(F.desc("score"), "doc").limit(10)
 
 
 @query("phrase_whole", "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))")
 def _(s, d):
-    return S.containing(T.table(s, d, "documents").select("doc_id", F.lower("text").alias("body")), T.table(s, d, "benchmark").select("item_id", F.lower("text").alias("p")))
-
-
-def _text_index(s, d):
-    index = S.TextIndex(s, f"{checkpoint_folder(s)}/text-{uuid.uuid4().hex}")
-    index.rebuild(T.table(s, d, "documents"), "doc_id", F.col("text"))
-    return index
+    docs = T.table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.lower("text").alias("body"))
+    found = text_index(s, d).phrases(T.table(s, d, "benchmark").select(F.col("item_id").alias("pid"), F.lower("text").alias("p")), docs)
+    return found.select(F.col("doc").alias("doc_id"), F.col("pid").alias("item_id"))
 
 
 @query("bm25_index", BM25)
 def _(s, d):
-    return _text_index(s, d).search(QUERY).select("doc", F.round("score", 6).alias("score"))
+    return text_index(s, d).scores(QUERY)
 
 
 @query("rebuild_projection", f"WITH t AS (SELECT doc_id AS doc, unnest({TOKENS}) AS term FROM documents) SELECT count(*) AS n_rows, TRUE AS equal FROM (SELECT term, doc FROM t GROUP BY term, doc)")
 def _(s, d):
-    digest = lambda i: i.digest()
-    index = _text_index(s, d)
-    first = digest(index)
-    index.drop()
-    second = digest(_text_index(s, d))
+    first, again = text_index(s, d), R.PostingsIndex(s, f"{checkpoint_folder(s)}/text-{uuid.uuid4().hex}")
+    again.update(T.table(s, d, "documents"), "doc_id")
+    first, second = first.digest(), again.digest()
+    discard(s, again.path)
     return s.createDataFrame([(second[0], first == second)], "n_rows long, equal boolean")
 
 
@@ -443,16 +413,17 @@ def _(s, d):
     return S.nearest(P.search(T.table(s, d, "embeddings"), {"label": {"eq": 3}}), _query_vector(s, d), 10)
 
 
-@query("centroid_by_label", "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS c0 FROM embeddings GROUP BY label")
+@query("centroids", "SELECT label, component, count(*) AS n, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(range(len(embedding))) AS component, unnest(embedding) AS x FROM embeddings) GROUP BY label, component")
 def _(s, d):
-    return T.table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.get("embedding", F.lit(0)).cast("double")), 6).alias("c0"))
+    each = T.table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("component", "x"))
+    return each.groupBy("label", "component").agg(F.count("*").alias("n"), F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 SURFACES = f"""SELECT 'fts' AS surface, doc AS object_id, score FROM ({BM25}) UNION ALL SELECT 'metadata', doc_id, CAST(n_chars AS DOUBLE) FROM documents WHERE lang = 'en'"""
 
 
 def _surfaces(s, d):
-    fts = S.bm25(T.table(s, d, "documents"), "doc_id", F.col("text"), QUERY).select(F.lit("fts").alias("surface"), F.col("doc").alias("object_id"), F.round("score", 6).alias("score"))
+    fts = text_index(s, d).scores(QUERY).select(F.lit("fts").alias("surface"), F.col("doc").alias("object_id"), "score")
     meta = P.search(T.sources(s, d), {"collection_id": {"eq": "en"}}).select(F.lit("metadata").alias("surface"), F.col("source_id").alias("object_id"), F.col("n_chars").cast("double").alias("score"))
     return fts.unionByName(meta)
 

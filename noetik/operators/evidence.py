@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import joins as J
 from . import windows as W
+from .edit_distance import near_strings
 from .wiki import current
 
 
@@ -84,7 +85,7 @@ def bad_lifecycle(states: DataFrame, allowed: DataFrame) -> DataFrame:
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, distance: int = 2) -> DataFrame:
     """mention_id, entity_id, band, truth. An equal name or alias of one entity of the hinted type links; of several it is
     disputed; a name within a small distance is a candidate at most. Merged entities stand for the end of their chain.
-    Fuzzy names meet by one of distance + 1 equal parts of themselves, so no mention meets all names."""
+    Fuzzy names meet by the segments of edit_distance, so no mention meets all names."""
     ends = J.merge_closure(entities.where("merged_into is not null").select(F.col("entity_id").alias("id"), "merged_into")).select(F.col("id").alias("entity_id"), "canonical", F.lit(True).alias("merged"))
     names = aliases.select("entity_id", F.col("alias").alias("name")).unionByName(entities.select("entity_id", "name"))
     names = names.select("entity_id", X.normalize_name(F.col("name")).alias("norm")).distinct()
@@ -92,14 +93,8 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, distan
     known = names.select("norm", "canonical").distinct().join(entities.select(F.col("entity_id").alias("canonical"), F.col("entity_type").alias("type_hint")), "canonical")
     asked = mentions.select("mention_id", "type_hint", "truth", X.normalize_name(F.col("mention_text")).alias("norm"))
     strong = known.groupBy("norm", "type_hint").agg(F.count_distinct("canonical").alias("n_strong"), F.min("canonical").alias("strong"))
-    # a name with at most `distance` edits keeps one of distance + 1 parts, moved by at most `distance` places
-    size = F.greatest(F.floor(F.length("norm") / (distance + 1)), F.lit(1)).cast("int")
-    parts = F.array_distinct(F.array(*[F.substring("norm", (F.lit(k) * size + 1), F.when(F.lit(k == distance), F.length("norm")).otherwise(size)) for k in range(distance + 1)]))
-    parted = known.select("canonical", "type_hint", F.col("norm").alias("name"), F.explode(parts).alias("part")).withColumn("n", F.length("part"))
-    sizes = F.sequence(F.lit(1), F.length("norm"))
-    grams = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, n)))))
-    asked_parts = asked.select("mention_id", "type_hint", "norm", F.explode(grams).alias("part"))
-    fuzzy = asked_parts.join(parted, ["type_hint", "part"]).where(F.levenshtein("norm", "name") <= distance).groupBy("mention_id").agg(F.min("canonical").alias("fuzzy"))
+    near = near_strings(asked.select(F.col("norm").alias("name")), known.select(F.col("norm").alias("name")), distance).select(F.col("a").alias("norm"), F.col("b").alias("of"))
+    fuzzy = asked.join(near, "norm").join(known.select(F.col("norm").alias("of"), "type_hint", "canonical"), ["of", "type_hint"]).groupBy("mention_id").agg(F.min("canonical").alias("fuzzy"))
     out = asked.join(strong, ["norm", "type_hint"], "left").join(fuzzy, "mention_id", "left")
     entity = F.when(F.col("n_strong") == 1, F.col("strong")).when(F.col("n_strong").isNull(), F.col("fuzzy"))
     band = F.when(F.col("n_strong") == 1, "auto").when(F.col("n_strong") > 1, "disputed").when(F.col("fuzzy").isNotNull(), "candidate").otherwise("provisional")

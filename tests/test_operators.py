@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noetik.functions import text as X
-from noetik.operators import filters, jobs, joins, policy, search, windows
+from noetik.operators import filters, jobs, joins, policy, postings, windows
 from noetik.streaming import streams
 
 
@@ -57,13 +57,15 @@ def test_han_bigrams(spark):
     assert df.select(X.cjk_bigrams(F.col("t"))).first()[0] == ["旺角", "角日", "日料", "茶"]
 
 
-def test_phrases_are_found_wherever_they_are_cut(spark):
+def test_phrases_are_found_wherever_they_are_cut(spark, tmp_path):
     texts = {1: "a lengthy passage that runs unbrokenly on.", 2: "passage", 3: "lengthy unbroken", 4: "--a lengthy passage--", 5: None, 6: "", 7: "xlengthy passages"}
     phrases = {1: "a lengthy passage that runs unbroken", 2: "engthy passage that", 3: "unbroken", 4: "lengthy passage", 5: "--", 6: "", 7: None, 8: ". lengthy", 9: "a lengthy passage"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id int, body string")
-    got = search.containing(docs, spark.createDataFrame(list(phrases.items()), "item_id int, p string")).collect()
+    docs = spark.createDataFrame(list(texts.items()), "doc int, body string")
+    index = postings.PostingsIndex(spark, str(tmp_path / "i"))
+    index.update(docs, "doc", F.col("body"))
+    got = index.phrases(spark.createDataFrame(list(phrases.items()), "pid int, p string"), docs).collect()
     want = sorted((i, k) for i, t in texts.items() for k, p in phrases.items() if t is not None and p is not None and p in t)
-    assert sorted((r.doc_id, r.item_id) for r in got) == want
+    assert sorted((r.doc, r.pid) for r in got) == want
 
 
 def test_overlaps_count_once(spark):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard, written
+
+HOT = 4096  # edges of a node that go to one task
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: list[str], width: int) -> DataFrame:
@@ -55,17 +57,39 @@ def run_diff(old: DataFrame, new: DataFrame, key: list[str], value: str) -> Data
     return both.select(*key, change.alias("change")).where("change is not null")
 
 
-def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of (id, tokens) of at least that exact Jaccard similarity. Only the rarest tokens of each set, as many
-    as the threshold needs, are joined."""
-    each = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    ranked = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    side = lambda c: prefix.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), "t")
-    pairs = side("a").join(side("b"), "t").where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct()
-    full = lambda c: sets.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """id, component: the smallest id that can be reached over edges (a, b), in either direction, of every id in an edge.
+
+    Large stars and small stars take turns: each node's larger neighbours move to its smallest one, then its smaller
+    neighbours and itself do, until nothing changes; the edges then are stars around the smallest ids. Edges grow by no
+    round, a smallest neighbour is an aggregate, and the edges of a node of more than HOT neighbours are dealt to parts.
+    Rows with a null are left out; an id that only meets itself is its own component."""
+    edges = edges.where("a is not null and b is not null").select("a", "b")
+    alone = edges.where("a = b").select(F.col("a").alias("id"))
+    now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def star(nodes: DataFrame, emit) -> DataFrame:
+        """nodes: u, v. Each edge beside the smallest of u and its neighbours."""
+        least = nodes.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+        wide = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("u", "part", "m")
+        dealt = nodes.join(least.where("parts > 1").select("u", "parts"), "u", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")))
+        return emit(dealt.join(wide, ["u", "part"]))
+
+    seen = None
+    for _ in range(most_rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = star(both, lambda x: x.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        small = star(large, lambda x: x.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(x.select("u", F.col("m").alias("v")))).where("u <> v").distinct()
+        (now, path), before = written(small), path
+        discard(now.sparkSession, before)
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError(f"no end after {most_rounds} rounds")
+    found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return found.unionByName(alone.distinct().join(found, "id", "left_anti").select("id", F.col("id").alias("component")))
 
 
 def near_classes(sets: DataFrame, percent: int) -> DataFrame:

@@ -1,21 +1,16 @@
-"""A vector index over a Parquet table: rebuild, upsert, delete, exact and approximate search, clusters.
+"""A vector index in segments: rebuild, upsert, delete, exact search, stale vectors.
 
-Each change writes a segment of the changed rows (see segments.py), so a reader never sees half of it. The approximate index gives every vector the cell of its nearest
-centroid; centroids are fitted on at most SAMPLE vectors, those of the lowest hashes.
+Each change writes a segment of the changed rows (see segments.py), so a reader never sees half of it.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import cosine, nearest
+from .search import nearest
 from .segments import Segments
 
-SAMPLE, MOST_CELLS = 20_000, 1024
-
 
 class VectorIndex(Segments):
     """Rows object_type, object_id, vector, content_hash under a path, by object_type and object_id. Keys are unique."""
@@ -47,35 +42,3 @@ class VectorIndex(Segments):
         """object_type, object_id whose vector is missing or is of other content."""
         now = self.read().select("object_type", "object_id", F.col("content_hash").alias("indexed"))
         return objects.join(now, ["object_type", "object_id"], "left").where(~F.col("indexed").eqNullSafe(F.col("content_hash"))).select("object_type", "object_id")
-
-
-def cells(vectors: DataFrame, n: int, id_col: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, list[list[float]]]:
-    """vectors with the cell of each, and the cells' centroids (at most MOST_CELLS)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    sample = rows.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
-    model = KMeans(k=max(2, min(n, MOST_CELLS)), featuresCol="_v", predictionCol="cell", seed=7, maxIter=10).fit(sample)
-    return model.transform(rows).drop("_v"), [c.tolist() for c in model.clusterCenters()]
-
-
-def approximate(vectors: DataFrame, queries: DataFrame, k: int, share: float = 0.7, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score: the k nearest of each query among the vectors of the cells nearest to it. queries: query_id, q.
-    share: of the cells that are read. Vectors without structure need many for a recall of 0.9, clustered ones few."""
-    n_cells = max(2, min(MOST_CELLS, int(vectors.count() ** 0.5 / 2)))
-    dealt, centres = cells(vectors, n_cells, id_col, vector)
-    probes = max(1, math.ceil(share * len(centres)))
-    table = F.array(*[F.struct(F.lit(c).alias("cell"), F.array(*map(F.lit, v)).alias("v")) for c, v in enumerate(centres)])
-    near = F.slice(F.array_sort(F.transform(table, lambda x: F.struct((-cosine(F.col("q"), x["v"])).alias("far"), x["cell"].alias("cell")))), 1, probes)
-    asked = queries.select("query_id", "q", F.explode(near).alias("x")).select("query_id", "q", F.col("x.cell").alias("cell"))
-    met = asked.join(dealt.select("cell", F.col(id_col).alias("id"), F.col(vector).alias("v")), "cell")
-    scored = met.select("query_id", F.struct((-cosine(F.col("q"), F.col("v"))).alias("far"), "id").alias("x"))
-    return _top(scored, k).select("query_id", F.explode("best").alias("x")).select("query_id", "x.id", F.round(-F.col("x.far"), 6).alias("score"))
-
-
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    """The first k of each query, first in 32 parts of it, so that no part of a hot query is large."""
-    part = F.pmod(F.xxhash64("x.id"), F.lit(32))
-    few = scored.withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "part").orderBy("x"))).where(F.col("n") <= k)
-    return few.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("best"))

@@ -87,18 +87,6 @@ def _(s, d):
     return index.read().select("object_id", "object_type", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query("ann_recall")
-def _(s, d):
-    e = T.table(s, d, "embeddings")
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return I.approximate(e, asked, 10)
-
-
-@query("vec_clusters")
-def _(s, d):
-    return I.cells(T.table(s, d, "embeddings"), 10)[0].groupBy("cell", "label").agg(F.count("*").alias("n"))
-
-
 PATTERNS = {"url": "https?://[A-Za-z0-9./_-]+", "email": "[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+", "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}", "price": "[$€][0-9]+([.][0-9]+)?", "phone": "[+][0-9][0-9 -]{7,14}[0-9]", "version": "version [0-9]+([.][0-9]+)*"}
 
 

@@ -56,22 +56,6 @@ def test_questions_become_requests():
     assert answers.parse("anything").constraints == {}
 
 
-def test_near_search_finds_what_exact_search_finds(spark):
-    sf = "/root/testdata/sf0.01"
-    got = catalog.queries()["ann_recall"](spark, sf).collect()
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
-    v = np.array([r.embedding for r in rows], float)
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    ids = np.array([r.vec_id for r in rows])
-    hits = 0
-    for q in np.flatnonzero(ids % 50 == 0):
-        exact = set(ids[np.argsort(-(v @ v[q]), kind="stable")[:10]].tolist())
-        own = {r.id for r in got if r.query_id == ids[q]}
-        assert len(own) == 10
-        hits += len(exact & own)
-    assert hits / (10 * (ids % 50 == 0).sum()) >= 0.9
-
-
 def test_index_keeps_versions_apart(spark, tmp_path):
     index = vectors.VectorIndex(spark, str(tmp_path / "index"))
     row = lambda *x: spark.createDataFrame(list(x), "object_type string, object_id long, vector array<double>, content_hash string")

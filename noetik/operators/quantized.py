@@ -102,8 +102,8 @@ def ids_of(table) -> bytes:
 
 
 def wanted(k: int, n: int) -> int:
-    """Candidates of a query that are scored again: 20 for each result, but no more than a tenth of all."""
-    return max(k, min(20 * k, n // 10))
+    """Candidates of a query that are scored again: 20 for each result, but no more than a tenth of all where that is many."""
+    return max(k, min(20 * k, n // 10), min(n, 40))
 
 
 class Codes:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import knowledge, lifecycle, model, names, ranked, retrieval, similar  # noqa: F401  they register their queries
+from . import knowledge, lifecycle, model, names, ranked, retrieval, similar, upkeep  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

@@ -55,13 +55,6 @@ def _(s, d):
     return T.claims(s, d).where("price > 2000 or quantity < 2").select("source_id", "ordinal")
 
 
-@query("fuzzy_score", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name) AS distance FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
-def _(s, d):
-    t = T.table(s, d, "supplier")
-    x, y = (t.select(F.col("s_suppkey").alias(c), F.col("s_name").alias(f"n{c}"), "s_nationkey") for c in "ab")
-    return x.join(y, "s_nationkey").where("a < b").select("a", "b", F.levenshtein("na", "nb").cast("long").alias("distance"))
-
-
 @query("turn_pairs", "SELECT conv_id, turn, text AS asked, answer FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'")
 def _(s, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -98,12 +91,6 @@ def _(s, d):
     return J.missing(T.claims(s, d), good, "source_id").select("source_id", "ordinal")
 
 
-@query("no_result", "SELECT lang, CASE WHEN count(*) FILTER (n_chars > 20000) > 0 THEN 'found' WHEN count(*) FILTER (n_chars > 10000) > 0 THEN 'too_narrow' ELSE 'absent' END AS reason FROM documents GROUP BY lang")
-def _(s, d):
-    n = lambda k: F.count_if(F.col("n_chars") > k) > 0
-    return T.sources(s, d).groupBy(F.col("collection_id").alias("lang")).agg(F.when(n(20000), "found").when(n(10000), "too_narrow").otherwise("absent").alias("reason"))
-
-
 @query("plan_mixed", f"SELECT entity_id, count(*) AS n FROM ({CLAIM}) WHERE price <= 1500 AND entity_id IN (SELECT p_partkey FROM part WHERE p_size < 10) AND source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY entity_id ORDER BY n DESC, entity_id LIMIT 20")
 def _(s, d):
     c = J.exists(T.claims(s, d).where("price <= 1500"), T.entities(s, d).where("size < 10"), "entity_id")

@@ -330,9 +330,3 @@ def _(s, d):
 @query("manifest", "SELECT count(*) AS n_rows, CAST(sum(l_orderkey) AS BIGINT) AS digest FROM lineitem")
 def _(s, d):
     return T.table(s, d, "lineitem").agg(F.count("*").alias("n_rows"), F.sum("l_orderkey").alias("digest"))
-
-
-@query("rebuild_equal")
-def _(s, d):
-    once = Q.manifest(T.sources(s, d), ["source_id", "body"]).withColumnRenamed("digest", "first")
-    return once.crossJoin(Q.manifest(T.sources(s, d).repartition(5), ["source_id", "body"]).select(F.col("digest").alias("second"))).withColumn("equal", F.col("first") == F.col("second"))  # one row each

@@ -27,7 +27,3 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_rows(spark, db, name):
     assert rows(catalog.queries()[name](spark, SF).toPandas()) == rows(db.execute(catalog.oracle_sql()[name]).df())
-
-
-def test_rebuild_is_equal(spark):
-    assert catalog.queries()["rebuild_equal"](spark, SF).first()["equal"]

@@ -248,14 +248,6 @@ def _(s, d):
     return W.changes(T.saves(s, d), "user_id", ["ts", "event_id"], "state").select("event_id", "user_id", "state")
 
 
-@query("late_snapshots", "SELECT event_id, user_id FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m FROM events) WHERE m > event_id")
-def _(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return T.saves(s, d).withColumn("m", F.max("event_id").over(w)).where("m > event_id").select("event_id", "user_id")
-
-
 @query("diversity_cap", "SELECT doc_id AS source_id, source AS creator_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 3")
 def _(s, d):
     return W.cap(T.sources(s, d), ["creator_id"], [F.desc("n_chars"), F.col("source_id")], 3).select("source_id", "creator_id")

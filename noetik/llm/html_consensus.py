@@ -5,13 +5,16 @@ tags and classes without digits, is a vote. Spark adds up the votes of each host
 its host's winning path, all containers of it in page order, or with its own best container where none has that path. So
 one odd page, whose advert is longer than its article, follows its host.
 
-Names of classes are a hint only. A container is set aside if the whole of a class, id or role is made of words for
-menus, adverts, comments and the like, and no other name on it says content; where that leaves no prose at all, the
-page is read without these hints. Elements that mean something else than the article (nav, aside, form, a site's header
-and footer) are set aside whatever their names.
+Names are a hint only. A container is set aside if the whole of a class, id or role is made of words for menus,
+adverts, comments and the like, and no other name on it says content; where that leaves no prose at all, the page is
+read without these hints. Headings are never set aside by a name, and paragraphs only by a class for adverts, comments
+and sharing: ids there are anchors. Words that an article's parts have too (SOFT) don't count for a section, or for an
+id, inside what is named or marked as the article if it holds PROSE characters outside links and few inside. Elements that mean something else
+than the article (nav, aside, a site's header and footer) are set aside whatever their names; a form or field set if it
+has no article, main part or first heading and less than CONTROL characters of prose for each control.
 
-A page is scanned once from left to right. The tree is at most DEPTH deep: an element below that is read, but is no
-container of its own. So time grows with a page's length, whatever it holds.
+A page is scanned once from left to right, to any depth. An end tag of an inline element is looked for among the nearest
+REACH open elements, so time grows with a page's length, whatever it holds.
 
 Votes are pre-aggregated before they are shuffled. Winners are broadcast only if their counted bytes are at most
 MOST_BROADCAST; else pages meet them by host, a host with more than its part of the pages salted by its counted size.
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-DEPTH = 256
+REACH = 256
+PROSE, CONTROL = 80, 40
 MOST_BROADCAST = 8 << 20
 #: Pages of a host in one salt, as a share of all pages and at least; slices of all pages.
 SLICE, MOST_SLICES = 1000, 200_000
@@ -39,12 +43,14 @@ SLICE, MOST_SLICES = 1000, 200_000
 LETTERS = 2
 #: Elements whose content is no text of the article. RAW ones end only at their own end tag.
 RAW = {"script", "style", "textarea", "title", "iframe", "noframes", "noembed", "xmp"}
-DROPPED = {"noscript", "template", "svg", "canvas", "object", "select", "math", "audio", "video"}
-ASIDE = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
+DROPPED = {"noscript", "template", "svg", "canvas", "select", "annotation", "annotation-xml", "audio", "video"}
+ASIDE = {"nav", "footer", "aside", "button", "dialog", "menu"}
+FORM = {"form", "fieldset"}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "caption", "figcaption", "summary"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
-    "header", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *ASIDE,
+    "header", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *ASIDE, *FORM,
 }
 CONTAINER = {"article", "body", "center", "div", "html", "main", "section", "table", "tbody", "td", "tr", "blockquote", "figure", "dl", "ul", "ol"}
 CLOSES_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body"}
@@ -59,11 +65,13 @@ WITH = set(
     row col column group links link buttons button unit slot post article entry the my side-bar skip to form header footer body reader readers user users visitor fb facebook google sticky fixed new latest""".split()
 )
 HEADER = {"header", "site", "page", "top", "global", "main", "wrapper", "container", "inner", "bar", "banner"}
+#: Of OTHER, the words that parts of an article are named by too.
+SOFT = {"discussion", "search", "notice", "notices", "alert", "disclaimer", "related", "promotion", "navigation", "menu", "widget", "widgets", "overlay", "banner", "respond", "reply", "replies", "recommended", "recommendations"}
 CONTENT = {"content", "post", "article", "entry", "story", "text", "prose", "articlebody", "maincontent"}
 TAG = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*(=)\s*)?")
 UNQUOTED = re.compile(r"[^\s>]*")
-NAMES = ("class", "id", "role", "hidden", "aria-hidden", "style")
+NAMES = ("class", "id", "role", "hidden", "aria-hidden", "style", "type")
 BLANK = re.compile(r"\s+")
 PART = re.compile(r"[a-z]+")
 
@@ -97,17 +105,21 @@ def tag_at(text: str, at: int) -> tuple[str, dict[str, str], bool, int]:
             given.setdefault(name, value)
 
 
-def other(given: dict[str, str]) -> bool:
-    """Whether an element's names say that it is not the article."""
-    found = False
-    for name in f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower().split():
+def other(given: dict[str, str], names: tuple[str, ...] = ("class", "id", "role"), firm: bool = False) -> bool:
+    """Whether an element's names say that it is not the article. firm: words of SOFT don't count."""
+    found, words = False, OTHER - SOFT if firm else OTHER
+    for name in " ".join(given.get(x, "") for x in names).lower().split():
         parts = set(PART.findall(name.replace("side-bar", "sidebar")))
         if parts & CONTENT and not parts & OTHER:
             return False
-        found |= bool(parts & OTHER and parts <= OTHER | WITH) or ("header" in parts and parts <= HEADER)
+        found |= bool(parts & words and parts <= OTHER | WITH) or ("header" in parts and parts <= HEADER)
     return found
 
 
+def named_content(given: dict[str, str]) -> bool:
+    return any((parts := set(PART.findall(name))) & CONTENT and not parts & OTHER for name in f"{given.get('class', '')} {given.get('id', '')}".lower().split())
+
+
 @dataclass
 class Node:
     tag: str
@@ -119,6 +131,10 @@ class Node:
     last: int = 0  # the piece after its last
     prose: int = 0  # characters outside links and what is set aside, with those of descendants
     headed: bool = False
+    core: bool = False  # holds an article, a main part or a first heading
+    soft: bool = False  # hinted by words of SOFT alone, or by an id of them
+    content: bool = False  # a name says that it is the article, or it is in such a one
+    controls: int = 0  # fields and buttons
     children: list[int] = field(default_factory=list)
 
 
@@ -136,12 +152,22 @@ class Page:
             k = self.nodes[k].parent
         return ">".join(reversed(out))
 
+    def at(self, path: str) -> list[int]:
+        """The nodes with prose that have a path."""
+        reached, out = [-1] * len(self.nodes), []  # how much of the path a node's own path is, or -1
+        for k, x in enumerate(self.nodes):
+            begin = 0 if x.parent < 0 else reached[x.parent] + 1 if reached[x.parent] >= 0 and path.startswith(">", reached[x.parent]) else -1
+            if begin >= 0 and path.startswith(x.name, begin):
+                reached[k] = begin + len(x.name)
+                if reached[k] == len(path) and x.prose:
+                    out.append(k)
+        return out
+
 
 def parse(text: str) -> Page:
     """The tree of containers, with the texts in page order; unclosed and stray tags are mended as browsers do."""
     nodes, pieces, stack, block, at = [Node("html", "html", -1, False, False, 0)], [], [0], 0, 0
     opened: dict[str, int] = {}  # of each tag, how many are in the stack
-    below: dict[str, int] = {}  # and how many are open too deep to be
     unended: set[str] = set()
 
     def words(raw: str) -> None:
@@ -182,18 +208,14 @@ def parse(text: str) -> Page:
             block += 1
             continue
         if ending:
-            if tag in CONTAINER or tag in ASIDE or opened.get(tag):
-                if below.get(tag):
-                    below[tag] -= 1
-                elif opened.get(tag):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if nodes[stack[k]].tag == tag:
-                            close(k)
-                            break
-                        if nodes[stack[k]].tag in CONTAINER and tag not in CONTAINER and tag not in ASIDE:
-                            break
-            elif below.get(tag):
-                below[tag] -= 1
+            if opened.get(tag):
+                wide = tag in CONTAINER or tag in ASIDE or tag in FORM
+                for k in range(len(stack) - 1, 0 if wide else max(0, len(stack) - 1 - REACH), -1):
+                    if nodes[stack[k]].tag == tag:
+                        close(k)
+                        break
+                    if nodes[stack[k]].tag in CONTAINER and not wide:
+                        break
             block += tag in BLOCK
             continue
         if tag in VOID:
@@ -201,9 +223,12 @@ def parse(text: str) -> Page:
                 block += 1
             elif tag == "br":
                 words(" ")
+            elif tag == "input":
+                nodes[stack[-1]].controls += given.get("type", "").lower() != "hidden"
             continue
         if tag in RAW or tag in DROPPED:
-            if closed and tag in ("svg", "math"):
+            nodes[stack[-1]].controls += tag in ("select", "textarea")
+            if closed and tag == "svg":
                 continue
             end = None if tag in unended else re.compile(f"</{tag}(?![a-z0-9-])", re.I).search(text, at)
             if end:
@@ -218,22 +243,25 @@ def parse(text: str) -> Page:
         if tag in CLOSES_P or tag in ("li", "dt", "dd"):
             ends = {"p"} | ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else set())
             if any(opened.get(x) for x in ends):
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, max(0, len(stack) - 1 - REACH), -1):
                     if nodes[stack[k]].tag in ends:
                         close(k)
                         break
-                    if nodes[stack[k]].tag in CONTAINER or nodes[stack[k]].tag in ASIDE:
+                    if nodes[stack[k]].tag in CONTAINER or nodes[stack[k]].tag in ASIDE or nodes[stack[k]].tag in FORM:
                         break
         block += tag in BLOCK
         if closed and tag not in BLOCK:
             continue
-        if len(stack) >= DEPTH:
-            below[tag] = below.get(tag, 0) + 1
-            continue
         hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").lower().replace(" ", "")
-        hinted = tag not in ("body", "article", "main") and other(given)
+        if tag in ("body", "article", "main") or tag in HEADING:
+            hinted = soft = False
+        elif tag in CONTAINER or tag in BLOCK - {"p", "pre", "address", "hr"}:
+            hinted = other(given)
+            soft = hinted and not (other(given, ("class", "role")) and tag != "section") and not other(given, firm=True)
+        else:
+            hinted, soft = other(given, ("class", "role"), firm=True), False
         classes = ".".join(sorted(set(re.sub(r"\d+", "", given.get("class", "")).split())))
-        nodes.append(Node(tag, f"{tag}.{classes}" if classes else tag, stack[-1], tag in ASIDE or hidden, hinted, len(pieces)))
+        nodes.append(Node(tag, f"{tag}.{classes}" if classes else tag, stack[-1], tag in ASIDE or hidden, hinted, len(pieces), soft=soft, core=tag in ("article", "main", "h1"), content=tag in ("article", "main") or named_content(given), controls=tag == "button"))
         nodes[stack[-1]].children.append(len(nodes) - 1)
         stack.append(len(nodes) - 1)
         opened[tag] = opened.get(tag, 0) + 1
@@ -243,6 +271,8 @@ def parse(text: str) -> Page:
     for x in reversed(nodes[1:]):
         x.headed |= x.tag in ("h1", "h2")
         nodes[x.parent].headed |= x.headed
+        nodes[x.parent].core |= x.core
+        nodes[x.parent].controls += x.controls
     within = [False] * len(nodes)
     for k, x in enumerate(nodes):  # a header is the site's, unless it stands in an article and has its heading
         within[k] = x.tag in ("article", "main") or (x.parent >= 0 and within[x.parent])
@@ -250,6 +280,8 @@ def parse(text: str) -> Page:
             x.aside |= not within[k] or not x.headed
         if x.hinted and x.headed and within[k] and "header" in x.name:
             x.hinted = False
+        x.content |= x.parent >= 0 and nodes[x.parent].content
+        x.soft &= x.content
     link = [False] * len(nodes)
     for k, x in enumerate(nodes):
         link[k] = x.tag == "a" or (x.parent >= 0 and link[x.parent])
@@ -261,9 +293,27 @@ def parse(text: str) -> Page:
 
 def weigh(page: Page, hints: bool) -> bool:
     """Set aside what is not the article and add up the prose of each container. Whether there is any."""
+    doubtful = [k for k, x in enumerate(page.nodes) if x.tag in FORM or x.soft] if hints else []
+    if doubtful:  # first with all of these, to see what they hold
+        tally(page, lambda x: x.aside or (x.hinted and not x.soft))
+        for k in doubtful:
+            x = page.nodes[k]
+            if x.tag in FORM and not x.core and x.prose < CONTROL * x.controls:
+                x.aside = True
+            elif x.soft and x.prose >= PROSE and 3 * linked(page, x) < x.prose:
+                x.hinted = False
+    tally(page, lambda x: (x.aside and (hints or x.tag not in FORM)) or (hints and x.hinted))
+    return page.nodes[0].prose > 0
+
+
+def linked(page: Page, x: Node) -> int:
+    return sum(len(t.strip()) for k, _, t in page.pieces[x.first : x.last] if page.link[k])
+
+
+def tally(page: Page, aside) -> None:
     skip = [False] * len(page.nodes)
     for k, x in enumerate(page.nodes):
-        skip[k] = x.aside or (hints and x.hinted) or (x.parent >= 0 and skip[x.parent])
+        skip[k] = aside(x) or (x.parent >= 0 and skip[x.parent])
         x.prose = 0
     for k, _, t in page.pieces:
         if not skip[k] and not page.link[k]:
@@ -271,7 +321,6 @@ def weigh(page: Page, hints: bool) -> bool:
     for x in reversed(page.nodes[1:]):
         page.nodes[x.parent].prose += x.prose
     page.skip = skip
-    return page.nodes[0].prose > 0
 
 
 def best_container(page: Page) -> int:
@@ -324,8 +373,7 @@ def vote(html: str) -> str:
 
 def extract(html: str, path: str | None) -> str:
     page = parse(html)
-    same = [k for k, x in enumerate(page.nodes) if x.prose and path and path.endswith(x.name) and page.path(k) == path]
-    return text_of(page, same or [best_container(page)])
+    return text_of(page, (page.at(path) if path else []) or [best_container(page)])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast: int = MOST_BROADCAST) -> DataFrame:

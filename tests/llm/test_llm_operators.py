@@ -250,6 +250,66 @@ def test_names_are_hints():
         assert html_consensus.extract(page, None) == text, page
 
 
+PROSE = "Prose of the article runs on here. " * 6
+LINE = PROSE.strip()
+
+
+def test_article_text_is_kept():
+    p = f"<p>{PROSE}</p>"
+    cases = {
+        "<div>" * 260 + "<nav>MENU</nav><div class='comments'>reader comment</div>" + p: LINE,
+        f"<form id=aspnetForm><input type=hidden><nav>MENU</nav><div class=content><h1>T</h1>{p}</div><input type=text><button>Go</button></form>": f"T\n{LINE}",
+        f"<form><input><div>{p}</div></form>": LINE,
+        f"<article>{p}<form><input><button>Search</button> Find it</form></article>": LINE,
+        f"<article>{p}</article><form class=x><h3>Leave a reply</h3><p>Your address will not be shown.</p><input><input><textarea></textarea><button>Post</button></form>": LINE,
+        f"<article><section id=intro>{p}</section><section id=discussion><h2>Discussion</h2>{p}</section></article>": f"{LINE}\nDiscussion\n{LINE}",
+        f"<article>{p}<h2 id=search>Search</h2>{p}<h3 id=comments class=notice>Comments</h3>{p}</article>": f"{LINE}\nSearch\n{LINE}\nComments\n{LINE}",
+        f"<article>{p}<p class=notice id=share>Mind this.</p></article>": f"{LINE}\nMind this.",
+        f"<article>{p}<p>Sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> of <object>two</object>.</p></article>": f"{LINE}\nSum x+y of two.",
+        f"<article>{p}<div id=discussion class=related><a href=a>{PROSE}</a></div></article>": LINE,
+    }
+    for page, text in cases.items():
+        assert html_consensus.extract(page, None) == text, page
+
+
+def test_what_is_not_the_article_goes():
+    p, more = f"<p>{PROSE}</p>", "<p>" + "I liked this very much indeed. " * 9 + "</p>"
+    for other in (f"<div id=comments>{more}</div>", f"<section class=comments>{more}</section>", f"<p class=ad>{PROSE}</p>", f"<div class=notice>{more}</div>", f"<aside>{more}</aside>", f"<div class='related'>{more}</div>", f"<div id=respond><form>{more}<textarea></textarea></form></div>"):
+        page = f"<body><article>{p}{other if 'comments' in other or 'ad>' in other or 'aside' in other else ''}</article>{other}</body>"
+        assert html_consensus.extract(page, None) == LINE, other
+
+
+def random_page(rng):
+    """A page, and its article's blocks."""
+    blocks, out = [], []
+    word = lambda n: " ".join(rng.choice(["ring", "of", "the", "calm", "sea", "née", "5"]) for _ in range(n))
+    for _ in range(rng.randrange(2, 7)):
+        text = word(rng.randrange(25, 60)) + "."
+        kind = rng.randrange(6)
+        if kind == 0:
+            out.append(f"<h2 id={rng.choice(['search', 'comments', 'share', 'x'])}>{text}</h2>")
+        elif kind == 1:
+            out.append(f"<ul><li>{text}</li></ul>")
+        elif kind == 2:
+            out.append(f"<section id={rng.choice(['discussion', 'part', 'menu'])}><p class={rng.choice(['notice', 'lead', 'x'])}>{text}</p></section>")
+        else:
+            out.append(f"<p>{text.replace(' of ', ' <b>of</b> ')}</p>")
+        blocks.append(text)
+    junk = [f"<nav>{word(5)}</nav>", f"<div class={rng.choice(['ad', 'sidebar', 'cookie-notice', 'social-share'])}>{word(30)}</div>", f"<footer>{word(9)}</footer>", f"<form><input>{word(3)}<button>go</button></form>", f"<script>var a = '<p>{word(4)}</p>'</script>"]
+    rng.shuffle(junk)
+    body = f"{''.join(junk[:2])}<{(t := rng.choice(['article', 'main', 'div class=content']))}>{''.join(out)}</{t.split()[0]}>{''.join(junk[2:])}"
+    for _ in range(rng.randrange(3)):
+        body = f"<{(t := rng.choice(['div', 'form', 'section']))}>{body}</{t}>"
+    return "<div>" * rng.choice([0, 0, 300]) + body, blocks
+
+
+def test_pages_with_varied_names():
+    rng = random.Random(11)
+    for _ in range(300):
+        page, blocks = random_page(rng)
+        assert html_consensus.extract(page, None) == "\n".join(blocks), page
+
+
 def test_long_and_hostile_pages():
     pages = ["<script '" * 8000, "<div><p>t" * 8000, "<i><div>" + "<b>" * 9000 + "</i>" * 9000, "<div>" * 5000 + "</span>" * 20000, "<select>" * 20000, "<!--" * 20000]
     pages += ["<a " + "b=c " * 40000, "<a b='" * 20000, "<a " + "= " * 30000 + ">x", "<li>" * 20000, "&amp" * 30000, "<p>word " * 40000]

@@ -127,6 +127,11 @@ def _(s, d):
     return _relaxed(s, d)
 
 
+def missing_reasons(s, d):
+    """qid, reason of every user turn."""
+    return relaxed.reason(_relaxed(s, d), ["language", "depth"], {"language": "other_language", "depth": "not_deep_enough"}).select("qid", "reason")
+
+
 @query("no_result_reason", f"SELECT qid, CASE WHEN n_language_and_depth > 0 THEN 'found' WHEN n_depth > 0 THEN 'other_language' WHEN n_language > 0 THEN 'not_deep_enough' WHEN n_any > 0 THEN 'too_narrow' ELSE 'absent' END AS reason FROM ({RELAXED})")
 def _(s, d):
-    return relaxed.reason(_relaxed(s, d), ["language", "depth"], {"language": "other_language", "depth": "not_deep_enough"}).select("qid", "reason")
+    return missing_reasons(s, d)

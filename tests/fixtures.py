@@ -68,6 +68,10 @@ TABLES = {
 }
 
 
+TABLES["said"] = "(2, 'using', 9)|entity_id, state, at_ms"
+TABLES["bodies"] = "(1, 'see [[Noodle House]] and [[agents|the agents]]'), (2, 'no link'), (3, '[[a]][[b]] [[a]]')|id, body"
+
+
 def sql(name: str) -> str:
     """The table as a subquery of either engine."""
     rows, columns = TABLES[name].rsplit("|", 1)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import windows as W
 
 #: Wordings of the four intents and of the scopes.
@@ -88,6 +89,56 @@ def shape(request: Request) -> str:
     return "mixed" if exact and request.semantic else "structured" if exact else "semantic"
 
 
+def _any(patterns) -> str:
+    return "|".join(patterns)
+
+
+NEWEST, UNSEEN = "newest|latest|most recent|最近", "not (?:yet )?(?:visited|been)|unvisited|没去过"
+BOUND, WITHIN = r"(?:under|below|less than|at most|不超过)\s*(?:hkd|usd|\$)?\s*\d+", r"last \d+ days"
+ORDINAL = r"(?:\b|[^a-z])(" + _any(ORDINALS) + ")"
+
+
+def shapes(text: Column) -> Column:
+    """shape(parse(text)) of questions that name no place, as an expression."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    general = ~low.rlike(HYBRID) & low.rlike(GENERAL)
+    exact = low.rlike(BOUND) | low.rlike(WITHIN) | low.rlike(UNSEEN)
+    mixed = F.when(exact & low.rlike(_any(SEMANTIC.values())), "mixed").when(exact, "structured").otherwise("semantic")
+    return F.when(general, "general").when(low.rlike(ORDINAL), "follow_up").when(low.rlike(INTENTS["synthesize"]), "mixed").otherwise(mixed)
+
+
+def ordinal(text: Column) -> Column:
+    """The number of the result that a question refers to, null for none; the first of ORDINALS that it holds."""
+    low, out = F.lower(text), F.lit(None).cast("int")
+    for word, n in reversed(ORDINALS.items()):
+        out = F.when(low.rlike(rf"(?:\b|[^a-z]){word}"), n).otherwise(out)
+    return out
+
+
+def planned(questions: DataFrame, index, vectors: DataFrame, facts: DataFrame, k: int = 10) -> DataFrame:
+    """qid, plan, doc, place: each question answered by the plan of its shape. questions: qid, conv, turn, text; facts: doc,
+    depth, saved_at; vectors: doc, vector.
+
+    semantic: the first k by the text index. structured: of 4 k candidates those of depth 2, newest first. mixed: of the
+    2 k first five by marginal relevance. follow_up: the result that it names of the last earlier question of the
+    conversation that is none itself; nothing where there is none. general: nothing of the collection."""
+    from . import diversity
+
+    q = cut(questions.withColumn("plan", shapes(F.col("text"))))
+    of = lambda *plans: q.where(F.col("plan").isin(*plans)).select("qid", "text")
+    top = lambda df, n: index.top(df, n)
+    plain = top(of("semantic"), k).select("qid", "doc", F.col("rank").alias("place"))
+    deep = top(of("structured"), 4 * k).join(facts.where("depth = 2"), "doc")
+    deep = W.ranked(deep, ["qid"], [F.desc("saved_at"), F.col("doc")], "place").where(F.col("place") <= k).select("qid", "doc", "place")
+    varied = diversity.diversify(top(of("mixed"), 2 * k), vectors, 5)
+    found = cut(plain.unionByName(deep).unionByName(varied))
+    asked = q.where("plan = 'follow_up'").select("qid", "conv", "turn", ordinal(F.col("text")).alias("n"))
+    before = q.where("plan not in ('follow_up', 'general')").select("conv", F.col("turn").alias("t"), F.col("qid").alias("of"))
+    last = W.latest(asked.join(before, "conv").where("t < turn"), ["qid"], [F.desc("t")])  # both sides are a conversation's turns
+    named = last.join(found.withColumnRenamed("qid", "of"), "of").where("place = n").select("qid", "doc", F.lit(1).alias("place"))
+    return found.unionByName(named).join(q.select("qid", "plan"), "qid").select("qid", "plan", "doc", F.col("place").cast("int").alias("place"))
+
+
 def tier(evidence_id: Column, start_ms: Column) -> Column:
     """1: evidence with its time, 2: evidence, 3: the source only."""
     return F.when(evidence_id.isNotNull() & start_ms.isNotNull(), 1).when(evidence_id.isNotNull(), 2).otherwise(3)

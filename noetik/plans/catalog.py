@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import derived, knowledge, lifecycle, model, names, ranked, retrieval, similar, streams, upkeep  # noqa: F401  they register their queries
+from . import asking, derived, knowledge, lifecycle, model, names, ranked, retrieval, similar, streams, upkeep  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

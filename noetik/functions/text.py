@@ -14,9 +14,12 @@ def tokens(text: Column) -> Column:
 
 def shingles(text: Column, k: int) -> Column:
     """Distinct hashes of runs of k tokens; of all if there are fewer; none without tokens."""
-    w = tokens(text)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
-    return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+        return F.when(F.size(w) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
+
+    # through an array of one, so that the text is cut into tokens once and not for each run
+    return F.get(F.transform(F.array(tokens(text)), runs), F.lit(0))
 
 
 def cjk_bigrams(text: Column) -> Column:

@@ -79,7 +79,7 @@ def append(rows: DataFrame, new: DataFrame) -> DataFrame:
 def bad_lifecycle(states: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows whose state may not follow the one before, by the entity's type."""
     moved = states.withColumn("old", F.lag("state").over(Window.partitionBy("entity_id").orderBy("at_ms"))).where("old is not null")
-    return moved.join(F.broadcast(allowed.withColumnRenamed("new", "state")), ["entity_type", "old", "state"], "left_anti")  # the table of states
+    return moved.join(allowed.withColumnRenamed("new", "state"), ["entity_type", "old", "state"], "left_anti")
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, distance: int = 2) -> DataFrame:

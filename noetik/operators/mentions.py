@@ -32,23 +32,36 @@ def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(texts: DataFrame, names: list[str]) -> DataFrame:
+def _parts(names: DataFrame) -> list[list[str]]:
+    """Distinct names (name) in parts of at most about MOST_CHARACTERS, without empty ones."""
+    known = names.where("name <> ''").select("name").distinct()
+    parts = max(1, -(-(known.agg(F.sum(F.length("name"))).first()[0] or 0) // MOST_CHARACTERS))
+    part = F.pmod(F.xxhash64("name"), F.lit(parts))
+    each = [[r.name for r in known.where(part == k).collect()] for k in range(parts)]  # bounded parts of a dictionary
+    return [some for some in each if some]
+
+
+def _scan(texts: DataFrame, names: list[str], whole: bool) -> DataFrame:
+    """id, start, end, name of the outermost whole mentions; or, of names anywhere, each once for a text."""
     shared = texts.sparkSession.sparkContext.broadcast(names)  # MOST_CHARACTERS at most
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
         import ahocorasick
 
-        found = ahocorasick.Automaton()
+        known = ahocorasick.Automaton()
         for n in shared.value:
-            found.add_word(n, len(n))
-        found.make_automaton()
+            known.add_word(n, len(n))
+        known.make_automaton()
         for b in batches:
             ids, begins, ends, said = [], [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
-                spans = ((last + 1 - size, last + 1) for last, size in found.iter(text or ""))
-                whole = [(i, j) for i, j in spans if not (i and text[i - 1].isalnum()) and not (j < len(text) and text[j].isalnum())]
-                for i, j in outermost(whole):
+                spans = ((last + 1 - size, last + 1) for last, size in known.iter(text or ""))
+                if whole:
+                    found = outermost([(i, j) for i, j in spans if not (i and text[i - 1].isalnum()) and not (j < len(text) and text[j].isalnum())])
+                else:
+                    found = {text[i:j]: (i, j) for i, j in spans}.values()
+                for i, j in found:
                     ids.append(k)
                     begins.append(i)
                     ends.append(j)
@@ -58,15 +71,17 @@ def _scan(texts: DataFrame, names: list[str]) -> DataFrame:
     return texts.mapInArrow(run, f"id {kind}, start long, end long, name string")
 
 
+def holding(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """id, name of each text (id, text) and each name (name) that stands anywhere in it; both as they are given."""
+    scans = [_scan(texts.select("id", "text"), some, False).select("id", "name") for some in _parts(names)]
+    return reduce(lambda a, b: a.unionByName(b), scans) if scans else texts.limit(0).select("id", F.lit("").alias("name"))
+
+
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """id, start, end, name of each place of texts (id, text) where a name (name) stands; places count characters from 0,
     the end is outside. Null and empty texts and names meet nothing."""
     texts = texts.select("id", folded(F.col("text")).alias("text"))
-    known = names.select(folded(F.col("name")).alias("name")).where("name <> ''").distinct()
-    parts = max(1, -(-(known.agg(F.sum(F.length("name"))).first()[0] or 0) // MOST_CHARACTERS))
-    part = F.pmod(F.xxhash64("name"), F.lit(parts))
-    each = [[r.name for r in known.where(part == k).collect()] for k in range(parts)]  # bounded parts of a dictionary
-    scans = [_scan(texts, some) for some in each if some]
+    scans = [_scan(texts, some, True) for some in _parts(names.select(folded(F.col("name")).alias("name")))]
     if not scans:
         return texts.limit(0).select("id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("name"))
     found = reduce(lambda a, b: a.unionByName(b), scans)

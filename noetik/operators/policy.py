@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mentions import holding
+
 #: Precedence, first wins. The default is a rule of its own.
 TIERS = {"source_always": 1, "source_exclude": 2, "always_process": 3, "creator": 4, "collection": 4, "semantic": 5, "keyword": 6, "default": 7}
 
 
-#: Keyword rules that are tried as substrings of every title.
+#: Keyword rules that are written into the plan; more of them meet the titles by an automaton or by all their words.
 MOST_KEYWORDS = 10_000
 
 
@@ -26,10 +28,9 @@ def matches(sources: DataFrame, rules: DataFrame, labels: DataFrame | None = Non
         keyed = substring_matches(sources, rules)
     else:
         targets = [r["target"] for r in rules.where("kind = 'keyword'").select("target").distinct().limit(MOST_KEYWORDS + 1).collect()]
-        if len(targets) > MOST_KEYWORDS:
-            raise ValueError(f"more than {MOST_KEYWORDS} keyword rules")
-        # only words that some rule names become rows
-        words = F.array_intersect(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, targets)).cast("array<string>"))
+        words = F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))
+        if len(targets) <= MOST_KEYWORDS:  # only words that some rule names become rows
+            words = F.array_intersect(words, F.array(*map(F.lit, targets)).cast("array<string>"))
         keyed = sources.select("source_id", F.explode(words).alias("target")).join(rules.where("kind = 'keyword'"), "target").drop("target")
     out = out.unionByName(keyed)
     if labels is not None:
@@ -90,12 +91,15 @@ def pass_b(sources: DataFrame, rules: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def substring_matches(sources: DataFrame, rules: DataFrame) -> DataFrame:
-    """source_id and the columns of each keyword rule whose target is a substring of the title, in any case. rules: few,
-    written by hand; their number is checked."""
+    """source_id and the columns of each keyword rule whose target is a substring of the title, in any case. Up to
+    MOST_KEYWORDS rules are tried one by one, more of them by an automaton over all targets."""
     keyed = rules.where("kind = 'keyword'")
-    if keyed.count() > MOST_KEYWORDS:
-        raise ValueError(f"more than {MOST_KEYWORDS} keyword rules")
-    return sources.select("source_id", "title").join(F.broadcast(keyed), F.lower("title").contains(F.lower("target"))).drop("title", "target")
+    if keyed.count() <= MOST_KEYWORDS:
+        return sources.select("source_id", "title").join(F.broadcast(keyed), F.lower("title").contains(F.lower("target"))).drop("title", "target")
+    keyed = keyed.withColumn("name", F.lower("target"))
+    found = holding(sources.select(F.col("source_id").alias("id"), F.lower("title").alias("text")), keyed.select("name")).withColumnRenamed("id", "source_id")
+    everywhere = sources.where("title is not null").select("source_id", F.lit("").alias("name"))  # an empty target is in every title
+    return found.unionByName(everywhere).join(keyed, "name").drop("name", "target")
 
 
 def current_rules(versions: DataFrame) -> DataFrame:

@@ -32,9 +32,9 @@ def ranked_wide(df: DataFrame, by: list[str], order: list[Column], into: str = "
     moved up by the rows of the group in the ranges before. The ranges are stored, so that both passes see the same."""
     dealt = cut(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_p", F.spark_partition_id()))
     counts = dealt.groupBy("_p", *by).agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_c")).drop("_c")  # a row for each range
+    before = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_c")).drop("_c")
     inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_p", *by).orderBy(*order)))
-    return inside.join(F.broadcast(before), ["_p", *by]).withColumn(into, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+    return inside.join(before, ["_p", *by]).withColumn(into, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
 
 
 def chunked(df: DataFrame, key: str, order: list[str], length: str, budget: int) -> DataFrame:

@@ -85,13 +85,19 @@ def test_near_classes(spark):
         assert {got[i] for i in ids} == {(min(ids), n)}
 
 
-def test_keyword_rules_are_substrings_and_few(spark, monkeypatch):
-    sources = spark.createDataFrame([(1, "A Movie Clip", "c", "k")], "source_id int, title string, creator_id string, collection_id string")
-    rules = spark.createDataFrame([(1, "keyword", "ovie cl", "metadata_only", 0, 1)], "rule_id int, kind string, target string, action string, priority int, created_at_ms int")
-    assert policy.decide(sources, rules, substrings=True).first().action == "metadata_only"
-    monkeypatch.setattr(policy, "MOST_KEYWORDS", 0)
-    with pytest.raises(ValueError):
-        policy.decide(sources, rules, substrings=True)
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_keyword_rules(spark, monkeypatch, most):
+    """Few rules and many give the same decisions, as substrings and as words."""
+    monkeypatch.setattr(policy, "MOST_KEYWORDS", most)
+    titles = {1: "A Movie Clip", 2: None, 3: "", 4: "movie", 5: "clip of the clip", 6: "Été ÉTÉ"}
+    sources = spark.createDataFrame([(k, t, "c", "k") for k, t in titles.items()], "source_id int, title string, creator_id string, collection_id string")
+    targets = {1: "ovie cl", 2: "CLIP", 3: "clip", 4: "", 5: "été", 6: None, 7: "nothing"}
+    rules = spark.createDataFrame([(k, "keyword", t, "metadata_only", k, 1) for k, t in targets.items()], "rule_id int, kind string, target string, action string, priority int, created_at_ms int")
+    got = {(r.source_id, r.rule_id) for r in policy.matches(sources, rules, substrings=True).collect()}
+    assert got == {(s, k) for s, t in titles.items() for k, x in targets.items() if t is not None and x is not None and x.lower() in t.lower()}
+    got = {(r.source_id, r.rule_id) for r in policy.matches(sources, rules).where("rule_id <> 4").collect()}
+    assert got == {(1, 3), (5, 3), (6, 5)}
+    assert {r.source_id: r.rule_id for r in policy.decide(sources, rules, substrings=True).collect()} == {1: 4, 2: None, 3: 4, 4: 4, 5: 4, 6: 5}
 
 
 def test_expired_leases_are_claimed_once_more(spark):

@@ -104,4 +104,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """The other queries hold model scores, tokenizer ids or hashes that SQL has no function for."""
-    return {"op6_winnow": winnow.ORACLE, "op9_tensor_minhash": oracles.NEAR_DUPLICATES, "op10_lyndon_dedup": oracles.REPEATED_BYTES}
+    return {"op6_winnow": winnow.ORACLE, "op9_tensor_minhash": oracles.NEAR_DUPLICATES, "op10_lyndon_dedup": oracles.REPEATED_BYTES, "op13_pivot_negatives": oracles.HARD_NEGATIVES}

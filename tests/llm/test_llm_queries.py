@@ -47,7 +47,7 @@ def rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = c.execute(queries.oracle_sql()[name])
     columns = [x[0] for x in want.description]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import cut
+from ..session import cut, discard, written
 from .segments import Segments
 
 K1, B = 1.2, 0.75
@@ -61,7 +61,7 @@ class PostingsIndex(Segments):
         base = self.version()
         docs = docs.select(F.col(id_col).alias("doc"), (F.col("text") if text is None else text).alias("text"))
         self.check(docs)
-        read = docs.select("doc", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w")).withColumn("dl", F.size("w"))
+        read, cut_up = written(docs.select("doc", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w")).withColumn("dl", F.size("w")))
         # documents of like length have bounds near their scores
         classes = read.select(F.floor(F.log2(F.col("dl") + 1) * 4).cast("int").alias("class"), "dl").groupBy("class").agg(F.count("*").alias("n"), F.sum("dl").alias("length")).collect()  # some dozens of rows
         begin = first = base.get("shards", 0)
@@ -86,6 +86,7 @@ class PostingsIndex(Segments):
             F.array_max(column("tf")).alias("most"), F.array_min(column("dl")).alias("least"),
         )
         rows.sortWithinPartitions("part", "term", "shard").write.partitionBy("part").parquet(self.folder(name, "postings"))
+        discard(self.spark, cut_up)
         own = self.of(name, "postings").select("term", F.size("docs").alias("df"))
         killed, gone = None, (0, 0)
         if base["segments"]:

@@ -24,7 +24,7 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:
     """One claim for each order line: the quantity and the unit price of an entity, with its source and its time."""
-    unit = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    unit = F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100  # SQL rounds the scaled double, F.round(x, 2) its decimal digits
     return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("entity_id"), F.col("l_suppkey").alias("attributed_to"),
         F.col("l_quantity").alias("quantity"), unit.alias("price"), F.col("l_discount").alias("confidence"), F.col("l_returnflag").alias("claim_kind"),

@@ -48,10 +48,15 @@ def terms(column: Column, least: int = 4) -> Column:
 
 def route(sources: DataFrame, pages: DataFrame, claims: DataFrame, labels: DataFrame, semantic: DataFrame | None = None, model: DataFrame | None = None, k: int = 3) -> DataFrame:
     """source_id, page_id, step: candidate pages in five steps, the surest first, at most k of a source. Steps four and
-    five are tables (source_id, page_id) of a provider, which may be absent."""
-    exact = claims.select("source_id", "entity_id").join(pages.select("page_id", "entity_id"), "entity_id").select("source_id", "page_id", F.lit(1).alias("step"))
-    topic = labels.select("source_id", F.col("label").alias("topic")).join(pages.select("page_id", F.explode(F.array_distinct(F.array("domain", "slug"))).alias("topic")), "topic")
-    words = pages.select("page_id", F.explode(F.array_distinct(terms(F.concat_ws(" ", "title", "summary")))).alias("word"))
+    five are tables (source_id, page_id) of a provider, which may be absent.
+
+    Of an entity, a topic or a word only the first k pages by id are joined, so that a frequent one costs k rows a source.
+    That loses none: a page after k others of its key is behind all of them, which an earlier step can only move up."""
+    first = lambda df, key: W.cap(df.where(F.col(key).isNotNull()).select(key, "page_id").distinct(), [key], [F.col("page_id")], k)
+    exact = claims.select("source_id", "entity_id").join(first(pages, "entity_id"), "entity_id").select("source_id", "page_id", F.lit(1).alias("step"))
+    topics = first(pages.select("page_id", F.explode(F.array("domain", "slug")).alias("topic")), "topic")
+    topic = labels.select("source_id", F.col("label").alias("topic")).join(topics, "topic")
+    words = first(pages.select("page_id", F.explode(F.array_distinct(terms(F.concat_ws(" ", "title", "summary")))).alias("word")), "word")
     found = sources.select("source_id", F.explode(F.array_distinct(terms(F.col("title")))).alias("word")).join(words, "word")
     every = exact.unionByName(topic.select("source_id", "page_id", F.lit(2).alias("step"))).unionByName(found.select("source_id", "page_id", F.lit(3).alias("step")))
     for step, given in ((4, semantic), (5, model)):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 HOT = 64
+SHARE = 500  # strings whose rests go to one task: few bytes, but many pairs
 
 
 def variants(name: Column, distance: int) -> Column:
@@ -39,9 +40,9 @@ def segments(length: Column, number: Column, distance: int) -> tuple[Column, Col
     return 1 + (number - 1) * base + F.greatest(number - 1 - first, F.lit(0)), size
 
 
-def near_strings(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
+def near_strings(left: DataFrame, right: DataFrame, distance: int, ordered: bool = False) -> DataFrame:
     """a, b, distance: the pairs of a distinct string `name` of left and one of right within the distance, equal ones
-    too. Nulls are in no pair."""
+    too; ordered: those with a < b only. Nulls are in no pair."""
     asked = cut(left.where("name is not null").select(F.col("name").alias("a")).distinct().withColumn("m", F.length("a")))
     known = cut(right.where("name is not null").select(F.col("name").alias("b")).distinct().withColumn("n", F.length("b")))
     numbers = F.explode(F.sequence(F.lit(1), F.lit(distance + 1)))
@@ -58,14 +59,16 @@ def near_strings(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     high = F.least(F.col("m") - size + 1, place + (i - 1), place + longer + rest)
     probes = probes.withColumn("low", low).withColumn("high", high).where("high >= low")
     probes = probes.select("a", "n", "i", F.explode(F.array_distinct(F.transform(F.sequence("low", "high"), lambda k: F.substring(F.col("a"), k, size)))).alias("segment"))
-    near = F.levenshtein("a", "b", distance)
-    found = probes.join(index.where("hot is null").select("b", "n", "i", "segment"), ["n", "i", "segment"]).where(near >= 0).select("a", "b")
+    near = F.levenshtein("a", "b", distance) >= 0
+    near = F.when(F.col("a") < F.col("b"), near).otherwise(False) if ordered else near
+    found = probes.join(index.where("hot is null").select("b", "n", "i", "segment"), ["n", "i", "segment"]).where(near).select("a", "b")
     # what meets by frequent segments only, and short strings
-    met_a = probes.join(hot, ["n", "i", "segment"], "left_semi").select("a").distinct()
+    met_a = cut(probes.join(hot, ["n", "i", "segment"], "left_semi").select("a").distinct())
     met_b = index.where("hot").select("b").distinct()
-    left_over = lambda df, c: df.select(c, F.explode(variants(F.col(c), distance)).alias("left"))
-    by_rest = left_over(met_a, "a").join(left_over(met_b, "b"), "left").where(near >= 0).select("a", "b")
-    short = left_over(asked.where(F.col("m") <= 2 * distance), "a").join(left_over(known.where(F.col("n") <= distance), "b"), "left").where(near >= 0).select("a", "b")
+    tasks = max(1, -(-met_a.count() // SHARE))
+    left_over = lambda df, c: df.repartition(tasks).select(c, F.explode(variants(F.col(c), distance)).alias("left")).repartition(tasks, "left")
+    by_rest = left_over(met_a, "a").join(left_over(met_b, "b"), "left").where(near).select("a", "b")
+    short = left_over(asked.where(F.col("m") <= 2 * distance), "a").join(left_over(known.where(F.col("n") <= distance), "b"), "left").where(near).select("a", "b")
     return found.unionByName(by_rest).unionByName(short).distinct().select("a", "b", F.levenshtein("a", "b").alias("distance"))
 
 
@@ -73,7 +76,7 @@ def near_names(names: DataFrame, distance: int) -> DataFrame:
     """a, b, n_a, n_b, distance: pairs of different names within the distance, each by the smallest id that has it, with
     the number of ids. names: id, name. Ids of one name are one class; membership is the name itself."""
     classes = cut(names.where("name is not null").groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    pairs = near_strings(classes, classes, distance).where("a < b")
+    pairs = near_strings(classes, classes, distance, ordered=True)
     side = lambda c: classes.select(F.col("name").alias(c), F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}"))
     out = pairs.join(side("a"), "a").join(side("b"), "b")
     swap = F.col("id_a") > F.col("id_b")

@@ -200,9 +200,8 @@ def _(s, d):
 
 @query("alias_match", "SELECT a.p_partkey AS entity_id, b.p_partkey AS other_id FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
 def _(s, d):
-    e = T.entities(s, d).select("entity_id", "brand", X.normalize_name(F.col("canonical_name")).alias("name"))
-    o = e.select(F.col("entity_id").alias("other_id"), "brand", "name")
-    return e.join(o, ["name", "brand"]).where("entity_id < other_id").select("entity_id", "other_id")
+    e = T.entities(s, d).select(F.col("entity_id").alias("id"), "brand", X.normalize_name(F.col("canonical_name")).alias("name"))
+    return J.pairs_of(e, ["name", "brand"], "name", lambda x, y: F.lit(None)).select(F.col("a").alias("entity_id"), F.col("b").alias("other_id"))
 
 
 @query("strong_id", "SELECT page_id, count(*) OVER (PARTITION BY regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^(www|m)\\.', '')) AS same_site FROM pages")

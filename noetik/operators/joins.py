@@ -14,6 +14,7 @@ LIST = 256  # ids of equal rows that are paired at once
 SIDE = 2048  # rows of a key on one side of a block
 PAIRS = 8_000_000  # of a task
 MOST_TASKS = 8192
+SALTS = 4096  # parts of the rows without a key
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: list[str], width: int) -> DataFrame:
@@ -48,6 +49,14 @@ def pairs_of(rows: DataFrame, key: list[str], value: str, score: Callable[[Colum
     return each.where("x < y or (x > y and not same)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
+def optional(left: DataFrame, right: DataFrame, key: str, own: str) -> DataFrame:
+    """left with what right has of its key, if anything. Rows of left without a key would all go to one task; they are
+    dealt by their column `own`."""
+    dealt = left.withColumn("_salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(own), F.lit(SALTS))).otherwise(0))
+    # 0 for every key, but no literal, which would leave the salt out of the join's keys
+    return dealt.join(right.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(1))), [key, "_salt"], "left").drop("_salt")
+
+
 def latest_before(asked: DataFrame, facts: DataFrame, key: str, at: str, carried: list[str]) -> DataFrame:
     """For each asked row the last fact of its key at or before its time: one shuffle, no pairs."""
     fact = facts.select(key, at, F.struct(*carried).alias("fact"), F.lit(0).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in asked.dtypes if c not in (key, at)])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import joins as J
 from . import windows as W
 
 OPERATIONS = ["create_page", "update_page", "add_link", "remove_stale_link", "mark_conflict", "create_synthesis_candidate", "no_change"]
@@ -19,10 +20,10 @@ def current(revisions: DataFrame) -> DataFrame:
 def support(statements: DataFrame, supports: DataFrame, claims: DataFrame, claim_evidence: DataFrame, evidence: DataFrame) -> DataFrame:
     """statement_id, kind, evidence_id, source_id: what each statement rests on, of three optional targets. A target that
     does not exist is none."""
-    real = evidence.select(F.col("evidence_id").alias("e"), F.col("source_id").alias("e_source"))
-    first = claim_evidence.join(real, F.col("evidence_id") == F.col("e"), "left_semi").groupBy("claim_id").agg(F.min("evidence_id").alias("c_evidence"))
+    real = evidence.select("evidence_id", F.col("evidence_id").alias("e"), F.col("source_id").alias("e_source"))
+    first = claim_evidence.join(real, "evidence_id", "left_semi").groupBy("claim_id").agg(F.min("evidence_id").alias("c_evidence"))
     of_claims = claims.select("claim_id", F.col("source_id").alias("c_source")).join(first, "claim_id", "left")
-    out = statements.join(supports, "statement_id", "left").join(of_claims, "claim_id", "left").join(real, F.col("evidence_id") == F.col("e"), "left")
+    out = J.optional(J.optional(statements.join(supports, "statement_id", "left"), of_claims, "claim_id", "statement_id"), real, "evidence_id", "statement_id")
     kind = F.when(F.col("c_source").isNotNull(), "claim").when(F.col("e").isNotNull(), "evidence").when(F.col("source_id").isNotNull(), "source").otherwise("unsupported")
     return out.select("statement_id", "revision_id", kind.alias("kind"), F.coalesce("e", "c_evidence").alias("evidence_id"), F.coalesce("source_id", "e_source", "c_source").alias("source_id"))
 

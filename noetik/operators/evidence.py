@@ -109,7 +109,7 @@ def lint_support(statements: DataFrame, supports: DataFrame, claims: DataFrame,
     real = evidence.select("evidence_id", F.lit(True).alias("e"))
     proven = claim_evidence.join(real, "evidence_id").select("claim_id", F.lit(True).alias("proven")).distinct()
     known = claims.select("claim_id", "provenance", F.lit(True).alias("c")).join(proven, "claim_id", "left")
-    all_ = statements.select("statement_id").join(supports, "statement_id", "left").join(known, "claim_id", "left").join(real, "evidence_id", "left")
+    all_ = J.optional(J.optional(statements.select("statement_id").join(supports, "statement_id", "left"), known, "claim_id", "statement_id"), real, "evidence_id", "statement_id")
     claimed = F.col("claim_id").isNotNull()
     finding = (
         F.when(claimed & F.col("c").isNull(), "stale_claim").when(claimed & (F.col("provenance") == "model_inference"), "inference_as_statement").when(claimed & F.col("proven").isNull(), "claim_without_evidence")

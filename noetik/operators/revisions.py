@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 HUNK = pa.struct([("at", pa.int64()), ("gone", pa.int64()), ("lines", pa.list_(pa.string()))])
 HUNK_SQL = "struct<at: long, gone: long, lines: array<string>>"
 
@@ -74,6 +76,7 @@ def script(old: list[str], new: list[str]) -> tuple[list[dict], int]:
 def differences(pairs: DataFrame, keys: list[str], old: str = "old", new: str = "new") -> DataFrame:
     """keys, inserted, deleted, kept (lines) and hunks of each row's two texts. A null text has no lines; an empty one
     has one, which is empty. Lines end at \\n alone."""
+    ship(pairs.sparkSession)
     pairs = pairs.select(*keys, F.col(old).alias("old"), F.col(new).alias("new"))
 
     def run(batches):

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ship
 
 PIECES, CENTRES, ROUNDS, SAMPLE = 16, 256, 6, 8192
 BLOCK, ASKED = 16384, 512  # rows and queries of a block
@@ -88,6 +88,7 @@ def codes_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def blocks_of(rows: DataFrame, size: int, n: int, make, columns: str) -> DataFrame:
     """Rows (id, v) in numbered blocks of about size rows, each as make(table) gives it."""
+    ship(rows.sparkSession)
     many = max(1, -(-n // size))
     number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(many)).cast("int")
 
@@ -97,6 +98,13 @@ def blocks_of(rows: DataFrame, size: int, n: int, make, columns: str) -> DataFra
     return cut(rows.withColumn("block", number).groupBy("block").applyInArrow(pack, f"block int, {columns}")), many
 
 
+def each_row(batches) -> Iterator[list[pa.Buffer]]:
+    """The buffers of each row of binary columns. Batches are bounded in bytes by ship(), and no row is copied."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield [c[k].as_buffer() for c in b.columns]
+
+
 def ids_of(table) -> bytes:
     return table.column("id").to_numpy().astype(np.int64).tobytes()
 
@@ -129,20 +137,19 @@ class Codes:
         side = asked.select("q_ids", "q", F.explode(F.sequence(F.lit(0), F.lit(self.many - 1))).alias("block"))
 
         def scan(batches) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    ids, codes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["codes"], np.uint8).reshape(-1, PIECES)
-                    q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], np.float64).reshape(-1, width)
-                    step = max(1, TILE // max(1, len(ids)))
-                    for i in range(0, len(q), step):
-                        part = q[i : i + step].reshape(-1, PIECES, centres.shape[2])
-                        score = np.zeros((len(part), len(ids)))
-                        for p in range(PIECES):
-                            score += (part[:, p] @ centres[p].T)[:, codes[:, p]]
-                        few = min(take, len(ids))
-                        at = np.argpartition(score, len(ids) - few, axis=1)[:, len(ids) - few :]
-                        found = np.take_along_axis(score, at, axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[i : i + step], few)), pa.array(ids[at.ravel()]), pa.array(found.ravel())], ["query_id", "id", "near"])
+            for ids, codes, q_ids, q in each_row(batches):
+                ids, codes = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, PIECES)
+                q_ids, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float64).reshape(-1, width)
+                step = max(1, TILE // max(1, len(ids)))
+                for i in range(0, len(q), step):
+                    part = q[i : i + step].reshape(-1, PIECES, centres.shape[2])
+                    score = np.zeros((len(part), len(ids)))
+                    for p in range(PIECES):
+                        score += (part[:, p] @ centres[p].T)[:, codes[:, p]]
+                    few = min(take, len(ids))
+                    at = np.argpartition(score, len(ids) - few, axis=1)[:, len(ids) - few :]
+                    found = np.take_along_axis(score, at, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[i : i + step], few)), pa.array(ids[at.ravel()]), pa.array(found.ravel())], ["query_id", "id", "near"])
 
         met = self.blocks.join(side, "block").select("ids", "codes", "q_ids", "q").mapInArrow(scan, "query_id long, id long, near double")
         order = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
@@ -174,17 +181,16 @@ def exact(rows: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFr
     side = asked.select("q_ids", "q", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("block"))
 
     def scan(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.float64).reshape(-1, width)
-                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], np.float64).reshape(-1, width)
-                step = max(1, TILE // max(1, len(ids)))
-                for i in range(0, len(q), step):
-                    score = np.round(q[i : i + step] @ x.T, 6)
-                    few = min(k, len(ids))
-                    least = np.partition(score, len(ids) - few, axis=1)[:, len(ids) - few, None]
-                    a, j = np.nonzero(score >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i : i + step][a]), pa.array(ids[j]), pa.array(score[a, j])], ["query_id", "id", "score"])
+        for ids, x, q_ids, q in each_row(batches):
+            ids, x = np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(-1, width)
+            q_ids, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float64).reshape(-1, width)
+            step = max(1, TILE // max(1, len(ids)))
+            for i in range(0, len(q), step):
+                score = np.round(q[i : i + step] @ x.T, 6)
+                few = min(k, len(ids))
+                least = np.partition(score, len(ids) - few, axis=1)[:, len(ids) - few, None]
+                a, j = np.nonzero(score >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i : i + step][a]), pa.array(ids[j]), pa.array(score[a, j])], ["query_id", "id", "score"])
 
     return ranked(blocks.join(side, "block").select("ids", "x", "q_ids", "q").mapInArrow(scan, "query_id long, id long, score double"), k)
 

@@ -7,8 +7,8 @@ with their vectors. So a query reads a code for each vector and a vector for eac
 
 Similarity join. Vectors go to the cell of their nearest pivot. If two normed vectors are at most r apart, the one lies
 at most 2 r farther from the other's pivot than from its own (triangle inequality), so each also visits the cells within
-that reach, and a cell's own vectors meet its visitors in blocks. Nothing is lost at any size; vectors without structure
-visit most cells, as no exact bound tells them apart.
+that reach, of two cells those of the greater number the other, and a cell's own vectors meet its visitors in blocks. Nothing
+is lost at any size; vectors without structure visit most cells, as no exact bound tells them apart.
 
 Null ids or vectors, and vectors with a null or non-finite component, take no part; shorter vectors are filled with zeros. A
 zero vector has likeness 0 to all.
@@ -29,7 +29,7 @@ from ..session import cut, ship
 PIECES, CENTRES, ROUNDS, SAMPLE = 16, 256, 6, 8192
 BLOCK, ASKED = 16384, 512  # rows and queries of a block
 TILE = 1 << 22  # scores that are held at a time
-CELL = 4096  # vectors of a cell, on average
+CELL, CELL_BYTES = 16384, 1 << 26  # vectors of a cell, on average, and what they may take
 MOST_PIVOTS = 1024
 
 
@@ -195,50 +195,90 @@ def exact(rows: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFr
     return ranked(blocks.join(side, "block").select("ids", "x", "q_ids", "q").mapInArrow(scan, "query_id long, id long, score double"), k)
 
 
-def similar(rows: DataFrame, least: float) -> DataFrame:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) as links of each id to the smallest that it reaches over them: no more than ids, and the same clusters."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    least = np.arange(len(ids))
+    while True:
+        low = np.minimum(least[x], least[y])
+        now = least.copy()
+        for at in (x, y, least[x], least[y]):
+            np.minimum.at(now, at, low)
+        now = now[now]
+        if np.array_equal(now, least):
+            break
+        least = now
+    use = least != np.arange(len(ids))
+    return ids[least[use]], ids[use]
+
+
+def similar(rows: DataFrame, least: float, clusters: bool = False) -> DataFrame:
     """a, b (a < b) of the rows (id, v) whose cosine is at least `least` (above 0). Equal vectors are paired with the
-    smallest id that has theirs only, so a group of copies gives no more pairs than rows."""
+    smallest id that has theirs only, so a group of copies gives no more pairs than rows. With clusters the links that two
+    blocks find are given as stars, which connect the same ids.
+
+    A row is shuffled to its home cell only. The blocks of a cell send what is within reach to cells of smaller numbers, so
+    two vectors meet once."""
     same = cut(rows.groupBy("v").agg(F.min("id").alias("id"), F.collect_list("id").alias("all")))
     copies = same.select(F.col("id").alias("a"), F.explode("all").alias("b")).where("a <> b")
     single = same.select("id", "v")
     n, width = width_of(single)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    pivots = sampled(single, max(1, min(MOST_PIVOTS, n // CELL)), width)
-    kind = "cell int, own boolean, id long, x binary"
+    ship(rows.sparkSession)
+    size = max(1, min(CELL, CELL_BYTES // (8 * width)))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-7
+    pivots = sampled(single, max(1, min(MOST_PIVOTS, n // size)), width)
+
+    def far_of(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
     def deal(batches):
         for b in batches:
             x = matrix(b.column(1), width)
-            far = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
-            far[~x.any(axis=1)] = np.inf  # zero vectors are like none
-            home = np.argmin(far, axis=1)
-            near = far <= far[np.arange(len(x)), home][:, None] + 2 * reach
-            near &= np.isfinite(far)
-            row, cell = np.nonzero(near)
-            raw = x.tobytes()
-            cells = pa.array([raw[8 * width * k : 8 * width * (k + 1)] for k in row.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), b.column(0).take(pa.array(row)).cast(pa.int64()), cells], ["cell", "own", "id", "x"])
-
-    dealt = single.mapInArrow(deal, kind).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // CELL)))).cast("int"))
+            home = np.where(x.any(axis=1), np.argmin(far_of(x), axis=1), -1)  # zero vectors are like none
+            use = pa.array(np.flatnonzero(home >= 0))
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)).take(use), b.column(0).cast(pa.int64()).take(use), b.column(1).take(use)], ["cell", "id", "v"])
+
+    dealt = single.mapInArrow(deal, "cell int, id long, v array<double>").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).cast("int"))
 
     def pack(key, table):
-        out = {"cell": key[0].as_py(), "own": key[1].as_py(), "ids": ids_of(table), "x": b"".join(table.column("x").to_pylist())}
-        return pa.Table.from_pylist([out], pa.schema([("cell", pa.int32()), ("own", pa.bool_()), ("ids", pa.binary()), ("x", pa.binary())]))
+        x = matrix(table.column("v"), width)
+        out = {"cell": key[0].as_py(), "part": key[1].as_py(), "ids": ids_of(table), "x": x.tobytes()}
+        return pa.Table.from_pylist([out], pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())]))
 
-    packed = cut(dealt.groupBy("cell", "own", "part").applyInArrow(pack, "cell int, own boolean, ids binary, x binary"))
-    met = packed.where("own").join(packed.select("cell", F.col("ids").alias("q_ids"), F.col("x").alias("q")), "cell")
+    packed = cut(dealt.groupBy("cell", "part").applyInArrow(pack, "cell int, part int, ids binary, x binary"))
+
+    def send(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                home, part, ids, x = b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_py(), b.column(3)[k].as_buffer()
+                x = np.frombuffer(x, np.float64).reshape(-1, width)
+                far, ids = far_of(x), np.frombuffer(ids, np.int64)
+                near = far <= far[:, home, None] + 2 * reach
+                near[:, home] = True
+                for cell in range(home + 1):
+                    if len(some := np.flatnonzero(near[:, cell])):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in ((cell, pa.int32()), (home, pa.int32()), (part, pa.int32()), (ids[some].tobytes(), pa.binary()), (x[some].tobytes(), pa.binary()))], ["cell", "home", "q_part", "q_ids", "q"])
+
+    sent = packed.mapInArrow(send, "cell int, home int, q_part int, q_ids binary, q binary")
+    met = packed.join(sent, "cell").where("home > cell or part <= q_part")
 
     def compare(batches):
         for b in batches:
-            for r in b.to_pylist():
-                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.float64).reshape(-1, width)
-                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], np.float64).reshape(-1, width)
+            same = b.column(0).to_pylist()
+            for alike, (ids, x, q_ids, q) in zip(same, each_row([b.select(["ids", "x", "q_ids", "q"])]), strict=True):
+                ids, x = np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(-1, width)
+                q_ids, q = np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float64).reshape(-1, width)
                 step = max(1, TILE // max(1, len(ids)))
                 for i in range(0, len(q), step):
                     a, j = np.nonzero(q[i : i + step] @ x.T >= least - 1e-12)
                     a, j = q_ids[i : i + step][a], ids[j]
-                    use = a != j
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, j)[use]), pa.array(np.maximum(a, j)[use])], ["a", "b"])
-
-    linked = met.select("ids", "x", "q_ids", "q").mapInArrow(compare, "a long, b long").distinct()
+                    if alike:  # a block with itself
+                        a, j = a[a < j], j[a < j]
+                    a, j = np.minimum(a, j), np.maximum(a, j)
+                    if clusters:
+                        a, j = stars(a, j)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(j)], ["a", "b"])
+
+    linked = met.select(F.expr("home = cell and part = q_part").alias("alike"), "ids", "x", "q_ids", "q").mapInArrow(compare, "a long, b long")
     return linked.unionByName(copies.select(F.col("a").cast("long"), F.col("b").cast("long")))

@@ -50,4 +50,4 @@ LINKS = f"SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list
 @query("vec_clusters", f"WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), l AS ({LINKS}), r AS (SELECT DISTINCT a AS id, a AS at_id FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.at_id) SELECT id, min(at_id) AS component FROM r GROUP BY id")
 def _(s, d):
     """The clusters of vectors that links of at least LIKE connect."""
-    return J.components(V.similar(_rows(s, d), LIKE))
+    return J.components(V.similar(_rows(s, d), LIKE, clusters=True))

@@ -50,6 +50,7 @@ class PieceEncoder:
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.table = byte_characters()
         self.space = self.table[0x20]
+        self.shown = [self.table.get(b, chr(b)) for b in range(256)].__getitem__
         self.ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.first: dict[str, bytes] = {}  # of pre-tokens, and of pieces that begin a text
         self.later: dict[str, bytes] = {}  # of pieces after a space, without it
@@ -60,7 +61,7 @@ class PieceEncoder:
         if pretoken.isascii() and pretoken[1:].isalnum():
             shown = self.space + pretoken[1:] if pretoken[0] == " " else pretoken.translate(self.table)
         else:
-            shown = pretoken.encode().decode("latin-1").translate(self.table)
+            shown = "".join(map(self.shown, pretoken.encode()))
         ids = self.ids
         return b"".join([ids[t.id] for t in self.merge(shown)])
 
@@ -151,7 +152,8 @@ class PieceEncoder:
         x = self.old.get(p)
         if x is None:
             if p.isalpha():
-                x = self.merged(" " + p)
+                ids = self.ids
+                x = b"".join([ids[t.id] for t in self.merge(self.space + p)]) if p.isascii() else self.merged(" " + p)
             elif (word := p.rstrip(MARKS)) != p and word.isalpha():
                 x = (self.later.get(word) or self.known(word)) + self.piece_or_kept(p[len(word) :])
             else:

@@ -31,7 +31,7 @@ from .tokens import encoder
 MAGIC = b"WVMX0002"
 SHARD_BYTES = 8 << 20
 BLOCK = 4096  # bytes of a plane
-SHRINK = 0.75  # the share of its size that makes deflating a plane worth the time
+SHRINK = 0.5  # the share of its size that makes deflating a plane worth the time
 QUANTILES = 2000  # of ids that reach the driver
 
 
@@ -157,7 +157,7 @@ class WaveletMatrix:
         seq = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
             plane = b"".join([self.stored(level, b) for b in range(len(self.ones[level]))])
-            bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, kind)
             seq[self.zeros[level] :] |= kind(1 << (self.bits - 1 - level))
             out[np.flatnonzero(~bit)], out[np.flatnonzero(bit)] = seq[: self.zeros[level]], seq[self.zeros[level] :]

@@ -41,8 +41,9 @@ class LateRows(StatefulProcessor):
 
 class Sessions(StatefulProcessor):
     """Sessions of a key: a gap of at least gap_us begins a new one, whatever order rows come in. Each batch gives the
-    sessions that it changes, and n = 0 for those that another one has taken in. A timer closes a session once the watermark
-    is a gap past its end, and its state goes. Rows: at_us."""
+    sessions that it changes, and n = 0 for those that another one has taken in. Once the watermark is a gap past the end of
+    sessions a timer closes them, and their state goes. A key has a timer for its earliest end only, which sets the next: a
+    timer of its own for each session costs a call each, there and back. Rows: at_us."""
 
     def __init__(self, gap_us: int):
         self.gap = gap_us
@@ -51,6 +52,10 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getListState("open", "begin_us long, end_us long, n long")
 
+    def wait(self, found) -> None:
+        """Wake up when the earliest of some sessions, which are in order and apart, can be closed."""
+        self.handle.registerTimer((found[0][1] + self.gap) // 1000 + 1)
+
     @staticmethod
     def rows(key, found) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *f) for f in found], columns=["key", "begin_us", "end_us", "n", "closed"])
@@ -67,9 +72,8 @@ class Sessions(StatefulProcessor):
                 merged.append((begin, end, n))
         self.open.put(merged)
         old, begins = set(known), {m[0] for m in merged}
-        for m in merged:
-            if m not in old:
-                self.handle.registerTimer((m[1] + self.gap) // 1000 + 1)
+        if not known or merged[0][1] < known[0][1]:  # else the timer that is set comes in time
+            self.wait(merged)
         out = [(*m, False) for m in merged if m not in old] + [(b, e, 0, False) for b, e, _ in known if b not in begins]
         if out:
             yield self.rows(key, out)
@@ -78,10 +82,12 @@ class Sessions(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         known = [tuple(map(int, x)) for x in self.open.get()]
         done = [m for m in known if m[1] + self.gap <= now]
-        left = [m for m in known if m[1] + self.gap > now]
+        left = known[len(done) :]
         if left:
-            self.open.put(left)
-        else:
+            if done:
+                self.open.put(left)
+            self.wait(left)
+        elif done:
             self.open.clear()
         if done:
             yield self.rows(key, [(*m, True) for m in done])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import joins as J
 from . import windows as W
-from .edit_distance import near_strings
+from .nearest import nearest as near_strings
 from .wiki import current
 
 
@@ -85,8 +85,8 @@ def bad_lifecycle(states: DataFrame, allowed: DataFrame) -> DataFrame:
 def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, distance: int = 2) -> DataFrame:
     """mention_id, entity_id, band, truth. An equal name or alias of one entity of the hinted type links; of several it is
     disputed; a name within a small distance is a candidate at most. Merged entities stand for the end of their chain.
-    Fuzzy names meet by the segments of edit_distance, so no mention meets all names, and only those of mentions without
-    an equal name are looked for."""
+    Of like names of the hinted type the least entity is kept (nearest.py), so pairs of like names are no rows, and only
+    those of mentions without an equal name are looked for."""
     ends = J.merge_closure(entities.where("merged_into is not null").select(F.col("entity_id").alias("id"), "merged_into")).select(F.col("id").alias("entity_id"), "canonical", F.lit(True).alias("merged"))
     names = aliases.select("entity_id", F.col("alias").alias("name")).unionByName(entities.select("entity_id", "name"))
     names = names.select("entity_id", X.normalize_name(F.col("name")).alias("norm")).distinct()
@@ -96,9 +96,9 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, distan
     strong = known.groupBy("norm", "type_hint").agg(F.count_distinct("canonical").alias("n_strong"), F.min("canonical").alias("strong"))
     # a name that links or is disputed needs no likeness
     open_ = asked.join(strong, ["norm", "type_hint"], "left_anti")
-    near = near_strings(open_.select(F.col("norm").alias("name")), known.select(F.col("norm").alias("name")), distance).select(F.col("a").alias("norm"), F.col("b").alias("of"))
-    fuzzy = open_.join(near, "norm").join(known.select(F.col("norm").alias("of"), "type_hint", "canonical"), ["of", "type_hint"]).groupBy("mention_id").agg(F.min("canonical").alias("fuzzy"))
-    out = asked.join(strong, ["norm", "type_hint"], "left").join(fuzzy, "mention_id", "left")
+    fuzzy = near_strings(open_.select(F.col("type_hint").alias("key"), F.col("norm").alias("name")), known.select(F.col("type_hint").alias("key"), F.col("norm").alias("name"), F.col("canonical").alias("value")), distance)
+    fuzzy = fuzzy.select(F.col("key").alias("type_hint"), F.col("name").alias("norm"), F.col("value").alias("fuzzy"))
+    out = asked.join(strong, ["norm", "type_hint"], "left").join(fuzzy, ["norm", "type_hint"], "left")
     entity = F.when(F.col("n_strong") == 1, F.col("strong")).when(F.col("n_strong").isNull(), F.col("fuzzy"))
     band = F.when(F.col("n_strong") == 1, "auto").when(F.col("n_strong") > 1, "disputed").when(F.col("fuzzy").isNotNull(), "candidate").otherwise("provisional")
     return out.select("mention_id", entity.alias("entity_id"), band.alias("band"), "truth")

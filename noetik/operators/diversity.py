@@ -27,7 +27,7 @@ def order(relevance: np.ndarray, like: np.ndarray, k: int, weight: float) -> lis
 def diversify(candidates: DataFrame, vectors: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     """qid, doc, place: the first k of each question's candidates (qid, doc, score, rank: a counted few of each question)
     by marginal relevance. vectors: doc, vector; a document without one is like nothing."""
-    met = candidates.join(vectors.select("doc", F.col("vector").cast("array<double>").alias("vector")), "doc", "left")
+    met = candidates.join(vectors.select("doc", "vector"), "doc", "left")  # as they are stored, as one goes with each candidate
     lists = met.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "doc", "score", "vector"))).alias("c"))
     kinds = dict(candidates.dtypes)
 

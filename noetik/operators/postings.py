@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import spaced, tokens
 from ..session import cut, discard, ship, written
-from .inverted import Block, invert, merged
+from .inverted import Block, invert, merged, without
 from .segments import Segments
 
 K1, B = 1.2, 0.75
@@ -117,9 +117,17 @@ class PostingsIndex(Segments):
         """All segments' live postings as one. Shards keep the documents that they have left."""
         base = self.version()
         name = self.store(self.live(self.table(base), base).drop("seg"))
-        each = self.live_rows(self.table(base, "postings").select("seg", "shard", "term", "docs", "tfs", "dls", "places"), base).drop("seg")
         parts = min(MOST_PARTS, max(LEAST_PARTS, -(-base.get("length", 0) // PART)))
-        each = each.withColumn("part", part_of(parts)).withColumn("n", F.size("docs")).withColumn("most", F.array_max("tfs")).withColumn("least", F.array_min("dls")).repartition(parts, "part")
+        each = self.table(base, "postings").select(part_of(parts).alias("part"), "shard", "term", "docs", "tfs", "dls", "places").repartition(parts, "part")
+        dead = self.gone(base)
+        if dead is None:
+            each = each.withColumn("n", F.size("docs")).withColumn("most", F.array_max("tfs")).withColumn("least", F.array_min("dls"))
+        else:  # one shuffle serves the shards and the files; a shard is in one segment
+            ship(self.spark)
+            kind = dict(each.dtypes)["docs"]
+            dead = dead.select(part_of(parts).alias("part"), "shard", "gone").repartition(parts, "part")
+            schema = f"part int, shard long, term string, docs {kind}, tfs array<int>, dls array<int>, places array<array<int>>, n int, most int, least int"
+            each = each.groupBy("part", "shard").cogroup(dead.groupBy("part", "shard")).applyInArrow(lambda p, g: without(p, g), schema)
         each.sortWithinPartitions("part", "term", "shard").write.option("compression", "zstd").partitionBy("part").parquet(self.folder(name, "postings"))
         self.of(name, "postings").groupBy("term").agg(F.sum("n").alias("df")).write.parquet(self.folder(name, "counts"))
         return self.commit(base, [name], **{k: base[k] for k in ("n", "length", "shards")})
@@ -137,14 +145,20 @@ class PostingsIndex(Segments):
         only. The dead of a shard are at most its documents and are met by shard, so no document is a row."""
         if self.dead(version) is None:
             return rows
-        stored = self.table(version).select("seg", "shard", "doc")
-        gone = stored.join(self.live(stored, version), ["seg", "doc"], "left_anti").groupBy("seg", "shard").agg(F.collect_list("doc").alias("gone"))
+        gone = self.gone(version)
         arrays = [c for c in rows.columns if c not in ("seg", "shard", "term")]
         left = F.filter(F.arrays_zip(*arrays), lambda x: ~F.array_contains("gone", x["docs"]))
         met = rows.join(gone, ["seg", "shard"], "left").withColumn("left", F.when(F.col("gone").isNotNull(), left))
         met = met.where("left is null or size(left) > 0")
         return met.select("seg", "shard", "term", *(F.when(F.col("left").isNull(), F.col(c)).otherwise(F.col(f"left.{c}")).alias(c) for c in arrays))
 
+    def gone(self, version: dict) -> DataFrame | None:
+        """seg, shard, gone: the dead documents of each shard that has any."""
+        if self.dead(version) is None:
+            return None
+        stored = self.table(version).select("seg", "shard", "doc")
+        return stored.join(self.live(stored, version), ["seg", "doc"], "left_anti").groupBy("seg", "shard").agg(F.collect_list("doc").alias("gone"))
+
     def document_counts(self, version: dict | None = None, words: list[str] | None = None) -> DataFrame:
         """term, df; with words of these only, which reaches the scan."""
         counts = self.table(version or self.version(), "counts")

@@ -32,22 +32,6 @@ def invert(docs: pa.Table) -> pa.Table:
     })
 
 
-def without(posted: pa.Table, dead: pa.Table) -> pa.Table:
-    """A shard's postings (part, shard, term, docs, tfs, dls, places) without its dead documents (gone), and their bounds."""
-    docs = posted["docs"].combine_chunks()
-    owner, flat = np.repeat(np.arange(len(docs)), docs.value_lengths().to_numpy()), docs.flatten()
-    gone = dead["gone"].combine_chunks().flatten()
-    left = np.ones(len(flat), bool) if not len(gone) else ~pc.is_in(flat, value_set=gone).to_numpy(zero_copy_only=False)
-    size, kept = np.bincount(owner[left], minlength=len(docs)), pa.array(np.flatnonzero(left))
-    rows = np.flatnonzero(size)
-    ends, inner = np.append(0, np.cumsum(size[rows])), lambda c: posted[c].combine_chunks().flatten().take(kept)
-    tfs, dls, ints = inner("tfs"), inner("dls"), lambda x: pa.array(x, pa.int32())
-    bound = lambda f, x: ints(f.reduceat(x.to_numpy(), ends[:-1]) if len(rows) else [])
-    head = posted.select(["part", "shard", "term"]).take(pa.array(rows))
-    each = {"docs": _lists(ends, flat.take(kept)), "tfs": _lists(ends, tfs), "dls": _lists(ends, dls), "places": _lists(ends, inner("places"))}
-    return pa.table({c: head[c] for c in head.column_names} | each | {"n": ints(size[rows]), "most": bound(np.maximum, tfs), "least": bound(np.minimum, dls)})
-
-
 class Block:
     """Postings (shard, t, idf, docs, tfs, dls) of a block of shards: for each term its documents and the parts of their scores."""
 
